@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventlens.functions import scalars as S
 from eventlens.operators.ordering import last_before
 from eventlens.plans import tree
-from eventlens.sources.events import EventLog
+from eventlens.sources.events import EventLog, per_log
 
 
 def _stage_listings(log: EventLog) -> DataFrame:
@@ -50,26 +50,23 @@ def task_execution(log: EventLog) -> DataFrame:
     return with_execution(log.view("task_end").select("app_key", "stage_id", "seq", "duration_ms"), log)
 
 
+@per_log
 def execution_io(log: EventLog) -> DataFrame:
     """Task input and output per SQL execution, counting tasks that end after the execution has started."""
-
-    def build() -> DataFrame:
-        io = ["input_bytes", "input_records", "output_bytes", "output_records"]
-        tasks = log.view("task_end").select("app_key", "stage_id", "seq", *io)
-        tasks = tasks.filter(" or ".join(f"{c} > 0" for c in io))
-        starts = tree.executions(log).select("app_key", "execution_id", "start_seq")
-        return (
-            with_execution(tasks, log)
-            .join(starts, ["app_key", "execution_id"])
-            .filter("start_seq < seq")
-            .groupBy("app_key", "execution_id")
-            .agg(
-                *[F.sum(c).alias(f"task_{c}") for c in io],
-                F.count_if(F.col("output_bytes") > 0).alias("task_files"),
-            )
+    io = ["input_bytes", "input_records", "output_bytes", "output_records"]
+    tasks = log.view("task_end").select("app_key", "stage_id", "seq", *io)
+    tasks = tasks.filter(" or ".join(f"{c} > 0" for c in io))
+    starts = tree.executions(log).select("app_key", "execution_id", "start_seq")
+    return (
+        with_execution(tasks, log)
+        .join(starts, ["app_key", "execution_id"])
+        .filter("start_seq < seq")
+        .groupBy("app_key", "execution_id")
+        .agg(
+            *[F.sum(c).alias(f"task_{c}") for c in io],
+            F.count_if(F.col("output_bytes") > 0).alias("task_files"),
         )
-
-    return log.memo("execution_io", build)
+    )
 
 
 def _metric(name: str, column: str):

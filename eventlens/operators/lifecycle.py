@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions import scalars as S
 from eventlens.operators.ordering import CHUNK, before_chunk, in_chunks
-from eventlens.sources.events import EventLog
+from eventlens.sources.events import EventLog, per_log
 
 
 def _last(column: str, seq: str = "seq") -> Column:
@@ -15,6 +15,7 @@ def _last(column: str, seq: str = "seq") -> Column:
     return F.max_by(column, F.when(F.col(column).isNotNull(), F.col(seq)))
 
 
+@per_log
 def app_times(log: EventLog) -> DataFrame:
     """Last start and end of each application in ms, 0 where none was logged."""
     starts = log.view("app_start").groupBy("app_key").agg(
@@ -44,6 +45,7 @@ def app_lifecycle(log: EventLog) -> DataFrame:
     )
 
 
+@per_log
 def app_environment(log: EventLog) -> DataFrame:
     """Driver and executor settings of the last environment event."""
     props = F.col("props")
@@ -84,18 +86,15 @@ def peak_heap(log: EventLog, modern_heap: bool = False) -> DataFrame:
     return sources.groupBy("app_key").agg(F.greatest(F.max("heap"), S.bigint(0)).alias("peak_heap"))
 
 
+@per_log
 def executor_events(log: EventLog) -> DataFrame:
     """Executor additions (+1) and removals (-1), and application starts (0), in log order, in chunks."""
-
-    def build() -> DataFrame:
-        added = log.view("executor_added").select("app_key", "seq", "ts", "executor_id", F.lit(1).alias("step"))
-        removed = log.view("executor_removed").select("app_key", "seq", "ts", "executor_id", F.lit(-1).alias("step"))
-        start = log.view("app_start").select(
-            "app_key", "seq", "ts", F.lit(None).cast("string").alias("executor_id"), F.lit(0).alias("step")
-        )
-        return in_chunks(added.unionByName(removed).unionByName(start), ["app_key"], ["seq"])
-
-    return log.memo("executor_events", build)
+    added = log.view("executor_added").select("app_key", "seq", "ts", "executor_id", F.lit(1).alias("step"))
+    removed = log.view("executor_removed").select("app_key", "seq", "ts", "executor_id", F.lit(-1).alias("step"))
+    start = log.view("app_start").select(
+        "app_key", "seq", "ts", F.lit(None).cast("string").alias("executor_id"), F.lit(0).alias("step")
+    )
+    return in_chunks(added.unionByName(removed).unionByName(start), ["app_key"], ["seq"])
 
 
 def _running(rows: DataFrame, delta: str) -> DataFrame:

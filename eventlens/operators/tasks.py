@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions import scalars as S
-from eventlens.sources.events import EventLog
+from eventlens.sources.events import EventLog, per_log
 
 MEASURES = [
     "input_bytes", "input_records", "output_bytes", "output_records",
@@ -14,6 +14,7 @@ MEASURES = [
 ]
 
 
+@per_log
 def stage_totals(log: EventLog) -> DataFrame:
     """Totals per stage over all attempts: the one pass over the tasks that everything else builds on.
 
@@ -21,7 +22,7 @@ def stage_totals(log: EventLog) -> DataFrame:
     metrics add to the measures; `first_seq` is the first such task and breaks ties between stages.
     """
     measured = F.col("has_metrics")
-    return log.memo("stage_totals", lambda: log.view("task_end").groupBy("app_key", "stage_id").agg(
+    return log.view("task_end").groupBy("app_key", "stage_id").agg(
         F.count("*").alias("tasks"),
         F.sum(measured.cast("bigint")).alias("measured_tasks"),
         F.sum("duration_ms").alias("task_ms"),
@@ -29,10 +30,10 @@ def stage_totals(log: EventLog) -> DataFrame:
         S.zero_if_null(F.max(F.when(measured, F.col("shuffle_read")))).alias("max_task_shuffle_read"),
         S.zero_if_null(F.max(F.when(measured, F.col("shuffle_write")))).alias("max_task_shuffle_write"),
         F.min(F.when(measured, F.col("seq"))).alias("first_seq"),
-        F.min("seq").alias("first_any_seq"),
-    ))
+    )
 
 
+@per_log
 def task_totals(log: EventLog) -> DataFrame:
     totals = ["tasks", "task_ms", *MEASURES]
     return stage_totals(log).groupBy("app_key").agg(
@@ -42,12 +43,14 @@ def task_totals(log: EventLog) -> DataFrame:
     )
 
 
+@per_log
 def stage_jobs(log: EventLog) -> DataFrame:
     """Job of each stage. The last job that lists a stage wins, so a skipped stage moves to the later job."""
     listed = log.view("job_start").select("app_key", "seq", "job_id", F.explode("stage_ids").alias("stage_id"))
     return listed.groupBy("app_key", "stage_id").agg(F.max_by("job_id", "seq").alias("job_id"))
 
 
+@per_log
 def job_shuffle(log: EventLog) -> DataFrame:
     """Shuffle totals per job: the sum over the stages that belong to it."""
     measured = stage_totals(log).filter("measured_tasks > 0 and stage_id is not null")

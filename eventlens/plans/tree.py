@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions import scalars as S
 from eventlens.operators.ordering import checkpointed
-from eventlens.sources.events import EventLog
+from eventlens.sources.events import EventLog, per_log
 
 NODE_DDL = (
     "app_key string, execution_id bigint, start_seq decimal(38,0), pos int, post_pos int, depth int, path array<int>,"
@@ -67,6 +67,7 @@ def _flatten(batches: Iterator) -> Iterator:
         yield pd.DataFrame(rows, columns=names)
 
 
+@per_log
 def executions(log: EventLog) -> DataFrame:
     """Last start event of each SQL execution."""
     return log.view("sql_start").filter("execution_id is not null").groupBy("app_key", "execution_id").agg(
@@ -76,6 +77,7 @@ def executions(log: EventLog) -> DataFrame:
     )
 
 
+@per_log
 def plan_nodes(log: EventLog, adaptive: bool = False) -> DataFrame:
     """One row per plan node: position in pre-order (`pos`) and post-order (`post_pos`), depth, child path, texts
     and the map from metric name to accumulator id. `adaptive` takes the last re-planned tree where there is one."""
@@ -96,9 +98,10 @@ def plan_nodes(log: EventLog, adaptive: bool = False) -> DataFrame:
     return flat.mapInPandas(_flatten, NODE_DDL)
 
 
+@per_log
 def shared_nodes(log: EventLog) -> DataFrame:
     """Plan nodes for operators that join them several times: walked once, kept in the checkpoint folder."""
-    return log.memo("plan_nodes", lambda: checkpointed(plan_nodes(log)))
+    return checkpointed(plan_nodes(log))
 
 
 def node_signature() -> Column:

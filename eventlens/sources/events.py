@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,9 +234,13 @@ class EventLog:
         return apps.select("app_key").distinct()
 
     def view(self, name: str) -> DataFrame:
-        spec = VIEWS[name]
-        columns = [F.expr(source).alias(column) for column, source in spec.columns.items()]
-        return self._parsed(spec).select("app_key", "seq", *columns)
+        def build() -> DataFrame:
+            spec = VIEWS[name]
+            return self._parsed(spec).selectExpr(
+                "app_key", "seq", *[f"{source} AS {column}" for column, source in spec.columns.items()]
+            )
+
+        return self.memo(f"view {name}", build)
 
     def _of_event(self, spec: View) -> DataFrame:
         if self._lines is not None:
@@ -258,6 +262,16 @@ class EventLog:
         return parsed.filter(mine)
 
 
+def per_log(operator):
+    """Build an operator's DataFrame once per log and arguments, so that shared steps share their plan."""
+
+    @wraps(operator)
+    def once(log: EventLog, *args, **kwargs):
+        return log.memo(f"{operator.__module__}.{operator.__name__}{args}{kwargs}", lambda: operator(log, *args, **kwargs))
+
+    return once
+
+
 def with_event_names(lines: DataFrame) -> DataFrame:
     """Add the `event` column to lines that come from files (null for lines that are not JSON objects)."""
     return lines.withColumn("event", F.get_json_object("value", "$.Event"))

@@ -8,7 +8,7 @@ line item a task (`application_log`), or if every user were an application with
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,31 +60,63 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").withColumn("start_ms", millis("o_orderdate"))
+class Star:
+    """The tables and their joins, each built once per log."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "lineitem")
-        .join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("stage_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-        .withColumn("launch_ms", F.col("start_ms") + F.col("l_linenumber") * 60000)
-        .withColumn("quantity", F.col("l_quantity").cast("bigint"))
-    )
+    def table(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self.table("orders").withColumn("start_ms", millis("o_orderdate"))
 
-def _apps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _orders(spark, sf_dir).groupBy("o_custkey").agg(
-        F.min("start_ms").alias("first_ms"), F.max("start_ms").alias("last_ms"),
-        F.min(F.to_date("o_orderdate")).alias("first_day"),
-    )
-    return spans.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    @cached_property
+    def lineitem(self) -> DataFrame:
+        return self.table("lineitem")
+
+    @cached_property
+    def items(self) -> DataFrame:
+        """Line items with their order: one row per task."""
+        return self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumns({
+            "stage_id": F.col("l_orderkey") * 10 + F.col("l_linenumber"),
+            "launch_ms": F.col("start_ms") + F.col("l_linenumber") * 60000,
+            "quantity": F.col("l_quantity").cast("bigint"),
+        })
+
+    @cached_property
+    def stages(self) -> DataFrame:
+        columns = ["o_custkey", "o_orderkey", "l_linenumber", "o_orderpriority", "start_ms", "launch_ms", "stage_id"]
+        return self.items.select(*columns).distinct()
+
+    @cached_property
+    def apps(self) -> DataFrame:
+        spans = self.orders.groupBy("o_custkey").agg(
+            F.min("start_ms").alias("first_ms"), F.max("start_ms").alias("last_ms"),
+            F.min(F.to_date("o_orderdate")).alias("first_day"),
+        )
+        return spans.join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+
+    @cached_property
+    def executors(self) -> DataFrame:
+        """An order adds an executor; an order with status F removes it after some hours."""
+        number = F.col("o_orderkey") % 4
+        return self.orders.withColumns({
+            "executor": F.when(number == 0, "driver").otherwise(number.cast("string")),
+            "gone_ms": F.col("start_ms") + (F.col("o_orderkey") % 48) * 3600000,
+        })
 
+    @cached_property
+    def sql_orders(self) -> DataFrame:
+        return self.orders.filter("o_orderkey % 5 = 0")
 
-def _app_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _app_start(star: Star) -> DataFrame:
     return _lines(
-        _apps(spark, sf_dir), "o_custkey", position("app_start", F.col("first_ms")), "SparkListenerApplicationStart",
+        star.apps, "o_custkey", position("app_start", F.col("first_ms")), "SparkListenerApplicationStart",
         **{
             "App ID": F.concat(F.lit("application_"), F.col("o_custkey")),
             "App Name": F.concat(F.col("c_name"), F.lit("-"), F.col("first_day").cast("string")),
@@ -93,14 +125,14 @@ def _app_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _app_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _app_end(star: Star) -> DataFrame:
     end = F.col("last_ms") + 86400000
     return _lines(
-        _apps(spark, sf_dir), "o_custkey", position("app_end", end), "SparkListenerApplicationEnd", Timestamp=end
+        star.apps, "o_custkey", position("app_end", end), "SparkListenerApplicationEnd", Timestamp=end
     )
 
 
-def _environment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _environment(star: Star) -> DataFrame:
     # 3 of 4 applications set their overhead to the default
     settings = F.struct(
         F.concat(F.col("c_nationkey") % 8 + 1, F.lit("g")).alias("spark.executor.memory"),
@@ -113,21 +145,14 @@ def _environment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_custkey") % 3 == 0, "512m").alias("spark.executor.memoryOverhead"),
     )
     return _lines(
-        _apps(spark, sf_dir), "o_custkey", position("environment", F.col("first_ms")), "SparkListenerEnvironmentUpdate",
+        star.apps, "o_custkey", position("environment", F.col("first_ms")), "SparkListenerEnvironmentUpdate",
         **{"Spark Properties": settings},
     )
 
 
-def _executors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order adds an executor; an order with status F removes it after some hours."""
-    return _orders(spark, sf_dir).withColumn(
-        "executor", F.when(F.col("o_orderkey") % 4 == 0, "driver").otherwise((F.col("o_orderkey") % 4).cast("string"))
-    ).withColumn("gone_ms", F.col("start_ms") + (F.col("o_orderkey") % 48) * 3600000)
-
-
-def _executor_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _executor_added(star: Star) -> DataFrame:
     return _lines(
-        _executors(spark, sf_dir), "o_custkey", position("executors", F.col("start_ms"), F.col("o_orderkey") * 2),
+        star.executors, "o_custkey", position("executors", F.col("start_ms"), F.col("o_orderkey") * 2),
         "SparkListenerExecutorAdded",
         **{
             "Timestamp": F.col("start_ms"),
@@ -137,9 +162,9 @@ def _executor_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _executor_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _executor_removed(star: Star) -> DataFrame:
     return _lines(
-        _executors(spark, sf_dir).filter("o_orderstatus = 'F'"), "o_custkey",
+        star.executors.filter("o_orderstatus = 'F'"), "o_custkey",
         position("executors", F.col("gone_ms"), F.col("o_orderkey") * 2 + 1), "SparkListenerExecutorRemoved",
         **{
             "Timestamp": F.col("gone_ms"),
@@ -149,10 +174,10 @@ def _executor_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _job_start(spark: SparkSession, sf_dir: str, reruns: bool) -> DataFrame:
+def _job_start(star: Star, reruns: bool) -> DataFrame:
     # at most seven line numbers per order
-    stages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("numbers"))
-    orders = _orders(spark, sf_dir).join(stages, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    stages = star.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("numbers"))
+    orders = star.orders.join(stages, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     ids = F.transform(F.array_sort(F.coalesce("numbers", F.array().cast("array<int>"))), lambda n: F.col("o_orderkey") * 10 + n)
     properties = F.struct(
         F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey").cast("string")).alias("spark.sql.execution.id"),
@@ -167,7 +192,7 @@ def _job_start(spark: SparkSession, sf_dir: str, reruns: bool) -> DataFrame:
     if reruns:
         # a second job lists every even-numbered stage of a SQL execution again, in the middle of its tasks
         again = (
-            _items(spark, sf_dir).filter("o_orderkey % 5 = 0 and l_linenumber % 2 = 0")
+            star.items.filter("o_orderkey % 5 = 0 and l_linenumber % 2 = 0")
             .select("o_custkey", "o_orderkey", "stage_id", "launch_ms").distinct()
         )
         jobs.append(
@@ -183,15 +208,10 @@ def _job_start(spark: SparkSession, sf_dir: str, reruns: bool) -> DataFrame:
     return _union(jobs)
 
 
-def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["o_custkey", "o_orderkey", "l_linenumber", "o_orderpriority", "start_ms", "launch_ms", "stage_id"]
-    return _items(spark, sf_dir).select(*columns).distinct()
-
-
-def _stage_submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stage_submitted(star: Star) -> DataFrame:
     number = F.col("l_linenumber")
     return _lines(
-        _stages(spark, sf_dir), "o_custkey", position("stage_submitted", F.col("start_ms"), F.col("stage_id")),
+        star.stages, "o_custkey", position("stage_submitted", F.col("start_ms"), F.col("stage_id")),
         "SparkListenerStageSubmitted",
         **{
             "Stage Info": _named({
@@ -205,7 +225,7 @@ def _stage_submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _stage_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stage_completed(star: Star) -> DataFrame:
     key, number = F.col("o_orderkey"), F.col("l_linenumber")
     acc = lambda k: key * ACCS + k
     counter = lambda k, name, value: _struct(ID=acc(k), Name=F.lit(name), Value=value)
@@ -219,7 +239,7 @@ def _stage_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     return _lines(
-        _stages(spark, sf_dir), "o_custkey", position("stage_completed", F.col("launch_ms"), F.col("stage_id")),
+        star.stages, "o_custkey", position("stage_completed", F.col("launch_ms"), F.col("stage_id")),
         "SparkListenerStageCompleted",
         **{
             "Stage Info": _named({
@@ -230,8 +250,8 @@ def _stage_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _task_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir).withColumn("finish_ms", F.col("launch_ms") + F.col("quantity") * 1000)
+def _task_end(star: Star) -> DataFrame:
+    items = star.items.withColumn("finish_ms", F.col("launch_ms") + F.col("quantity") * 1000)
     quantity, flag, status = F.col("quantity"), F.col("l_returnflag"), F.col("l_linestatus")
     spilled = F.when(flag == "R", quantity * 65536).otherwise(F.lit(0).cast("bigint"))
     written = F.when(status == "F", F.col("l_partkey") * 1000).otherwise(F.lit(0).cast("bigint"))
@@ -342,11 +362,7 @@ def _plan(two_scans: bool) -> Column:
     )
 
 
-def _sql_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).filter("o_orderkey % 5 = 0")
-
-
-def _sql_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sql_start(star: Star) -> DataFrame:
     key, start = F.col("o_orderkey"), F.col("start_ms")
     event = f"{SQL_UI}SparkListenerSQLExecutionStart"
     plan_text = F.concat(
@@ -359,14 +375,14 @@ def _sql_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
     plan = F.when(key % 3 == 0, _plan(True)).otherwise(_plan(False))
     body = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"sparkPlanInfo":'), plan, F.lit("}"))
-    return _sql_orders(spark, sf_dir).select(
+    return star.sql_orders.select(
         F.concat(F.lit("application_"), F.col("o_custkey")).alias("app_key"),
         position("sql_start", start, key).alias("seq"), body.alias("value"), F.lit(event).alias("event"),
     )
 
 
-def _driver_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ran = _sql_orders(spark, sf_dir).filter("o_orderstatus != 'P'")
+def _driver_updates(star: Star) -> DataFrame:
+    ran = star.sql_orders.filter("o_orderstatus != 'P'")
     key, start = F.col("o_orderkey"), F.col("start_ms")
     price = F.floor("o_totalprice").cast("bigint")
     pair = lambda k, value: F.array(key * ACCS + k, value.cast("bigint"))
@@ -384,30 +400,31 @@ def _driver_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sql_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sql_end(star: Star) -> DataFrame:
     key, start = F.col("o_orderkey"), F.col("start_ms")
     return _lines(
-        _sql_orders(spark, sf_dir), "o_custkey", position("sql_end", start, key),
+        star.sql_orders, "o_custkey", position("sql_end", start, key),
         f"{SQL_UI}SparkListenerSQLExecutionEnd", executionId=key, time=start + key % 1000,
     )
 
 
 def application_log(spark: SparkSession, sf_dir: str, reruns: bool = False) -> EventLog:
     """Customers as applications, orders as jobs, line items as tasks, every fifth order as a SQL execution."""
-    apps = table(spark, sf_dir, "orders").select(F.concat(F.lit("application_"), F.col("o_custkey")).alias("app_key"))
+    star = Star(spark, sf_dir)
+    apps = star.orders.select(F.concat(F.lit("application_"), F.col("o_custkey")).alias("app_key"))
     return EventLog(apps=apps, parts={
-        "SparkListenerApplicationStart": lambda: _app_start(spark, sf_dir),
-        "SparkListenerEnvironmentUpdate": lambda: _environment(spark, sf_dir),
-        "SparkListenerExecutorAdded": lambda: _executor_added(spark, sf_dir),
-        "SparkListenerExecutorRemoved": lambda: _executor_removed(spark, sf_dir),
-        f"{SQL_UI}SparkListenerSQLExecutionStart": lambda: _sql_start(spark, sf_dir),
-        "SparkListenerJobStart": lambda: _job_start(spark, sf_dir, reruns),
-        "SparkListenerStageSubmitted": lambda: _stage_submitted(spark, sf_dir),
-        f"{SQL_UI}SparkListenerDriverAccumUpdates": lambda: _driver_updates(spark, sf_dir),
-        "SparkListenerTaskEnd": lambda: _task_end(spark, sf_dir),
-        "SparkListenerStageCompleted": lambda: _stage_completed(spark, sf_dir),
-        f"{SQL_UI}SparkListenerSQLExecutionEnd": lambda: _sql_end(spark, sf_dir),
-        "SparkListenerApplicationEnd": lambda: _app_end(spark, sf_dir),
+        "SparkListenerApplicationStart": lambda: _app_start(star),
+        "SparkListenerEnvironmentUpdate": lambda: _environment(star),
+        "SparkListenerExecutorAdded": lambda: _executor_added(star),
+        "SparkListenerExecutorRemoved": lambda: _executor_removed(star),
+        f"{SQL_UI}SparkListenerSQLExecutionStart": lambda: _sql_start(star),
+        "SparkListenerJobStart": lambda: _job_start(star, reruns),
+        "SparkListenerStageSubmitted": lambda: _stage_submitted(star),
+        f"{SQL_UI}SparkListenerDriverAccumUpdates": lambda: _driver_updates(star),
+        "SparkListenerTaskEnd": lambda: _task_end(star),
+        "SparkListenerStageCompleted": lambda: _stage_completed(star),
+        f"{SQL_UI}SparkListenerSQLExecutionEnd": lambda: _sql_end(star),
+        "SparkListenerApplicationEnd": lambda: _app_end(star),
     })
 
 
