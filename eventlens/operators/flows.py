@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions import scalars as S
 from eventlens.operators.ordering import last_before
+from eventlens.operators.tasks import shared_stage_totals
 from eventlens.plans import tree
 from eventlens.sources.events import EventLog, per_log
 
@@ -19,6 +20,16 @@ def _stage_listings(log: EventLog) -> DataFrame:
     )
 
 
+@per_log
+def _listed_stages(log: EventLog) -> DataFrame:
+    """First listing of each stage and whether all its listings name the same execution."""
+    return _stage_listings(log).groupBy("app_key", "stage_id").agg(
+        F.min("seq").alias("listed_seq"),
+        F.min("execution_id").alias("execution_id"),
+        (F.min("execution_id") != F.max("execution_id")).alias("changes"),
+    )
+
+
 def with_execution(rows: DataFrame, log: EventLog) -> DataFrame:
     """Add `execution_id` to rows (app_key, stage_id, seq, ...): the execution of the latest earlier job start that
     lists the stage. Rows without one are left out.
@@ -26,23 +37,21 @@ def with_execution(rows: DataFrame, log: EventLog) -> DataFrame:
     Nearly every stage is listed for one execution only; those take an equi join with one row per stage. Stages
     that change their execution over time need the order of events and take an as-of lookup in chunks.
     """
-    listings = _stage_listings(log)
-    stages = listings.groupBy("app_key", "stage_id").agg(
-        F.min("seq").alias("listed_seq"),
-        F.min("execution_id").alias("execution_id"),
-        F.max("execution_id").alias("other_id"),
+    on = ["app_key", "stage_id"]
+    stages = _listed_stages(log)
+    direct = (
+        rows.join(stages.filter("not changes").drop("changes"), on)
+        .filter("listed_seq < seq")
+        .select(*rows.columns, "execution_id")
     )
-    single = stages.filter("execution_id = other_id").drop("other_id")
-    changing = stages.filter("execution_id != other_id").select("app_key", "stage_id")
-    direct = rows.join(single, ["app_key", "stage_id"]).filter("listed_seq < seq").drop("listed_seq")
-    if log.memo("stages_change", lambda: changing.isEmpty()):
+    changing = stages.filter("changes").select(*on)
+    if log.memo("no stage changes", changing.isEmpty):
         return direct
-    on = ["app_key", "stage_id"]
-    moments = listings.join(changing, on, "left_semi").withColumnRenamed("execution_id", "listed_id")
+    moments = _stage_listings(log).join(changing, on, "left_semi").withColumnRenamed("execution_id", "listed_id")
     late = rows.join(changing, on, "left_semi").withColumn("_row", F.lit(True))
     ordered = last_before(late.unionByName(moments, allowMissingColumns=True), on, "seq", "listed_id", "execution_id")
     asof = ordered.filter("_row and execution_id is not null").select(*rows.columns, "execution_id")
-    return direct.select(*rows.columns, "execution_id").unionByName(asof)
+    return direct.unionByName(asof)
 
 
 def task_execution(log: EventLog) -> DataFrame:
@@ -52,21 +61,34 @@ def task_execution(log: EventLog) -> DataFrame:
 
 @per_log
 def execution_io(log: EventLog) -> DataFrame:
-    """Task input and output per SQL execution, counting tasks that end after the execution has started."""
+    """Task input and output per SQL execution, counting tasks that end after the execution has started.
+
+    A stage belongs as a whole to its execution when it never changes it and all its tasks end after the listing
+    and the start; then its totals are enough. Only tasks of other stages are looked up one by one.
+    """
     io = ["input_bytes", "input_records", "output_bytes", "output_records"]
-    tasks = log.view("task_end").select("app_key", "stage_id", "seq", *io)
-    tasks = tasks.filter(" or ".join(f"{c} > 0" for c in io))
-    starts = tree.executions(log).select("app_key", "execution_id", "start_seq")
-    return (
-        with_execution(tasks, log)
-        .join(starts, ["app_key", "execution_id"])
-        .filter("start_seq < seq")
-        .groupBy("app_key", "execution_id")
-        .agg(
-            *[F.sum(c).alias(f"task_{c}") for c in io],
-            F.count_if(F.col("output_bytes") > 0).alias("task_files"),
-        )
+    on = ["app_key", "stage_id"]
+    keys = ["app_key", "execution_id"]
+    starts = tree.executions(log).select(*keys, "start_seq")
+    ordered = F.col("first_any_seq") > F.greatest("listed_seq", "start_seq")
+    placed = (
+        shared_stage_totals(log).select(*on, "first_any_seq", *io, "writing_tasks")
+        .join(_listed_stages(log), on)
+        .join(starts, keys, "left")
+        .withColumn("whole", ~F.col("changes") & ordered)
     )
+    totals = [F.col(c).alias(f"task_{c}") for c in io]
+    parts = placed.filter("whole").select(*keys, *totals, F.col("writing_tasks").alias("task_files"))
+    single = placed.filter("changes or not whole").select(*on)
+    if not single.isEmpty():
+        tasks = log.view("task_end").select(*on, "seq", *io).filter(" or ".join(f"{c} > 0" for c in io))
+        late = with_execution(tasks.join(single, on, "left_semi"), log).join(starts, keys).filter("start_seq < seq")
+        parts = parts.unionByName(
+            late.select(*keys, *totals, (F.col("output_bytes") > 0).cast("bigint").alias("task_files"))
+        )
+    return parts.groupBy(*keys).agg(*[
+        F.sum(c).alias(c) for c in [f"task_{c}" for c in io] + ["task_files"]
+    ])
 
 
 def _metric(name: str, column: str):

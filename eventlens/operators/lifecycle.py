@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions import scalars as S
 from eventlens.operators.ordering import CHUNK, before_chunk, in_chunks
+from eventlens.operators.tasks import shared_stage_totals
 from eventlens.sources.events import EventLog, per_log
 
 
@@ -73,14 +74,14 @@ def peak_heap(log: EventLog, modern_heap: bool = False) -> DataFrame:
     Older logs carry one `Executor Metrics` object or an `executorsUpdates` map. `modern_heap` also reads what
     current Spark writes: the array form and the per-stage executor metrics.
     """
-    tasks = log.view("task_end").filter("has_metrics").select("app_key", "heap")
+    stages = shared_stage_totals(log).select("app_key", F.col("max_heap").alias("heap"))
     updates = log.view("heap_update")
     from_map = F.array_max(F.transform(F.map_values("by_executor"), lambda v: v["JVMHeapMemory"]))
     heap = F.when(F.col("direct").isNotNull(), F.col("direct.JVMHeapMemory")).otherwise(from_map)
     if modern_heap:
         from_array = F.array_max(F.transform("updated", lambda v: v["Executor Metrics"]["JVMHeapMemory"]))
         heap = F.greatest(heap, from_array)
-    sources = tasks.unionByName(updates.select("app_key", heap.alias("heap")))
+    sources = stages.unionByName(updates.select("app_key", heap.alias("heap")))
     if modern_heap:
         sources = sources.unionByName(log.view("stage_executor_metrics").select("app_key", "heap"))
     return sources.groupBy("app_key").agg(F.greatest(F.max("heap"), S.bigint(0)).alias("peak_heap"))
@@ -304,16 +305,20 @@ def preempted_executors(log: EventLog) -> DataFrame:
 
 def preempted_tasks(log: EventLog) -> DataFrame:
     """Tasks whose end reason mentions preemption, or that failed on an executor preempted earlier in the log."""
+    by_text = shared_stage_totals(log).groupBy("app_key").agg(F.sum("preempted_by_text").alias("preempted_tasks"))
+    by_text = by_text.filter("preempted_tasks > 0")
+    removals = preempted_removals(log)
+    if removals.isEmpty():  # spares a second pass over the tasks
+        return by_text
     tasks = log.view("task_end").select("app_key", "seq", "executor_id", "reason")
     told = S.mentions_preemption(F.col("reason"))
-    by_text = tasks.filter(told).groupBy("app_key").agg(F.count("*").alias("n"))
     outcome = F.coalesce(F.get_json_object("reason", "$.Reason"), F.lit(""))
-    first = preempted_removals(log).groupBy("app_key", "executor_id").agg(F.min("seq").alias("preempted_seq"))
+    first = removals.groupBy("app_key", "executor_id").agg(F.min("seq").alias("preempted_seq"))
     by_executor = (
         tasks.filter(~told & (outcome != "Success"))
         .join(first, ["app_key", "executor_id"])  # one row per executor: no fan-out
         .filter("preempted_seq < seq")
         .groupBy("app_key")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("preempted_tasks"))
     )
-    return by_text.unionByName(by_executor).groupBy("app_key").agg(F.sum("n").alias("preempted_tasks"))
+    return by_text.unionByName(by_executor).groupBy("app_key").agg(F.sum("preempted_tasks").alias("preempted_tasks"))

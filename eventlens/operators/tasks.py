@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions import scalars as S
+from eventlens.operators.ordering import checkpointed
 from eventlens.sources.events import EventLog, per_log
 
 MEASURES = [
@@ -30,13 +31,30 @@ def stage_totals(log: EventLog) -> DataFrame:
         S.zero_if_null(F.max(F.when(measured, F.col("shuffle_read")))).alias("max_task_shuffle_read"),
         S.zero_if_null(F.max(F.when(measured, F.col("shuffle_write")))).alias("max_task_shuffle_write"),
         F.min(F.when(measured, F.col("seq"))).alias("first_seq"),
+        F.min("seq").alias("first_any_seq"),
+        F.count_if(F.col("output_bytes") > 0).alias("writing_tasks"),
+        F.count_if(S.mentions_preemption(F.col("reason"))).alias("preempted_by_text"),
+        S.zero_if_null(F.max(F.when(measured, F.col("heap")))).alias("max_heap"),
+        F.max("heap").alias("max_heap_any"),
     )
 
 
+STAGE_COLUMNS = [
+    "app_key", "stage_id", "tasks", "measured_tasks", "task_ms", *MEASURES, "max_task_shuffle_read", "max_task_shuffle_write",
+]
+
+
+@per_log
+def shared_stage_totals(log: EventLog) -> DataFrame:
+    """Stage totals for results that use them several times: one pass over the tasks, kept in the checkpoint folder
+    (one row per stage)."""
+    return checkpointed(stage_totals(log))
+
+
 @per_log
 def task_totals(log: EventLog) -> DataFrame:
     totals = ["tasks", "task_ms", *MEASURES]
-    return stage_totals(log).groupBy("app_key").agg(
+    return shared_stage_totals(log).groupBy("app_key").agg(
         *[F.sum(c).cast("bigint").alias(c) for c in totals],
         F.max("max_task_shuffle_read").alias("max_task_shuffle_read"),
         F.max("max_task_shuffle_write").alias("max_task_shuffle_write"),
@@ -53,7 +71,7 @@ def stage_jobs(log: EventLog) -> DataFrame:
 @per_log
 def job_shuffle(log: EventLog) -> DataFrame:
     """Shuffle totals per job: the sum over the stages that belong to it."""
-    measured = stage_totals(log).filter("measured_tasks > 0 and stage_id is not null")
+    measured = shared_stage_totals(log).filter("measured_tasks > 0 and stage_id is not null")
     return (
         measured.join(stage_jobs(log), ["app_key", "stage_id"])
         .filter("job_id is not null")
@@ -77,7 +95,7 @@ def _largest(df: DataFrame, key: str, measures: dict[str, str]) -> DataFrame:
 
 def max_stages(log: EventLog) -> DataFrame:
     """Stages with most shuffle read, shuffle write and spilled memory (a stage is named even if all are 0)."""
-    measured = stage_totals(log).filter("measured_tasks > 0 and stage_id is not null")
+    measured = shared_stage_totals(log).filter("measured_tasks > 0 and stage_id is not null")
     return _largest(measured, "stage_id", {
         "shuffle_read": "max_shuffle_read", "shuffle_write": "max_shuffle_write", "spill_memory": "max_spill_memory",
     })
@@ -91,7 +109,7 @@ def max_jobs(log: EventLog) -> DataFrame:
 
 def max_positive_stages(log: EventLog) -> DataFrame:
     """Alternate rule: only stages that spilled at all, for memory and for disk, with the job of each."""
-    stages = stage_totals(log).filter("stage_id is not null")
+    stages = shared_stage_totals(log).filter("stage_id is not null")
     jobs = stage_jobs(log)
     out = None
     for measure in ("spill_memory", "spill_disk"):

@@ -158,7 +158,7 @@ def task_totals(spark, sf_dir):
 
 @query
 def stage_totals(spark, sf_dir):
-    return tasks.stage_totals(application_log(spark, sf_dir)).drop("first_seq")
+    return tasks.stage_totals(application_log(spark, sf_dir)).select(*tasks.STAGE_COLUMNS)
 
 
 @query

@@ -60,6 +60,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of a table that is stored as a single split; large tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Star:
     """The tables and their joins, each built once per log."""
 
@@ -72,11 +78,11 @@ class Star:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self.table("orders").withColumn("start_ms", millis("o_orderdate"))
+        return spread(self.table("orders")).withColumn("start_ms", millis("o_orderdate"))
 
     @cached_property
     def lineitem(self) -> DataFrame:
-        return self.table("lineitem")
+        return spread(self.table("lineitem"))
 
     @cached_property
     def items(self) -> DataFrame:
@@ -430,7 +436,7 @@ def application_log(spark: SparkSession, sf_dir: str, reruns: bool = False) -> E
 
 def activity_log(spark: SparkSession, sf_dir: str) -> EventLog:
     """Users as applications: sign-ups add executors, errors remove them, purchases are tasks."""
-    events = table(spark, sf_dir, "events").withColumn("ms", millis("ts")).withColumn(
+    events = spread(table(spark, sf_dir, "events")).withColumn("ms", millis("ts")).withColumn(
         "us", F.unix_micros(F.col("ts").cast("timestamp"))
     )
     event_id, value, ms = F.col("event_id"), F.col("value"), F.col("ms")
