@@ -79,24 +79,30 @@ def int_setting(props: Column, key: str, default: int) -> Column:
     return F.coalesce(props[key].try_cast("bigint"), bigint(default))
 
 
+def _let(value: Column, body) -> Column:
+    """Name an intermediate value, so that a long expression does not repeat it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def round2(x: Column) -> Column:
     """Round a double to two decimals from its exact binary value, halves to even (what Python's round does).
 
     Spark's own round works on the printed digits, so it turns 1.005 (binary 1.00499...) into 1.01. The value is
     split into a high and a low half; both halves times 100 are exact, so the distance to the tie is exact too.
     """
-    scaled = x * 134217729.0  # 2^27 + 1
-    high = scaled - (scaled - x)
-    low = x - high
-    big, small = high * 100.0, low * 100.0
-    whole = F.floor(big + small).cast("double")
-    over_half = ((big - whole) - 0.5) + small
-    step = (
-        F.when(over_half > 0, 1.0)
-        .when(over_half < 0, 0.0)
-        .otherwise(F.pmod(whole, F.lit(2.0)))
-    )
-    return F.when(x.isNotNull(), (whole + step) / 100.0)
+    split = 134217729.0  # 2^27 + 1
+
+    def rounded(x: Column, high: Column, whole: Column) -> Column:
+        over_half = ((high * 100.0 - whole) - 0.5) + (x - high) * 100.0
+        step = F.when(over_half > 0, 1.0).when(over_half < 0, 0.0).otherwise(F.pmod(whole, F.lit(2.0)))
+        return (whole + step) / 100.0
+
+    return _let(x, lambda x: _let(
+        x * split - (x * split - x),
+        lambda high: _let(
+            F.floor(high * 100.0 + (x - high) * 100.0).cast("double"), lambda whole: rounded(x, high, whole)
+        ),
+    ))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -106,29 +112,13 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """Bytes as text with two decimals. Exactly 1024 stays unscaled and the unit below 1 KB is blank.
-
-    Exact decimal arithmetic with halves to even, as C and Python print a double that is a multiple of 2^-k.
-    """
-    n = n.cast("decimal(38,0)")
-    def text(power: int, label: str) -> Column:
-        unit = F.lit(1024**power).cast("decimal(20,0)")
-        hundredths = F.expr("cast(100 as decimal(3,0))") * n
-        q = F.call_function("div", hundredths, unit).cast("bigint")
-        rest = (hundredths - q * unit) * F.expr("cast(2 as decimal(1,0))")
-        up = (rest > unit) | ((rest == unit) & (q % 2 == 1))
-        q = q + F.when(up, bigint(1)).otherwise(bigint(0))
-        return F.concat(
-            F.call_function("div", q, bigint(100)).cast("string"),
-            F.lit("."),
-            F.lpad((q % 100).cast("string"), 2, "0"),
-            F.lit(f" {label}"),
-        )
-
-    out = text(0, "")
-    for power, label in enumerate(["KB", "MB", "GB", "TB", "B"], start=1):
-        out = F.when(n > F.lit(1024**power).cast("decimal(20,0)"), text(power, label)).otherwise(out)
-    return out
+    """Bytes as text with two decimals. Exactly 1024 stays unscaled and the unit below 1 KB is blank."""
+    size, label = F.lit(1.0), F.lit("")
+    for power, name in enumerate(["KB", "MB", "GB", "TB", "B"], start=1):
+        larger = n > F.lit(1024**power).cast("decimal(20,0)")
+        size = F.when(larger, float(1024**power)).otherwise(size)
+        label = F.when(larger, name).otherwise(label)
+    return F.format_string("%.2f %s", round2(n.cast("double") / size), label)
 
 
 def in_unit(n: Column, unit: str) -> Column:

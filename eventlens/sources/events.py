@@ -221,7 +221,8 @@ class EventLog:
     def lines(self) -> DataFrame:
         if self._lines is not None:
             return self._lines
-        return reduce(DataFrame.unionByName, [part() for part in self._parts.values()])
+        parts = [self.memo(f"part {event}", part) for event, part in self._parts.items()]
+        return reduce(DataFrame.unionByName, parts)
 
     def memo(self, name: str, build):
         """Build a shared intermediate once per log (checkpointed steps must not run twice)."""
@@ -245,10 +246,11 @@ class EventLog:
     def _of_event(self, spec: View) -> DataFrame:
         if self._lines is not None:
             return self._lines
-        mine = [part for event, part in self._parts.items() if event.removeprefix(SQL_UI) == spec.event]
-        if mine:
-            return mine[0]()
-        return next(iter(self._parts.values()))().filter(F.lit(False))  # an event type this source never logs
+        for event in self._parts:
+            if event.removeprefix(SQL_UI) == spec.event:
+                return self.memo(f"part {event}", self._parts[event])
+        any_event = next(iter(self._parts))  # an event type that this source never logs
+        return self.memo(f"part {any_event}", self._parts[any_event]).filter(F.lit(False))
 
     def _parsed(self, spec: View) -> DataFrame:
         lines = self._of_event(spec)
