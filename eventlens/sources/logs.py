@@ -160,15 +160,23 @@ def read_errors(spark: SparkSession, path: str, group_parts: bool = False) -> Da
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Logs a user can pick: plain logs and the `appstatus_` anchors of rolling logs, newest first."""
+    """Logs a user can pick: plain logs and rolling logs (path of the `appstatus_` anchor), newest first.
+
+    Anchors are empty files, which Spark leaves out of scans, so rolling logs are listed by their event files.
+    """
     files = _files(spark, path)
     name = F.col("file_name")
     plain = files.filter(name.startswith("application_")).select(name.alias("filename"), "modificationTime", "path")
-    rolling = files.filter(name.startswith("appstatus_application_")).select(
-        F.replace(name, F.lit("appstatus_"), F.lit("")).alias("filename"), "modificationTime", "path"
+    folder = F.regexp_extract("path", "^(.*/)[^/]*$", 1)
+    rolling = files.filter(name.rlike(r"^(events_\d+_|appstatus_)application_")).select(
+        log_name(name).alias("filename"),
+        "modificationTime",
+        F.concat(folder, F.lit("appstatus_"), log_name(name)).alias("path"),
     )
     return (
         plain.unionByName(rolling)
+        .groupBy("filename", "path")
+        .agg(F.max("modificationTime").alias("modificationTime"))
         .select(
             log_name(F.col("filename")).alias("app_key"),
             "filename",
