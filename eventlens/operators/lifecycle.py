@@ -213,15 +213,13 @@ def executor_lifetimes_by_cores(log: EventLog) -> DataFrame:
     added = log.view("executor_added").groupBy("app_key", "executor_id").agg(
         F.max_by(F.struct("ts", "cores"), "seq").alias("a"), F.max("seq").alias("added_seq")
     )
-    removed = log.view("executor_removed").select("app_key", "executor_id", "ts", F.col("seq").alias("removed_seq"))
-    ended = (
-        added.join(removed, ["app_key", "executor_id"])
-        .filter("removed_seq > added_seq")
-        .groupBy("app_key", "executor_id")
-        .agg(F.max_by("ts", "removed_seq").alias("removed_ms"))
+    # the last removal of all is after the last addition exactly when any is
+    removed = log.view("executor_removed").groupBy("app_key", "executor_id").agg(
+        F.max_by("ts", "seq").alias("last_ms"), F.max("seq").alias("removed_seq")
     )
     return (
-        added.join(ended, ["app_key", "executor_id"], "left")
+        added.join(removed, ["app_key", "executor_id"], "left")
+        .withColumn("removed_ms", F.when(F.col("removed_seq") > F.col("added_seq"), F.col("last_ms")))
         .join(app_times(log).select("app_key", F.col("end_ms").alias("app_end_ms")), "app_key", "left")
         .select(
             "app_key",

@@ -9,6 +9,7 @@ per (group, chunk) is carried from chunk to chunk. The number of chunks is the n
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,22 +17,27 @@ from pyspark.sql import functions as F
 CHUNK = "chunk"
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; in local mode a temporary folder where none is set."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        shared = tempfile.mkdtemp(prefix="eventlens-checkpoint-")
-    context.setCheckpointDir(shared)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="eventlens-checkpoint-"))
+        folder = context.getCheckpointDir()
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared checkpoint folder; survives the loss of executors."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage: write the rows once to the shared checkpoint folder and go on from there.
+
+    The files survive the loss of executors. As parquet they are computed in one pass, later steps read only the
+    columns they need, and Spark knows their size when it chooses joins.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/eventlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def in_chunks(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:

@@ -114,7 +114,7 @@ def test_stored_lines_give_the_same_results(spark, folder, make_log):
     assert "PartitionFilters: [isnotnull(event" in plan or "PartitionFilters: [" in plan and "TaskEnd" in plan
 
 
-def test_real_log(folder):
+def test_real_log(spark, folder):
     """A log written by Spark itself, in another process."""
     import subprocess
     import sys
@@ -134,9 +134,6 @@ spark.stop()
     assert len(written) == 1
     (folder / "logs").mkdir()
     (folder / "logs" / "application_1_2").write_bytes(written[0].read_bytes())
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
     log = logs.read_logs(spark, str(folder / "logs"))
     got = summary.app_summary(log, modern_heap=True).first()
     assert (got["Application Name"], got["Executor Memory"], got["Max Active Executors"]) == ("probe", 2 * 1024**3, 0)
