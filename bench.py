@@ -9,9 +9,7 @@ from pyspark.sql import SparkSession
 from eventlens.queries.registry import QUERIES
 
 HEADLINE = [
-    "max_shuffle_stage", "stage_totals", "task_totals", "stage_detail", "task_execution", "read_metrics",
-    "write_metrics", "operation_list", "executor_timeline", "max_active_executors", "idle_cores",
-    "preempted_tasks", "accumulator_rollup", "app_summary", "alt_profile",
+    "max_shuffle_stage", "stage_detail", "write_metrics", "executor_timeline", "idle_cores", "app_summary",
 ]
 
 
