@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.functions import scalars as S
 from eventlens.operators import alt, detail, flows, lifecycle, operations, report, sizing, summary, tasks
 from eventlens.plans import tree
 from eventlens.sources import logs
