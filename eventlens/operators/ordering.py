@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 CHUNK = "chunk"
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; in local mode a temporary folder where none is set."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -35,7 +35,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The files survive the loss of executors. As parquet they are computed in one pass, later steps read only the
     columns they need, and Spark knows their size when it chooses joins.
     """
-    path = f"{_shared_folder(df.sparkSession)}/eventlens-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/eventlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
