@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventlens.llm import sharding, token_counts
+from eventlens.llm import mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
 from eventlens.llm.common import read_table
 from eventlens.operators.ordering import shared_folder
 
@@ -33,3 +34,34 @@ def op3_token_counts(spark, sf_dir):
     cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), cache)
+
+
+@query
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.rule_quality(read_table(spark, sf_dir, "documents")).drop("votes", "quality_probability")
+
+
+@query
+def op1_quality_classifier(spark, sf_dir):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality_classifier.score_quality(docs, labels)
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs, labels)
+
+
+@query
+def op5_packing(spark, sf_dir):
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as file:
+        model = file.read()
+    pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), model, split_at_spaces=True)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op7_mixing(spark, sf_dir):
+    return mixing.mix_documents(read_table(spark, sf_dir, "documents")).drop("source")
