@@ -26,8 +26,11 @@ class Rule:
 
 
 #: Measures are shares of the words, lines or characters of a whole text; see `measures`.
+#: Each kind of junk is seen by two rules or more, as agreement is all that EM can learn from.
 RULES = (
     Rule("symbols", "symbol_share", 0.05, 0.2),
+    Rule("no_letters", "other_char_share", 0.06, 0.1),
+    Rule("bare_marks", "bare_mark_share", 0.05, 0.2),
     Rule("exclamation", "exclamation_share", 0.1, 0.4),
     Rule("capitals", "capital_share", 0.15, 0.3),
     Rule("repeated_windows", "repeat_share", 0.15, 0.35),
@@ -64,6 +67,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words",
         F.char_length(F.concat_ws("", "words")).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
+        F.char_length(F.regexp_replace("text", "[\\p{L}\\x20\\x09-\\x0D]+", "")).cast("bigint").alias("n_other_chars"),
+        F.size(F.filter("words", lambda w: ~w.rlike("\\p{L}"))).cast("bigint").alias("n_without_letters"),
         F.regexp_count("text", F.lit("!")).cast("bigint").alias("n_exclamations"),
         F.regexp_count("text", F.lit("\\p{Lu}")).cast("bigint").alias("n_capitals"),
         F.size("lines").cast("bigint").alias("n_lines"),
@@ -97,6 +102,8 @@ def measures(counts: DataFrame) -> DataFrame:
     per_word = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words"))
     return counts.withColumns({
         "symbol_share": per_word("n_symbols"),
+        "other_char_share": F.when(F.col("word_chars") > 0, F.col("n_other_chars") / F.col("word_chars")),
+        "bare_mark_share": per_word("n_without_letters"),
         "exclamation_share": per_word("n_exclamations"),
         "capital_share": F.when(F.col("word_chars") > 0, F.col("n_capitals") / F.col("word_chars")),
         "repeat_share": per_word("n_repeat_words"),
@@ -131,7 +138,7 @@ def fit(voted: DataFrame, n_rules: int, iterations: int = ITERATIONS) -> DataFra
     expectation-maximisation over the votes of all rows.
 
     Rows are first counted by their pattern of votes, on the map side too. There are at most 3 ** n_rules patterns
-    (2,187 for the seven rules here) whatever the size of the table, so that one row holds them all and the iterations
+    (19,683 for the nine rules here) whatever the size of the table, so that one row holds them all and the iterations
     are one fold over it. Without rows the model is the one that EM starts from.
     """
     patterns = voted.groupBy("votes").agg(F.count("*").cast("double").alias("n")).agg(

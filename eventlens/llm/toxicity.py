@@ -31,7 +31,8 @@ SEPARATORS = "._-~'`^#%&=/\\,:;"
 SWAP, SEPARATE, DROP, SHORTEN = 0.5, 0.2, 6.0, 0.5
 
 SYMBOLS = 64  # 0 boundary, 1 to 26 letters, 27 to 62 other letters by code point, 63 anything else
-FEATURE_BITS, MIN_SUPPORT, PREFIXES, EVIDENCE, THRESHOLD = 22, 5, (4, 5, 6), 2, 0.5
+FEATURE_BITS, MIN_SUPPORT, PREFIXES, EVIDENCE, THRESHOLD = 22, 3, (4, 5, 6), 2, 0.5
+CHANCE = 0.5
 CACHE_WORDS = 200_000  # words that one task remembers; it starts afresh beyond
 
 
@@ -205,11 +206,16 @@ def _count_features(model: np.ndarray):
     return count
 
 
+def _information(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
+
+
 def evidence(labelled: DataFrame, model: np.ndarray) -> tuple[np.ndarray, float]:
     """Log ratio of each feature's share of toxic and of clean rows where it speaks for toxic, and the log odds of toxic.
 
-    All labelled rows count. The table has 2 ** FEATURE_BITS entries at any size of the corpus; only features found in
-    MIN_SUPPORT toxic rows are brought to the driver."""
+    All labelled rows count. A feature speaks only if texts with it are toxic more often than not, and if its likelihood
+    ratio test, at CHANCE shared among all features tried, rules out chance: any text has some words that lean one way. The table has 2 ** FEATURE_BITS entries at any
+    size of the corpus; only features found in MIN_SUPPORT toxic rows are brought to the driver."""
     sums = labelled.select("text", "label").mapInArrow(
         _count_features(model), "feature bigint, clean bigint, toxic bigint"
     ).groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -217,9 +223,15 @@ def evidence(labelled: DataFrame, model: np.ndarray) -> tuple[np.ndarray, float]
     at, clean, toxic = (found.column(c).to_numpy() for c in ("feature", "clean", "toxic"))
     rows = at < 0
     n_clean, n_toxic = int(clean[rows].sum()), int(toxic[rows].sum())
+    at, clean, toxic = at[~rows], clean[~rows].astype(float), toxic[~rows].astype(float)
+    with_it = (toxic + clean) / max(n_toxic + n_clean, 1)
+    gain = 2 * (_information(toxic, n_toxic * with_it) + _information(clean, n_clean * with_it)
+                + _information(n_toxic - toxic, n_toxic * (1 - with_it)) + _information(n_clean - clean, n_clean * (1 - with_it)))
+    leaning = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
     ratios = np.zeros(1 << FEATURE_BITS, dtype=np.float32)
-    ratios[at[~rows]] = np.log((toxic[~rows] + 0.5) / (n_toxic + 1)) - np.log((clean[~rows] + 0.5) / (n_clean + 1))
-    return np.maximum(ratios, 0), float(np.log((n_toxic + 0.5) / (n_clean + 0.5)))
+    prior = float(np.log((n_toxic + 0.5) / (n_clean + 0.5)))
+    ratios[at] = np.where((leaning > max(0.0, -prior)) & (gain > 2 * np.log(max(len(at), 1) / CHANCE)), leaning, 0)
+    return ratios, prior
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
