@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import held_out, split_words
+from eventlens.operators.ordering import checkpointed
 
 #: Letters that characters may stand for.
 LOOKALIKES = {
@@ -26,13 +27,14 @@ LOOKALIKES = {
 }
 #: Characters that may separate the letters of one word; a look-alike seldom stands for nothing.
 SEPARATORS = "._-~'`^#%&=/\\,:;"
-#: Costs in nats. Leaving out a look-alike must cost more than a letter does under the language model (two to three
-#: nats), or the shorter word would always win.
-SWAP, SEPARATE, DROP, SHORTEN = 0.5, 0.2, 6.0, 0.5
+#: Costs in nats. Leaving out a look-alike must cost more than any letter does under the language model, or the
+#: shorter word would often win.
+SWAP, SEPARATE, DROP, SHORTEN = 0.5, 0.2, 15.0, 0.5
 
 SYMBOLS = 64  # 0 boundary, 1 to 26 letters, 27 to 62 other letters by code point, 63 anything else
 FEATURE_BITS, MIN_SUPPORT, PREFIXES, EVIDENCE, THRESHOLD = 22, 3, (4, 5, 6), 2, 0.5
 CHANCE = 0.5
+STEP, STEPS = 0.1, 400  # strengths of texts are counted in steps to fit the final curve
 CACHE_WORDS = 200_000  # words that one task remembers; it starts afresh beyond
 
 
@@ -210,8 +212,8 @@ def _information(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
 
 
-def evidence(labelled: DataFrame, model: np.ndarray) -> tuple[np.ndarray, float]:
-    """Log ratio of each feature's share of toxic and of clean rows where it speaks for toxic, and the log odds of toxic.
+def evidence(labelled: DataFrame, model: np.ndarray) -> np.ndarray:
+    """Log ratio of each feature's share of toxic and of clean rows where it speaks for toxic, else 0.
 
     All labelled rows count. A feature speaks only if texts with it are toxic more often than not, and if its likelihood
     ratio test, at CHANCE shared among all features tried, rules out chance: any text has some words that lean one way. The table has 2 ** FEATURE_BITS entries at any
@@ -229,33 +231,77 @@ def evidence(labelled: DataFrame, model: np.ndarray) -> tuple[np.ndarray, float]
                 + _information(n_toxic - toxic, n_toxic * (1 - with_it)) + _information(n_clean - clean, n_clean * (1 - with_it)))
     leaning = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
     ratios = np.zeros(1 << FEATURE_BITS, dtype=np.float32)
-    prior = float(np.log((n_toxic + 0.5) / (n_clean + 0.5)))
-    ratios[at] = np.where((leaning > max(0.0, -prior)) & (gain > 2 * np.log(max(len(at), 1) / CHANCE)), leaning, 0)
-    return ratios, prior
+    more_often_than_not = max(0.0, float(np.log((n_clean + 0.5) / (n_toxic + 0.5))))
+    ratios[at] = np.where((leaning > more_often_than_not) & (gain > 2 * np.log(max(len(at), 1) / CHANCE)), leaning, 0)
+    return ratios
+
+
+def _strength(values: list[float]) -> float:
+    return sum(sorted(values)[-EVIDENCE:])
+
+
+def _word_values(ratios: np.ndarray):
+    return lambda word: max((float(ratios[f]) for f in _features(word)), default=0.0)
+
+
+def _count_strengths(model: np.ndarray, ratios: np.ndarray):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restored, counts = Restorer(model, _word_values(ratios)), np.zeros((STEPS, 2), dtype=np.int64)
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[min(int(_strength(restored(text)) / STEP), STEPS - 1), label] += 1
+        used = np.flatnonzero(counts.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), pa.array(counts[used, 0]), pa.array(counts[used, 1])], names=["step", "clean", "toxic"])
+
+    return count
+
+
+def calibration(labelled: DataFrame, model: np.ndarray, ratios: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve of toxic over strength, from all labelled rows, counted in STEPS steps."""
+    sums = labelled.select("text", "label").mapInArrow(
+        _count_strengths(model, ratios), "step bigint, clean bigint, toxic bigint"
+    ).groupBy("step").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    at, clean, toxic = (sums.column(c).to_numpy().astype(float) for c in ("step", "clean", "toxic"))
+    x, n_clean, n_toxic = (at + 0.5) * STEP, clean.sum(), toxic.sum()
+    if not n_clean or not n_toxic:
+        return 0.0, float(np.log((n_toxic + 0.5) / (n_clean + 0.5)))
+    y1, y0 = (n_toxic + 1) / (n_toxic + 2), 1 / (n_clean + 2)
+    a, b = 1.0, float(np.log(n_toxic / n_clean))
+    for _ in range(200):  # Newton's method, in short steps as the classes may be parted clearly
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        g, h = toxic * (p - y1) + clean * (p - y0), (toxic + clean) * p * (1 - p) + 1e-9
+        gradient = np.array([(g * x).sum() + 1e-3 * a, g.sum()])
+        hessian = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
+        move = np.clip(np.linalg.solve(hessian, gradient), -0.5, 0.5)
+        a, b = a - float(move[0]), b - float(move[1])
+        if np.abs(move).max() < 1e-6:
+            break
+    return max(a, 0.0), b
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Every document with the probability that its text is toxic.
 
-    The language model counts the whole texts of all rows; the words that speak for toxic are learned from the rows of
-    `labels` (doc_id, toxic) with 0 or 1 whose id is not held out. A text's score adds the log ratios of its two
-    strongest restored words to the prior, so that long texts are judged like short ones. Equal texts have equal scores.
-    Null and empty texts score the prior share of toxic rows, as do all texts without labels of both classes. Repeated
-    labels or ids count once for each pair. Other columns are not read. Null ids are scored and count as held out.
+    The language model counts the whole texts of all rows; the words that speak for toxic, and how much their two
+    strongest in a text mean, are learned from the rows of `labels` (doc_id, toxic) with 0 or 1 whose id is not held out.
+    Two words at most count, so that long texts are judged like short ones. Equal texts have equal scores. Null and empty
+    texts score as texts without such words; without labels of both classes, all texts score the share of toxic rows.
+    Repeated labels or ids count once for each pair. Other columns are not read. Null ids are scored and count as held out.
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
         "doc_id", F.col("toxic").cast("int").alias("label"))
     texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
+    labelled = checkpointed(texts.join(marked, "doc_id").select("text", "label"))  # read twice
     model = language_model(docs)
-    ratios, prior = evidence(texts.join(marked, "doc_id"), model)
+    ratios = evidence(labelled, model)
+    slope, offset = calibration(labelled, model, ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restored = Restorer(model, lambda word: max((float(ratios[f]) for f in _features(word)), default=0.0))
+        restored = Restorer(model, _word_values(ratios))
         for batch in batches:
-            scores = []
-            for text in batch.column(2).to_pylist():
-                total = prior + sum(sorted(restored(text))[-EVIDENCE:])
-                scores.append(float(1 / (1 + np.exp(-total))))
+            totals = np.array([_strength(restored(text)) for text in batch.column(2).to_pylist()], dtype=float)
+            scores = 1 / (1 + np.exp(-np.clip(slope * totals + offset, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
