@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm import mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from eventlens.llm import (
+    jaccard_join, mixing, nearest_vectors, packing, quality_classifier, quality_rules, sharding, substring_dedup,
+    token_counts, toxicity,
+)
 from eventlens.llm.common import read_table
 from eventlens.operators.ordering import shared_folder
 
@@ -65,3 +68,18 @@ def op5_packing(spark, sf_dir):
 @query
 def op7_mixing(spark, sf_dir):
     return mixing.mix_documents(read_table(spark, sf_dir, "documents")).drop("source")
+
+
+@query
+def op6_nearest_vectors(spark, sf_dir):
+    return nearest_vectors.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.link_documents(read_table(spark, sf_dir, "documents"))
