@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.llm.components import components
@@ -122,7 +122,7 @@ def search(query: np.ndarray, block: list[np.ndarray], percent: int) -> dict[int
 # --- tasks -------------------------------------------------------------------------------------------------------
 
 
-def _count_common(bits: int):
+def _count_common(bits: int, shingle: int):
     """In each stretch of text, the sets that share a shingle, added up by bucket."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, n = np.zeros(1 << bits, dtype=np.int64), [], 0
@@ -134,7 +134,7 @@ def _count_common(bits: int):
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.append(shingles(text))
+                held.append(shingles(text, shingle))
                 n += len(held[-1])
                 if n >= STRETCH:
                     add()
@@ -147,7 +147,7 @@ def _count_common(bits: int):
     return count
 
 
-def _describe(levels: np.ndarray, bits: int, percent: int):
+def _describe(levels: np.ndarray, bits: int, percent: int, shingle: int):
     """Of each document: the size and digest of its set, and its rarest shingles with their places in the order."""
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +155,7 @@ def _describe(levels: np.ndarray, bits: int, percent: int):
                 part = batch.slice(start, 1000)
                 sizes, digests, rare = [], [], []
                 for text in part.column(1).to_pylist():
-                    tokens = shingles(text)
+                    tokens = shingles(text, shingle)
                     sizes.append(len(tokens))
                     digests.append(hashlib.md5(tokens.tobytes()).digest())
                     level = levels[(tokens >> np.uint64(64 - bits)).astype(np.int64)]
@@ -168,15 +168,18 @@ def _describe(levels: np.ndarray, bits: int, percent: int):
     return describe
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 1000):
-            part = batch.slice(start, 1000)
-            found = [shingles(t) for t in part.column(1).to_pylist()]
-            digests = [hashlib.md5(t.tobytes()).digest() for t in found]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(digests, pa.binary()), pa.array([t.tobytes() for t in found], pa.binary())],
-                names=["id", "digest", "tokens"])
+def _sets(shingle: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                found = [shingles(t, shingle) for t in part.column(1).to_pylist()]
+                digests = [hashlib.md5(t.tobytes()).digest() for t in found]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(digests, pa.binary()), pa.array([t.tobytes() for t in found], pa.binary())],
+                    names=["id", "digest", "tokens"])
+
+    return sets
 
 
 def _verify(percent: int, loose: int):
@@ -227,7 +230,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, loose: int) -> Da
     return checkpointed(rows.mapInArrow(_verify(percent, loose), "a bigint, b bigint, near int"))
 
 
-def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """Every document with the size of its shingle set and its component: the smallest id reachable by links.
 
     Two documents are linked if 100 * overlap >= percent * union of their sets. Documents without words have an empty set
@@ -243,12 +246,12 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark, texts = docs.sparkSession, docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     loose = 100 - 2 * (100 - percent)  # further than twice the distance from what others are near to
-    common = texts.select("text").mapInArrow(_count_common(BUCKET_BITS), "bucket bigint, n bigint").groupBy("bucket").agg(
+    common = texts.select("text").mapInArrow(_count_common(BUCKET_BITS, shingle), "bucket bigint, n bigint").groupBy("bucket").agg(
         F.sum("n").alias("n")).toArrow()
     levels = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
     levels[common.column("bucket").to_numpy()] = np.log2(1 + common.column("n").to_numpy()).astype(np.uint8)
     rows = checkpointed(texts.mapInArrow(
-        _describe(levels, BUCKET_BITS, percent), "id bigint, n bigint, digest binary, rare array<bigint>"))
+        _describe(levels, BUCKET_BITS, percent, shingle), "id bigint, n bigint, digest binary, rare array<bigint>"))
     known = rows.where("id is not null and n > 0")
     classes = checkpointed(known.groupBy("digest").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("rare").alias("rare")
@@ -262,7 +265,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = involved.select("id", F.col("digest").alias("_digest"), "node")
     small = wanted.count() <= BROADCAST_NODES
     chosen = texts.join(F.broadcast(wanted.select("id").distinct()) if small else wanted.select("id").distinct(), "id", "left_semi")
-    sets = chosen.mapInArrow(_sets, "id bigint, digest binary, tokens binary").join(wanted, "id").where(
+    sets = chosen.mapInArrow(_sets(shingle), "id bigint, digest binary, tokens binary").join(wanted, "id").where(
         F.col("digest") == F.col("_digest")).groupBy("node").agg(F.first("tokens").alias("tokens"))
     sets = checkpointed(sets)
 
@@ -280,6 +283,20 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns. Documents that are linked with
+    nothing, those with null ids among them, all stay. Of several texts with that id, the first in order stays."""
+    found = link_documents(docs, percent, shingle)
+    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    named = docs.join(stays, docs["doc_id"] == stays["_stays"]).drop("_stays")
+    first = Window.partitionBy(named["doc_id"]).orderBy(named["text"])
+    name = "_place"
+    while name in docs.columns:
+        name = f"_{name}"
+    return named.withColumn(name, F.row_number().over(first)).where(F.col(name) == 1).drop(name).union(
+        docs.where(F.col("doc_id").isNull()))
+
+
 def _sharing_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of rows that share an id, as pairs with the first of them."""
     repeated = rows.where("id is not null and n > 0").select("id", "digest").distinct().groupBy("id").agg(

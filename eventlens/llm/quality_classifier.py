@@ -171,6 +171,8 @@ def train(labelled: DataFrame, bits: int = BITS, per_class: int = SAMPLE_PER_CLA
     ids = labelled.select("doc_id", "label").distinct().withColumn("_rank", F.row_number().over(first)).where(
         F.col("_rank") <= per_class).select("doc_id", "label")
     sample = labelled.join(F.broadcast(ids), ["doc_id", "label"]).select("text", "label")  # a bounded number of ids
+    if not bad + good:
+        return Model(np.zeros(1 << bits), ratios, 0.0, 1.0, 0.0)
     fitted = sample.orderBy(F.xxhash64("text"), "label").limit(2 * per_class).coalesce(1).mapInArrow(
         _fit(ratios, share, bits), "weights binary, bias double, slope double, offset double").first()
     return Model(np.frombuffer(bytes(fitted.weights), "<f8"), ratios, fitted.bias, fitted.slope, fitted.offset)

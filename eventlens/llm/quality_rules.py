@@ -29,7 +29,7 @@ class Rule:
 #: Each kind of junk is seen by two rules or more, as agreement is all that EM can learn from.
 RULES = (
     Rule("symbols", "symbol_share", 0.05, 0.2),
-    Rule("no_letters", "other_char_share", 0.06, 0.1),
+    Rule("other_chars", "other_char_share", 0.06, 0.1),
     Rule("bare_marks", "bare_mark_share", 0.05, 0.2),
     Rule("exclamation", "exclamation_share", 0.1, 0.4),
     Rule("capitals", "capital_share", 0.15, 0.3),
@@ -67,8 +67,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words",
         F.char_length(F.concat_ws("", "words")).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
-        F.char_length(F.regexp_replace("text", "[\\p{L}\\x20\\x09-\\x0D]+", "")).cast("bigint").alias("n_other_chars"),
-        F.size(F.filter("words", lambda w: ~w.rlike("\\p{L}"))).cast("bigint").alias("n_without_letters"),
+        F.char_length(F.regexp_replace("text", "[\\p{L}\\p{N}\\x20\\x09-\\x0D]+", "")).cast("bigint").alias("n_other_chars"),
+        F.size(F.filter("words", lambda w: ~w.rlike("[\\p{L}\\p{N}]"))).cast("bigint").alias("n_without_letters"),
         F.regexp_count("text", F.lit("!")).cast("bigint").alias("n_exclamations"),
         F.regexp_count("text", F.lit("\\p{Lu}")).cast("bigint").alias("n_capitals"),
         F.size("lines").cast("bigint").alias("n_lines"),

@@ -114,8 +114,9 @@ def _remove(window: int, keep_text: bool):
                     words = [w for w, g in zip(words, gone) if not g]
                 else:
                     n_removed.append(0)
-                texts.append(" ".join(words))
-                digests.append(hashlib.sha256(texts[-1].encode("utf-8", "replace")).hexdigest())
+                left = " ".join(words)
+                digests.append(hashlib.sha256(left.encode("utf-8", "replace")).hexdigest())
+                texts.append(left if n_removed[-1] else text)  # an untouched text stays as it is
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(digests), pa.array(texts if keep_text else [None] * len(texts), pa.string())],
@@ -194,3 +195,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, keep: list[str] | No
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         *([F.when(F.col("_null"), F.lit(None)).when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
            "_kept"] if keep else []))
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents with the words that stay, columns as they are; n_chars, if there, is that of the new text. Texts
+    without repeats keep their white space too. Documents of which nothing stays are left out."""
+    others = [c for c in docs.columns if c not in ("text", "doc_id")]
+    rest = [c for c in others if c != "n_chars"]
+    found = dedup_substrings(docs, window, keep=[*rest, "doc_id"])
+    left = found.where("n_removed < n_words or n_words = 0")
+    values = {"doc_id": F.col("_kept.doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text")}
+    return left.select(*[
+        values.get(c, F.col(f"_kept.{c}") if c in rest else None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

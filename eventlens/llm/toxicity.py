@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlens.llm.common import held_out, split_words
 from eventlens.operators.ordering import checkpointed
@@ -265,7 +266,8 @@ def calibration(labelled: DataFrame, model: np.ndarray, ratios: np.ndarray) -> t
     at, clean, toxic = (sums.column(c).to_numpy().astype(float) for c in ("step", "clean", "toxic"))
     x, n_clean, n_toxic = (at + 0.5) * STEP, clean.sum(), toxic.sum()
     if not n_clean or not n_toxic:
-        return 0.0, float(np.log((n_toxic + 0.5) / (n_clean + 0.5)))
+        share = n_toxic / max(n_toxic + n_clean, 1)
+        return 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9)))
     y1, y0 = (n_toxic + 1) / (n_toxic + 2), 1 / (n_clean + 2)
     a, b = 1.0, float(np.log(n_toxic / n_clean))
     for _ in range(200):  # Newton's method, in short steps as the classes may be parted clearly
@@ -280,14 +282,15 @@ def calibration(labelled: DataFrame, model: np.ndarray, ratios: np.ndarray) -> t
     return max(a, 0.0), b
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every document with the probability that its text is toxic.
+def with_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxicity") -> DataFrame:
+    """All columns of `docs` and, as `name`, the probability that the text is toxic.
 
     The language model counts the whole texts of all rows; the words that speak for toxic, and how much their two
     strongest in a text mean, are learned from the rows of `labels` (doc_id, toxic) with 0 or 1 whose id is not held out.
     Two words at most count, so that long texts are judged like short ones. Equal texts have equal scores. Null and empty
-    texts score as texts without such words; without labels of both classes, all texts score the share of toxic rows.
-    Repeated labels or ids count once for each pair. Other columns are not read. Null ids are scored and count as held out.
+    texts score as texts without such words; without labels of both classes, all texts score the share of toxic rows (0 without any).
+    Repeated labels or ids count once for each pair. Null ids are scored and count as held out. Of the other columns none
+    is read; one called `name` is replaced.
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
         "doc_id", F.col("toxic").cast("int").alias("label"))
@@ -296,16 +299,31 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     model = language_model(docs)
     ratios = evidence(labelled, model)
     slope, offset = calibration(labelled, model, ratios)
+    rows = docs.drop(name)
+    text_at = rows.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored = Restorer(model, _word_values(ratios))
         for batch in batches:
-            totals = np.array([_strength(restored(text)) for text in batch.column(2).to_pylist()], dtype=float)
+            totals = np.array([_strength(restored(text)) for text in batch.column(text_at).to_pylist()], dtype=float)
             scores = 1 / (1 + np.exp(-np.clip(slope * totals + offset, -30, 30)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
+                [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every document's id, whether it is held out, its score and the verdict; see `with_toxicity`."""
+    scored = with_toxicity(docs.select("doc_id", "text"), labels, "score")
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are not judged toxic, with all their columns."""
+    name = "_toxicity"
+    while name in docs.columns:
+        name = f"_{name}"
+    return with_toxicity(docs, labels, name).where(F.col(name) < threshold).drop(name)
