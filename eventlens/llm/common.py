@@ -44,3 +44,12 @@ def split_words(text: str | None) -> list[str]:
         if c in text:
             text = text.replace(c, " ")
     return [w for w in text.split(" ") if w]
+
+
+#: Rows of an id and a number that may be broadcast, some 100 MB in memory; larger tables are shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Inner join on doc_id with a table of labels. Texts need not move while the labels, counted first, are few."""
+    return docs.join(F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels, "doc_id")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import held_out, split_words
+from eventlens.llm.common import held_out, split_words, with_labels
 from eventlens.operators.ordering import checkpointed
 
 #: n-grams are hashed into this many indicators; all tables of the model have this fixed size.
@@ -189,7 +189,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
         "doc_id", F.col("quality").cast("int").alias("label"))
     texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
-    model = train(checkpointed(texts.join(marked, "doc_id")))  # read twice: for the ratios and for the sample
+    model = train(checkpointed(with_labels(texts, marked)))  # read twice: for the ratios and for the sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indicators = Indicators()
