@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlens.llm.common import held_out, split_words
+from eventlens.llm.common import held_out, split_words, with_labels
 from eventlens.operators.ordering import checkpointed
 
 #: Letters that characters may stand for.
@@ -295,7 +295,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxicity") ->
     marked = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
         "doc_id", F.col("toxic").cast("int").alias("label"))
     texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
-    labelled = checkpointed(texts.join(marked, "doc_id").select("text", "label"))  # read twice
+    labelled = checkpointed(with_labels(texts, marked).select("text", "label"))  # read twice
     model = language_model(docs)
     ratios = evidence(labelled, model)
     slope, offset = calibration(labelled, model, ratios)
