@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from eventlens.llm.common import split_words
+from eventlens.llm.common import split_words, words
 from eventlens.llm.rolling import run_hashes, word_hashes
 from eventlens.operators.ordering import checkpointed
 
@@ -97,11 +98,13 @@ def _emit_windows(window: int):
 
 
 def _remove(window: int, keep_text: bool):
-    """What is left of each text when the words of its repeated windows are taken out."""
+    """What is left of each text (third from the end: text, starts of its repeated windows, whether it was null) when the
+    words of these windows are taken out. The columns before are passed on."""
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            passed = batch.num_columns - 3
             n_words, n_removed, texts, digests = [], [], [], []
-            for text, starts in zip(batch.column(2).to_pylist(), batch.column(3)):
+            for text, starts, was_null in zip(batch.column(passed).to_pylist(), batch.column(passed + 1), batch.column(passed + 2).to_pylist()):
                 words = split_words(text)
                 n_words.append(len(words))
                 if starts.is_valid and len(starts):
@@ -116,11 +119,11 @@ def _remove(window: int, keep_text: bool):
                     n_removed.append(0)
                 left = " ".join(words)
                 digests.append(hashlib.sha256(left.encode("utf-8", "replace")).hexdigest())
-                texts.append(left if n_removed[-1] else text)  # an untouched text stays as it is
+                texts.append((left if n_removed[-1] else None if was_null else text) if keep_text else None)  # else as it was
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                 pa.array(digests), pa.array(texts if keep_text else [None] * len(texts), pa.string())],
-                names=["key", "first", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                [*batch.columns[:passed], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests),
+                 pa.array(texts, pa.string())],
+                names=[*batch.schema.names[:passed], "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return remove
 
@@ -144,11 +147,13 @@ def _repeated_windows(texts: DataFrame, firsts: DataFrame, window: int) -> DataF
         _emit_windows(window), "w1 bigint, w2 bigint, groups int, first bigint, key bigint, start int"
     ).withColumn("member", F.pmod("key", "groups"))
     order = ["first", "key", "start"]
-    ranked = windows.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("w1", "w2", "member").orderBy(*order)))
-    leading = ranked.where("rank = 1 and groups > 1").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("w1", "w2").orderBy(*order)))
-    return ranked.where("rank > 1").select(*order).unionByName(leading.where("rank > 1").select(*order))
+
+    def later(by: list[str]) -> Column:  # not the first of its group
+        return F.lag("start").over(Window.partitionBy(*by).orderBy(*order)).isNotNull()
+
+    ranked = windows.withColumn("later", later(["w1", "w2", "member"]))
+    leading = ranked.where(~F.col("later") & (F.col("groups") > 1)).withColumn("later", later(["w1", "w2"]))
+    return ranked.where("later").select(*order).unionByName(leading.where("later").select(*order))
 
 
 def _with_first(texts: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -173,28 +178,37 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, keep: list[str] | No
     content = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(
         F.xxhash64(content).alias("key"), F.unhex(F.md5(content)).alias("digest"), content.alias("text"))
-    rows = checkpointed(docs.select(
+    # All but the text; of texts too short for a window, that too.
+    found = docs.select(
         F.col("doc_id").alias("_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_order"),
         F.xxhash64(content).alias("key"), F.unhex(F.md5(content)).alias("digest"), F.col("text").isNull().alias("_null"),
-        F.struct(*keep).alias("_kept") if keep else F.lit(None).cast("int").alias("_kept")))
+        F.struct(*keep).alias("_kept") if keep else F.lit(None).cast("int").alias("_kept"),
+        F.col("text").alias("_text"), words(F.col("text")).alias("_words"))
+    short = F.size("_words") < window
+    rows = checkpointed(found.select(
+        "_id", "_order", "key", "digest", "_null", "_kept", F.size("_words").cast("bigint").alias("n_words"),
+        F.when(short, F.sha2(F.array_join("_words", " "), 256)).alias("_sha"),
+        (F.when(short, F.col("_text")) if keep else F.lit(None).cast("string")).alias("_short")))
     firsts = rows.groupBy("key", "digest").agg(F.min("_order").alias("first"))
     once = keyed.mapInArrow(_first_in_task, keyed.schema)
     texts = once.repartition(n, "key").groupBy("key", "digest").agg(F.first("text").alias("text"))
     repeats = _repeated_windows(texts, firsts, window).groupBy("key", "first").agg(
         F.collect_list("start").alias("starts")).withColumnRenamed("first", "_first")
+    placed = rows.join(firsts, ["key", "digest"])
+    # The first copy of a text is cut; all of any other starts earlier.
     known = _with_first(texts, firsts).alias("t")
     left = known.join(repeats.alias("r"), (F.col("t.key") == F.col("r.key")) & _equal(F.col("t.first"), F.col("_first")), "left")
-    done = left.select("t.key", "t.first", "t.text", "starts").mapInArrow(
-        _remove(window, bool(keep)),
-        "key bigint, first bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
-    placed = rows.join(firsts, ["key", "digest"]).join(done, ["key", "first"])
-    whole = (F.col("_order") != F.col("first")) & (F.col("n_words") >= window)  # a copy: all of it starts earlier
-    return placed.select(
-        F.col("_id").alias("doc_id"), "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        *([F.when(F.col("_null"), F.lit(None)).when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
-           "_kept"] if keep else []))
+    leading = placed.where("_order = first").select(F.col("key").alias("_key"), "_order", "_id", "_kept", "_null")
+    cut = left.join(leading, (F.col("t.key") == F.col("_key")) & _equal(F.col("t.first"), F.col("_order"))).select(
+        "_id", "_kept", "text", "starts", "_null")
+    added = T.StructType.fromDDL("n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    done = cut.mapInArrow(_remove(window, bool(keep)), T.StructType([*cut.schema.fields[:2], *added.fields]))
+    copies = placed.where("_order <> first").select(
+        "_id", "_kept", "n_words", F.when(F.col("n_words") >= window, F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"),
+        F.coalesce("_sha", F.sha2(F.lit(""), 256)).alias("kept_sha256"),
+        F.when(F.col("n_words") < window, F.col("_short")).otherwise(F.lit("")).alias("kept_text"))
+    return done.unionByName(copies).select(
+        F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", *(["kept_text", "_kept"] if keep else []))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
