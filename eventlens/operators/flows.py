@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions import scalars as S
-from eventlens.operators.ordering import last_before
+from eventlens.operators.ordering import salted_join
 from eventlens.operators.tasks import shared_stage_totals
 from eventlens.plans import tree
 from eventlens.sources.events import EventLog, per_log
@@ -22,11 +22,12 @@ def _stage_listings(log: EventLog) -> DataFrame:
 
 @per_log
 def _listed_stages(log: EventLog) -> DataFrame:
-    """First listing of each stage and whether all its listings name the same execution."""
+    """Each stage once, with its listings in order (as many as jobs list it) and whether they name one execution."""
     return _stage_listings(log).groupBy("app_key", "stage_id").agg(
         F.min("seq").alias("listed_seq"),
         F.min("execution_id").alias("execution_id"),
         (F.min("execution_id") != F.max("execution_id")).alias("changes"),
+        F.array_sort(F.collect_list(F.struct("seq", "execution_id"))).alias("listings"),
     )
 
 
@@ -34,24 +35,13 @@ def with_execution(rows: DataFrame, log: EventLog) -> DataFrame:
     """Add `execution_id` to rows (app_key, stage_id, seq, ...): the execution of the latest earlier job start that
     lists the stage. Rows without one are left out.
 
-    Nearly every stage is listed for one execution only; those take an equi join with one row per stage. Stages
-    that change their execution over time need the order of events and take an as-of lookup in chunks.
+    One row per stage is joined; a stage that holds a large part of all rows is spread over several tasks.
     """
-    on = ["app_key", "stage_id"]
-    stages = _listed_stages(log)
-    direct = (
-        rows.join(stages.filter("not changes").drop("changes"), on)
-        .filter("listed_seq < seq")
-        .select(*rows.columns, "execution_id")
-    )
-    changing = stages.filter("changes").select(*on)
-    if log.memo("no stage changes", changing.isEmpty):
-        return direct
-    moments = _stage_listings(log).join(changing, on, "left_semi").withColumnRenamed("execution_id", "listed_id")
-    late = rows.join(changing, on, "left_semi").withColumn("_row", F.lit(True))
-    ordered = last_before(late.unionByName(moments, allowMissingColumns=True), on, "seq", "listed_id", "execution_id")
-    asof = ordered.filter("_row and execution_id is not null").select(*rows.columns, "execution_id")
-    return direct.unionByName(asof)
+    stages = _listed_stages(log).select("app_key", "stage_id", "listings")
+    joined = salted_join(rows, stages, ["app_key", "stage_id"], "seq")
+    earlier = F.filter("listings", lambda x: x.seq < F.col("seq"))
+    return joined.withColumn("execution_id", F.get(earlier, F.size(earlier) - 1).execution_id).filter(
+        "execution_id is not null").select(*rows.columns, "execution_id")
 
 
 def task_execution(log: EventLog) -> DataFrame:
@@ -73,19 +63,18 @@ def execution_io(log: EventLog) -> DataFrame:
     ordered = F.col("first_any_seq") > F.greatest("listed_seq", "start_seq")
     placed = (
         shared_stage_totals(log).select(*on, "first_any_seq", *io, "writing_tasks")
-        .join(_listed_stages(log), on)
+        .join(_listed_stages(log).drop("listings"), on)
         .join(starts, keys, "left")
         .withColumn("whole", ~F.col("changes") & ordered)
     )
     totals = [F.col(c).alias(f"task_{c}") for c in io]
     parts = placed.filter("whole").select(*keys, *totals, F.col("writing_tasks").alias("task_files"))
     single = placed.filter("changes or not whole").select(*on)
-    if not single.isEmpty():
-        tasks = log.view("task_end").select(*on, "seq", *io).filter(" or ".join(f"{c} > 0" for c in io))
-        late = with_execution(tasks.join(single, on, "left_semi"), log).join(starts, keys).filter("start_seq < seq")
-        parts = parts.unionByName(
-            late.select(*keys, *totals, (F.col("output_bytes") > 0).cast("bigint").alias("task_files"))
-        )
+    tasks = log.view("task_end").select(*on, "seq", *io).filter(" or ".join(f"{c} > 0" for c in io))
+    late = with_execution(tasks.join(single, on, "left_semi"), log).join(starts, keys).filter("start_seq < seq")
+    parts = parts.unionByName(
+        late.select(*keys, *totals, (F.col("output_bytes") > 0).cast("bigint").alias("task_files"))
+    )
     return parts.groupBy(*keys).agg(*[
         F.sum(c).alias(c) for c in [f"task_{c}" for c in io] + ["task_files"]
     ])

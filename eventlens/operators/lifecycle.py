@@ -306,8 +306,6 @@ def preempted_tasks(log: EventLog) -> DataFrame:
     by_text = shared_stage_totals(log).groupBy("app_key").agg(F.sum("preempted_by_text").alias("preempted_tasks"))
     by_text = by_text.filter("preempted_tasks > 0")
     removals = preempted_removals(log)
-    if removals.isEmpty():  # spares a second pass over the tasks
-        return by_text
     tasks = log.view("task_end").select("app_key", "seq", "executor_id", "reason")
     told = S.mentions_preemption(F.col("reason"))
     outcome = F.coalesce(F.get_json_object("reason", "$.Reason"), F.lit(""))

@@ -29,13 +29,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: list[str] = []
+
+
+def new_path(spark: SparkSession) -> str:
+    """A new folder in the shared folder, for rows that are read more than once; `clear` deletes it."""
+    path = f"{shared_folder(spark)}/eventlens-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this process has written to the shared folder. DataFrames built on it can't be read any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows once to the shared checkpoint folder and go on from there.
 
     The files survive the loss of executors. As parquet they are computed in one pass, later steps read only the
     columns they need, and Spark knows their size when it chooses joins.
     """
-    path = f"{shared_folder(df.sparkSession)}/eventlens-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -88,3 +106,14 @@ def last_before(df: DataFrame, keys: list[str], order: str, value: str, name: st
         .withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(earlier), F.col("_carried")))
         .drop(CHUNK, "_carried")
     )
+
+
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread_by: str, how: str = "inner") -> DataFrame:
+    """Equi join with a side of one row per key. A key may hold a large part of `rows`: these are dealt to SALTS groups
+    by a hash of `spread_by`, and the lookup's row stands in each of them."""
+    salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.hash(spread_by), F.lit(SALTS)))
+    return dealt.join(salted, [*keys, "_salt"], how).drop("_salt")

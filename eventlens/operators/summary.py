@@ -117,7 +117,9 @@ def app_summary(log: EventLog, modern_heap: bool = False, history_url: str | Non
     columns: list[Column] = [F.col(source).alias(name) for name, source in SUMMARY_COLUMNS.items()]
     if history_url:
         columns.append(S.history_link(history_url, F.col("app_id")).alias("History Link"))
-    return ready.select("app_key", *columns)
+    result = ready.select("app_key", *columns)
+    # a log that cannot be read to its end gets no half-summed row
+    return result if log.errors() is None else with_error_rows(result, log.errors())
 
 
 def with_error_rows(summary: DataFrame, errors: DataFrame) -> DataFrame:

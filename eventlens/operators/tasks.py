@@ -32,6 +32,7 @@ def stage_totals(log: EventLog) -> DataFrame:
         S.zero_if_null(F.max(F.when(measured, F.col("shuffle_write")))).alias("max_task_shuffle_write"),
         F.min(F.when(measured, F.col("seq"))).alias("first_seq"),
         F.min("seq").alias("first_any_seq"),
+        *[F.min(F.when(measured & (F.col(m) > 0), F.col("seq"))).alias(f"first_{m}_seq") for m in ("spill_memory", "spill_disk")],
         F.count_if(F.col("output_bytes") > 0).alias("writing_tasks"),
         F.count_if(S.mentions_preemption(F.col("reason"))).alias("preempted_by_text"),
         S.zero_if_null(F.max(F.when(measured, F.col("heap")))).alias("max_heap"),
@@ -84,11 +85,11 @@ def job_shuffle(log: EventLog) -> DataFrame:
     )
 
 
-def _largest(df: DataFrame, key: str, measures: dict[str, str]) -> DataFrame:
-    """Largest value of each measure per application and its key; the key seen first wins a tie."""
+def _largest(df: DataFrame, key: str, measures: dict[str, str], first: str = "first_seq") -> DataFrame:
+    """Largest value of each measure per application and its key; the one whose `first` comes first wins a tie."""
     aggregates = []
     for measure, name in measures.items():
-        order = F.struct(F.col(measure), -F.col("first_seq"), -F.col(key))
+        order = F.struct(F.col(measure), -F.col(first), -F.col(key))
         aggregates += [F.max(measure).alias(name), F.max_by(key, order).alias(f"{name}_{key}")]
     return df.groupBy("app_key").agg(*aggregates)
 
@@ -108,14 +109,15 @@ def max_jobs(log: EventLog) -> DataFrame:
 
 
 def max_positive_stages(log: EventLog) -> DataFrame:
-    """Alternate rule: only stages that spilled at all, for memory and for disk, with the job of each."""
+    """Alternate rule: only stages that spilled at all, for memory and for disk, with the job of each. Of equal ones
+    counts the stage that spilled first, even if another had started before."""
     stages = shared_stage_totals(log).filter("stage_id is not null")
     jobs = stage_jobs(log)
     out = None
     for measure in ("spill_memory", "spill_disk"):
         spilled = stages.filter(F.col(measure) > 0)
         best = (
-            _largest(spilled, "stage_id", {measure: f"max_{measure}"})
+            _largest(spilled, "stage_id", {measure: f"max_{measure}"}, f"first_{measure}_seq")
             .join(jobs.withColumnRenamed("stage_id", f"max_{measure}_stage_id"), ["app_key", f"max_{measure}_stage_id"], "left")
             .withColumn(f"max_{measure}_job_id", F.coalesce(F.col("job_id").cast("string"), F.lit("Unknown")))
             .drop("job_id")

@@ -47,7 +47,8 @@ st AS (SELECT app_key, stage_id, any_value(o_orderkey) AS o_orderkey, any_value(
     {big('count(*)')} AS tasks, {big('count(*) FILTER (m)')} AS measured_tasks, {big('sum(q * 1000)')} AS task_ms,
     {', '.join(f"{big(f'sum({c})')} AS {c}" for c in ('input_bytes', 'input_records', 'output_bytes', 'output_records', 'shuffle_read', 'shuffle_write', 'spill_memory', 'spill_disk'))},
     {big('max(shuffle_read)')} AS max_task_shuffle_read, {big('max(shuffle_write)')} AS max_task_shuffle_write,
-    min(finish_ms) FILTER (m) AS first_ms FROM t GROUP BY app_key, stage_id),
+    min(finish_ms) FILTER (m) AS first_ms, min(finish_ms) FILTER (spill_memory > 0) AS first_spill_memory_ms,
+    min(finish_ms) FILTER (spill_disk > 0) AS first_spill_disk_ms FROM t GROUP BY app_key, stage_id),
 tt AS (SELECT app_key, {', '.join(f"{big(f'sum({c})')} AS {c}" for c in ('tasks', 'task_ms', 'input_bytes', 'input_records', 'output_bytes', 'output_records', 'shuffle_read', 'shuffle_write', 'spill_memory', 'spill_disk'))},
     max(max_task_shuffle_read) AS max_task_shuffle_read, max(max_task_shuffle_write) AS max_task_shuffle_write
     FROM st GROUP BY app_key),
@@ -78,7 +79,7 @@ late AS (SELECT app_key, count(*) AS n FROM t WHERE outcome = 'failed' AND EXIST
 pt AS (SELECT app_key, {big('sum(n)')} AS preempted_tasks FROM (
       SELECT app_key, count(*) AS n FROM t WHERE outcome = 'text' GROUP BY app_key UNION ALL SELECT * FROM late) GROUP BY app_key),
 heap AS (SELECT app_key, greatest(max(l_partkey * 1000000) FILTER (m), 0) AS peak_heap FROM t GROUP BY app_key),
-sq AS (SELECT *, o_orderkey AS k, {big('floor(o_totalprice)')} AS price, o_orderstatus <> 'P' AS ran, o_orderkey % 3 = 0 AS two FROM o WHERE o_orderkey % 5 = 0),
+sq AS (SELECT *, o_orderkey AS k, {big('floor(o_totalprice)')} AS price, o_orderstatus <> 'P' AS ran, o_orderkey % 3 = 0 AS two FROM o),
 tio AS (SELECT o_orderkey AS k, {big('sum(input_bytes)')} AS ib, {big('sum(input_records)')} AS ir, {big('sum(output_bytes)')} AS ob,
     {big('sum(output_records)')} AS orr, {big('count(*) FILTER (output_bytes > 0)')} AS files FROM t GROUP BY o_orderkey),
 sx AS (SELECT sq.*, coalesce(ib, 0) AS ib, coalesce(ir, 0) AS ir, coalesce(ob, 0) AS ob, coalesce(orr, 0) AS orr, coalesce(files, 0) AS files
@@ -180,7 +181,7 @@ summ AS (SELECT app_key, {', '.join(f'{source} AS "{name}"' for name, source in
     LEFT JOIN pe USING (app_key) LEFT JOIN ms USING (app_key) LEFT JOIN mj USING (app_key) LEFT JOIN wt USING (app_key)))"""
 
 ALT = f"""
-spilled AS (SELECT app_key, {', '.join(f"max({c}) FILTER ({c} > 0) AS max_{c}, max_by(stage_id, ({c}, -first_ms, -stage_id)) FILTER ({c} > 0) AS max_{c}_stage_id" for c in ('spill_memory', 'spill_disk'))}
+spilled AS (SELECT app_key, {', '.join(f"max({c}) FILTER ({c} > 0) AS max_{c}, max_by(stage_id, ({c}, -first_{c}_ms, -stage_id)) FILTER ({c} > 0) AS max_{c}_stage_id" for c in ('spill_memory', 'spill_disk'))}
     FROM st GROUP BY app_key),
 alt AS (SELECT life.app_key, app_id, app_name, CASE WHEN dynamic_allocation THEN max_executors_conf ELSE executor_instances END AS requested_executors,
     (life.end_ms - life.start_ms) / 1000.0::DOUBLE AS duration_sec,
@@ -242,7 +243,7 @@ def sizing(partition: int, factor: int) -> str:
     memory = int(partition * factor * 4 * 2 / 0.6) + 300 * S.MIB
     return app(f"""SELECT app_key, max_shuffle, p AS partitions, {big('ceil(p / 10.0)')} AS cores, {big('ceil(ceil(p / 10.0) / 4.0)')} AS executors, {memory}::BIGINT AS executor_memory
         FROM (SELECT app_key, max_shuffle, {big(f'ceil(max_shuffle::DOUBLE / {partition}.0)')} AS p
-        FROM (SELECT app_key, greatest(max_shuffle_read, max_shuffle_write) * 1000000 AS max_shuffle FROM ms))""")
+        FROM (SELECT app_key, greatest(max_shuffle_read, max_shuffle_write) AS max_shuffle FROM ms))""")
 
 
 REPORT_LINES = [
@@ -289,7 +290,7 @@ _REL = 1_000_000_000_000
 
 def oracle_sql() -> dict[str, str]:
     nodes = "SELECT app_key, k AS execution_id, pos::INTEGER AS pos"
-    rerun_jobs = f"""rj AS (SELECT app_key, stage_id, CASE WHEN o_orderkey % 5 = 0 AND l_linenumber % 2 = 0 THEN stage_id + {_REL} ELSE o_orderkey END AS job_id, shuffle_read, shuffle_write
+    rerun_jobs = f"""rj AS (SELECT app_key, stage_id, CASE WHEN l_linenumber % 2 = 0 THEN stage_id + {_REL} ELSE o_orderkey END AS job_id, shuffle_read, shuffle_write
         FROM st WHERE measured_tasks > 0)"""
     sql = {
         "event_type_counts": app("""SELECT event, CAST(n AS BIGINT) AS lines FROM (
@@ -330,7 +331,7 @@ def oracle_sql() -> dict[str, str]:
         "preempted_tasks": app("SELECT * FROM pt", EX),
         "preempted_tasks_by_executor": act("SELECT * FROM pt"),
         "task_totals": app("SELECT * FROM tt"),
-        "stage_totals": app("SELECT * EXCLUDE (o_orderkey, l_linenumber, start_ms, launch_ms, first_ms) FROM st"),
+        "stage_totals": app("SELECT * EXCLUDE (o_orderkey, l_linenumber, start_ms, launch_ms, first_ms, first_spill_memory_ms, first_spill_disk_ms) FROM st"),
         "job_shuffle": app(f"SELECT app_key, job_id, {big('sum(shuffle_read)')} AS shuffle_read, {big('sum(shuffle_write)')} AS shuffle_write FROM rj GROUP BY app_key, job_id", rerun_jobs),
         "max_shuffle_stage": app("SELECT * EXCLUDE (max_spill_memory, max_spill_memory_stage_id) FROM ms"),
         "max_spill_stage": app("SELECT app_key, max_spill_memory, max_spill_memory_stage_id FROM ms"),
@@ -343,7 +344,7 @@ def oracle_sql() -> dict[str, str]:
             tasks, input_bytes, input_records, output_bytes, output_records, shuffle_read, shuffle_write, spill_memory, spill_disk,
             l_linenumber * 60.0::DOUBLE AS duration_sec, {big('input_bytes // tasks')} AS average_input FROM st JOIN o ON o.o_orderkey = st.o_orderkey"""),
         "task_execution": app(f"""SELECT app_key, stage_id, q * 1000 AS duration_ms, CASE WHEN l_linenumber % 2 = 0 AND finish_ms > launch_ms + 25500 THEN o_orderkey + {_REL} ELSE o_orderkey END AS execution_id
-            FROM t WHERE o_orderkey % 5 = 0"""),
+            FROM t"""),
         "sql_executions": app("""SELECT app_key, k AS execution_id, o_orderpriority AS description, start_ms, 'Execute InsertIntoHadoopFsRelationCommand' AS plan_root,
             CASE WHEN two THEN 11 ELSE 9 END::BIGINT AS plan_nodes, CASE WHEN two THEN 9 ELSE 8 END::INTEGER AS plan_depth, 1::BIGINT AS jobs, k AS first_job, k AS last_job FROM sq"""),
         "execution_jobs": app("SELECT app_key, k AS execution_id, k AS job_id FROM sq"),
@@ -360,8 +361,8 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN kind = 'shuffle' THEN (k % 7 + 1)::VARCHAR WHEN kind = 'coalesce' THEN '4' END AS num_partitions FROM nodes WHERE kind IS NOT NULL"""),
         "node_driver_metrics": app(f"{nodes}, metric, CAST(value AS BIGINT) AS value FROM metric"),
         "accumulator_rollup": app("""SELECT app_key, acc_id, max(v)::DOUBLE AS value FROM (
-            SELECT app_key, o_orderkey * 20 + 5 AS acc_id, sum(q) AS v FROM t WHERE o_orderkey % 5 = 0 GROUP BY app_key, o_orderkey
-            UNION ALL SELECT DISTINCT app_key, o_orderkey * 20 + 17, 0 FROM t WHERE o_orderkey % 5 = 0
+            SELECT app_key, o_orderkey * 20 + 5 AS acc_id, sum(q) AS v FROM t GROUP BY app_key, o_orderkey
+            UNION ALL SELECT DISTINCT app_key, o_orderkey * 20 + 17, 0 FROM t
             UNION ALL SELECT app_key, k * 20 + acc, value FROM metric UNION ALL SELECT app_key, k * 20 + a, 999 FROM sq, (VALUES (6), (0)) x(a) WHERE ran)
             GROUP BY app_key, acc_id"""),
         "read_metrics": app(f"SELECT *, {big('CASE WHEN files_read > 0 THEN bytes_read // files_read ELSE 0 END')} AS average_file_size FROM rd WHERE files_read > 0 OR rows > 0"),
@@ -394,7 +395,7 @@ def oracle_sql() -> dict[str, str]:
         "deletion_counts": app("SELECT count(*) FILTER (c_mktsegment = 'BUILDING') AS deleted_rows, count(*) FILTER (c_mktsegment <> 'BUILDING') AS remaining_count FROM apps"),
         "sizing_static": sizing(128 * S.MIB, 3),
         "sizing_dynamic": sizing(64 * S.MIB, 10),
-        "sizing_choice": app("""SELECT name, runs, variation, CASE WHEN variation > 0.28 THEN 'dynamic' ELSE 'static' END AS strategy FROM (
+        "sizing_choice": app("""SELECT name, runs, variation, CASE WHEN variation > 0.3 THEN 'dynamic' ELSE 'static' END AS strategy FROM (
             SELECT c_mktsegment AS name, count(*) AS runs, round(coalesce(stddev_samp(x) / nullif(avg(x), 0), 0), 6) AS variation
             FROM (SELECT c_mktsegment, greatest(max_shuffle_read, max_shuffle_write)::DOUBLE AS x FROM apps JOIN ms USING (app_key)) GROUP BY c_mktsegment)"""),
         "memory_breakdown": app(f"""SELECT app_key, executor_memory, overhead, unified, unified // 2 AS execution, unified - unified // 2 AS storage, coalesce(peak_heap, 0) AS peak_heap, coalesce(spill_memory, 0) AS spill_memory
@@ -422,4 +423,19 @@ def oracle_sql() -> dict[str, str]:
     columns = ", ".join(f'{values.get(source, f"coalesce({source}, 0)")} AS "{name}"' for name, source in SUMMARY_COLUMNS.items())
     sql["activity_summary"] = act(f"""SELECT app_key, {columns} FROM bounds LEFT JOIN env USING (app_key) LEFT JOIN tt USING (app_key) LEFT JOIN idle USING (app_key)
         LEFT JOIN caps USING (app_key) LEFT JOIN pt USING (app_key) LEFT JOIN pe USING (app_key)""")
+    sql["summary_with_errors"] = app("SELECT app_key, " + ", ".join(
+        {"Application ID": "CASE WHEN bad THEN app_key ELSE \"Application ID\" END", "Application Name": "CASE WHEN bad THEN 'Error: cut off' ELSE \"Application Name\" END",
+         "Start Date": "CASE WHEN bad THEN 'Error' ELSE \"Start Date\" END"}.get(n, f'CASE WHEN NOT bad THEN "{n}" END') + f' AS "{n}"' for n in SUMMARY_COLUMNS)
+        + " FROM (SELECT summ.*, c_mktsegment = 'BUILDING' AS bad FROM summ JOIN apps USING (app_key))", EX, SUMMARY)
+    counted = {"application": "app_lifecycle", "jobs": "execution_jobs", "planNodes": "plan_nodes", "stages": "stage_detail",
+               "sqlExecutions": "sql_executions", "executorTimeSeries": "executor_timeline", "reads": "read_metrics", "writes": "write_metrics"}
+    sql["detail_parts"] = " UNION ALL ".join(
+        f"SELECT app_key, '{part}' AS part, count(*) AS rows FROM ({sql[name]}) GROUP BY app_key" for part, name in counted.items())
+    file = r"'metrics_report_' || regexp_replace({}, '-\d{{4}}-\d{{2}}-\d{{2}}$', '') || '.txt'"
+    doubles = ("Duration (s)", "Idle Cores (%)", "Peak Mem (%)")
+    cells = ", ".join(f"coalesce(printf('%.2f', \"{n}\"), '')" if n in doubles else f"coalesce(\"{n}\"::VARCHAR, '')" for n in table)
+    sql["report_document"] = f"""SELECT {file.format('app_name')} AS file_name, app_name, section, concat_ws(' ', app_key, item) AS item, line
+        FROM ({sql['app_report_lines']}) JOIN (SELECT app_key, app_name FROM ({sql['app_lifecycle']})) USING (app_key)
+        UNION ALL SELECT DISTINCT {file.format('"App Name"')}, chr(1114111), 99, '', {quoted(chr(9).join(table))} FROM ({sql['report_table']})
+        UNION ALL SELECT {file.format('"App Name"')}, chr(1114111), 100, "App Name" || ' ' || "App ID", concat_ws(chr(9), {cells}) FROM ({sql['report_table']})"""
     return sql

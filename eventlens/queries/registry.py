@@ -302,6 +302,27 @@ def report_table(spark, sf_dir):
     return report.report_table(alt.alt_profile(application_log(spark, sf_dir)))
 
 
+@query
+def report_document(spark, sf_dir):
+    log = application_log(spark, sf_dir)
+    return report.report_document(alt.alt_profile(log), flows.plan_text_paths(log))
+
+
+@query
+def detail_parts(spark, sf_dir):
+    """Number of rows of each part of the detail documents."""
+    return detail.detail_documents(application_log(spark, sf_dir)).groupBy("app_key", "part").agg(F.count("*").alias("rows"))
+
+
+@query
+def summary_with_errors(spark, sf_dir):
+    """The summary if the logs of one market segment could not be read to their end."""
+    broken = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").join(
+        table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    errors = broken.select(F.concat(F.lit("application_"), F.col("c_custkey")).alias("app_key"), F.lit("cut off").alias("error"))
+    return summary.with_error_rows(summary.app_summary(application_log(spark, sf_dir)), errors)
+
+
 @query
 def summary_in_unit(spark, sf_dir):
     return report.summary_in_unit(summary.app_summary(application_log(spark, sf_dir)), "MB")
@@ -353,19 +374,14 @@ def _max_shuffle(log):
     return tasks.max_stages(log).select("app_key", F.greatest("max_shuffle_read", "max_shuffle_write").alias("max_shuffle"))
 
 
-def _large_shuffle(spark, sf_dir):
-    # a million times the logged bytes, so that the partition counts differ between applications
-    return _max_shuffle(application_log(spark, sf_dir)).withColumn("max_shuffle", F.col("max_shuffle") * 1000000)
-
-
 @query
 def sizing_static(spark, sf_dir):
-    return sizing.sizing_static(_large_shuffle(spark, sf_dir))
+    return sizing.sizing_static(_max_shuffle(application_log(spark, sf_dir)))
 
 
 @query
 def sizing_dynamic(spark, sf_dir):
-    return sizing.sizing_dynamic(_large_shuffle(spark, sf_dir))
+    return sizing.sizing_dynamic(_max_shuffle(application_log(spark, sf_dir)))
 
 
 @query
@@ -380,7 +396,7 @@ def sizing_choice(spark, sf_dir):
         lifecycle.app_lifecycle(log).join(segments, "app_key").join(_max_shuffle(log), "app_key")
         .select(F.concat("c_mktsegment", day).alias("app_name"), "max_shuffle")
     )
-    return sizing.sizing_choice(runs, threshold=0.28)
+    return sizing.sizing_choice(runs)
 
 
 @query

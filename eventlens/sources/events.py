@@ -17,8 +17,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce, wraps
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SQL_UI = "org.apache.spark.sql.execution.ui."
 
@@ -204,6 +205,8 @@ class EventLog:
     `apps` (app_key) lists the logs that must appear in per-application results even when they hold no event;
     by default these are the applications that have at least one line. A source that keeps event types apart
     gives `parts` (event name -> function that returns its lines) instead of one frame of lines.
+    With `stored`, a function that parses the lines once and returns all events (see `store_events`), the views read
+    typed columns and no line is parsed twice. `errors` returns (app_key, error) of logs that cannot be read to the end.
     """
 
     def __init__(
@@ -211,9 +214,13 @@ class EventLog:
         lines: DataFrame | None = None,
         apps: DataFrame | None = None,
         parts: dict[str, Callable[[], DataFrame]] | None = None,
+        stored: Callable[[EventLog], DataFrame] | None = None,
+        errors: Callable[[], DataFrame] | None = None,
     ):
         self._lines = lines
         self._apps = apps
+        self._stored = stored
+        self._errors = errors
         self._parts = parts or {}
         self._memo: dict[str, DataFrame] = {}
 
@@ -234,10 +241,18 @@ class EventLog:
         apps = self.lines if self._apps is None else self._apps
         return apps.select("app_key").distinct()
 
+    def errors(self) -> DataFrame | None:
+        return None if self._errors is None else self.memo("errors", self._errors)
+
     def view(self, name: str) -> DataFrame:
         def build() -> DataFrame:
             spec = VIEWS[name]
-            return self._parsed(spec).selectExpr(
+            if self._stored is not None:
+                events = self.memo("stored events", lambda: self._stored(self))
+                parsed = events.filter(F.col("event") == spec.event)
+            else:
+                parsed = self._parsed(spec)
+            return parsed.selectExpr(
                 "app_key", "seq", *[f"{source} AS {column}" for column, source in spec.columns.items()]
             )
 
@@ -274,19 +289,46 @@ def per_log(operator):
     return once
 
 
-def with_event_names(lines: DataFrame) -> DataFrame:
-    """Add the `event` column to lines that come from files (null for lines that are not JSON objects)."""
-    return lines.withColumn("event", F.get_json_object("value", "$.Event"))
+def _merged(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type with the fields of both; other types must be equal."""
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        fields = {f.name: f.dataType for f in a}
+        for f in b:
+            fields[f.name] = _merged(fields[f.name], f.dataType) if f.name in fields else f.dataType
+        return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+    if a != b:
+        raise ValueError(f"one field as {a} and {b}")
+    return a
 
 
-def store_lines(lines: DataFrame, path: str) -> None:
-    """Write lines once as parquet partitioned by event name, so that later views read only their own events.
+def event_schema() -> T.StructType:
+    """All fields that any view reads, so that one parse of a line serves every view."""
+    return reduce(_merged, [T.StructType.fromDDL(v.ddl) for v in VIEWS.values()], T.StructType.fromDDL("Event string"))
 
-    REBALANCE evens out the files: a very common event is split over many, the rare ones get one file each.
-    """
-    with_event_names(lines).hint("rebalance", "event").write.partitionBy("event").parquet(path)
 
+def store_events(lines: DataFrame, path: str, rebalance: bool = False) -> None:
+    """Parse each line once and write its fields as typed columns, in a folder for each event type.
 
-def stored_log(spark, path: str) -> EventLog:
-    lines = spark.read.parquet(path).withColumn("event", F.col("event").cast("string"))
-    return EventLog(lines)
+    Lines that are no events of interest keep nothing but their place. `rebalance` evens out the files of lines that are
+    not sorted by event type yet: a very common event is split over many files, the rare ones get one each.
+    """
+    plain = sorted({v.event for v in VIEWS.values() if not v.sql_ui})
+    name = F.when(F.col("e.Event").isin(plain), F.col("e.Event"))
+    for event in sorted({v.event for v in VIEWS.values() if v.sql_ui}):
+        name = name.when(F.col("e.Event").endswith(event), F.lit(event))
+    # No filter here: Spark would parse the lines once more for it.
+    rest = [c for c in lines.columns if c not in ("app_key", "seq", "value", "event")]
+    parsed = lines.select("app_key", "seq", *rest, F.from_json("value", event_schema()).alias("e"))
+    events = parsed.withColumn("event", F.coalesce(name, F.lit("other"))).withColumn(
+        "e", F.when(F.col("event") != "other", F.col("e")))
+    (events.hint("rebalance", "event") if rebalance else events).write.partitionBy("event").parquet(path)
+
+
+def stored_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def stored_log(spark: SparkSession, path: str) -> EventLog:
+    """A log whose events were stored; its raw lines are no longer there."""
+    events = stored_events(spark, path)
+    return EventLog(apps=events, stored=lambda _: events)

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.sources.events import EventLog
+from eventlens.operators.ordering import new_path
+from eventlens.sources.events import EventLog, store_events, stored_events
 
-NO_INDEX = 999999  # rolling files without a number come last
-MAX_FILE_BYTES = 1 << 40  # stride of one file in `seq`; files are smaller than 1 TiB
 ROW_IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
+MAX_CONTENT = (1 << 31) - 1  # bytes that fit into one binary value
+# The place of rolling files without a number, and how names of log files begin.
+NO_INDEX = 999999
 LOG_PREFIXES = ["application_", "appstatus_application_", "events_", "eventlog_v2_"]
 
 
@@ -29,6 +31,7 @@ def log_name(file_name: Column) -> Column:
 
 def group_name(file_name: Column) -> Column:
     """Application id of a plain or part file (`..._part_001` is dropped)."""
+    # Fixed value: the form of an application id.
     return F.nullif(F.regexp_extract(file_name, r"^(application_\d+_\d+(_\d+)?)", 1), F.lit(""))
 
 
@@ -40,6 +43,15 @@ def file_index(file_name: Column) -> Column:
     return F.coalesce(rolling, part, missing)
 
 
+def _place(index: Column, offset: Column) -> Column:
+    """Order of a line in its application: file by file, whatever their size."""
+    return (index.cast("decimal(18,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + offset.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def _folder(path: Column) -> Column:
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
 def _app_key(file_name: Column, group_parts: bool) -> Column:
     if group_parts:
         return F.coalesce(group_name(file_name), log_name(file_name))
@@ -61,6 +73,7 @@ def _text_lines(spark: SparkSession, path: str, group_parts: bool) -> DataFrame:
         .filter(is_log_name(file_name) & ~file_name.startswith("appstatus_") & ~file_name.endswith(".zstd"))
         .select(
             file_name.alias("file_name"),
+            _folder(F.col("_metadata.file_path")).alias("folder"),
             F.col("_metadata.file_block_start").alias("block_start"),
             # A scan partition holds at most one split's worth of bytes and a line takes at least one byte, so
             # the row number stays below the distance to the file's next split: block_start + row ascends.
@@ -70,7 +83,8 @@ def _text_lines(spark: SparkSession, path: str, group_parts: bool) -> DataFrame:
     )
     return lines.select(
         _app_key(name, group_parts).alias("app_key"),
-        (file_index(name) * MAX_FILE_BYTES + F.col("block_start") + F.col("row")).alias("seq"),
+        "folder",
+        _place(file_index(name), F.col("block_start") + F.col("row")).alias("seq"),
         _valid_text(F.col("value")).alias("value"),
     )
 
@@ -112,58 +126,80 @@ def zstd_lines(spark: SparkSession, path: str, pattern: str = "*.zstd", group_pa
     """Lines of `.zstd` files, with an `error` column for files that cannot be decoded.
 
     The text source would split a large `.zstd` file, which cannot be decoded from the middle, so each file is
-    decoded whole by one task; rolling logs keep the files small (128 MB by default).
+    decoded whole by one task; rolling logs keep the files small (128 MB by default). A file of more than 2 GB is not
+    read and gives an error.
     """
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .load(path).select("path", "content")
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     )
-    decoded = files.mapInPandas(_decode_zstd, "path string, line_no bigint, value string, error string")
+    decoded = files.filter(F.col("length") <= MAX_CONTENT).select("path", "content").mapInPandas(
+        _decode_zstd, "path string, line_no bigint, value string, error string")
+    too_large = files.filter(F.col("length") > MAX_CONTENT).select(
+        "path", F.lit(0).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("value"),
+        F.lit("compressed file of more than 2 GB").alias("error"))
     name = F.element_at(F.split("path", "/"), -1)
-    return decoded.filter(is_log_name(name)).select(
+    return decoded.unionByName(too_large).filter(is_log_name(name)).select(
         _app_key(name, group_parts).alias("app_key"),
-        (file_index(name) * MAX_FILE_BYTES + F.col("line_no")).alias("seq"),
+        _folder(F.col("path")).alias("folder"),
+        _place(file_index(name), F.col("line_no")).alias("seq"),
         "value",
         "error",
     )
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """Path and modification time of every file; the content column is never read."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .select("path", "modificationTime", F.element_at(F.split("path", "/"), -1).alias("file_name"))
-        .filter(is_log_name(F.col("file_name")))
-    )
+    """Path, folder, modification time and name of every log file, empty ones too, which Spark's scans leave out."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while listing.hasNext():
+        status = listing.next()
+        found.append((status.getPath().toString(), status.getModificationTime()))
+    files = spark.createDataFrame(found, "path string, ms bigint").select(
+        "path", F.timestamp_millis("ms").alias("modificationTime"), F.element_at(F.split("path", "/"), -1).alias("file_name"),
+        _folder(F.col("path")).alias("folder"))
+    return files.filter(is_log_name(F.col("file_name")))
+
+
+def _keyed(rows: DataFrame, same_name: DataFrame) -> DataFrame:
+    """Logs of one name in several folders are told apart by their folder."""
+    apart = rows.join(same_name.withColumn("_apart", F.lit(True)), "app_key", "left")
+    key = F.when(F.col("_apart"), F.concat_ws("/", "folder", "app_key")).otherwise(F.col("app_key"))
+    return apart.withColumn("app_key", key).drop("_apart", "folder")
 
 
 def read_logs(spark: SparkSession, path: str, group_parts: bool = False) -> EventLog:
     """All event logs below a folder: plain, part and rolling files, plain or compressed (`.zst`, `.zstd`).
 
-    `group_parts` joins the part files of one application; otherwise every plain file is its own log.
+    `group_parts` joins the part files of one application; otherwise every plain file is its own log. Logs that share
+    a name but not a folder have the folder before their key. The first use of a view parses all lines once and
+    stores them as typed columns in the shared folder; files that cannot be read to the end are noted on the way.
     """
-    lines = _text_lines(spark, path, group_parts).unionByName(
-        zstd_lines(spark, path, group_parts=group_parts).filter(F.col("error").isNull()).drop("error")
-    )
-    apps = _files(spark, path).select(_app_key(F.col("file_name"), group_parts).alias("app_key"))
-    return EventLog(lines, apps)
+    files = _files(spark, path).select(_app_key(F.col("file_name"), group_parts).alias("app_key"), "folder").distinct()
+    same_name = files.groupBy("app_key").agg(F.count("*").alias("_folders")).filter("_folders > 1").select("app_key")
+    lines = _text_lines(spark, path, group_parts).withColumn("error", F.lit(None).cast("string")).unionByName(
+        zstd_lines(spark, path, group_parts=group_parts))
+    # the listing has a row for each file, and few names are shared, if any
+    if same_name.limit(1).count():
+        lines, apps = _keyed(lines, same_name), _keyed(files, same_name)
+    else:
+        lines, apps = lines.drop("folder"), files.drop("folder")
 
+    def stored(log: EventLog) -> DataFrame:
+        folder = new_path(spark)
+        store_events(lines, folder, rebalance=True)
+        return stored_events(spark, folder)
 
-def read_errors(spark: SparkSession, path: str, group_parts: bool = False) -> DataFrame:
-    """(app_key, error) of the compressed files that cannot be decoded."""
-    return (
-        zstd_lines(spark, path, group_parts=group_parts)
-        .filter(F.col("error").isNotNull())
-        .groupBy("app_key")
-        .agg(F.min("error").alias("error"))
-    )
+    def errors() -> DataFrame:
+        events = log.memo("stored events", lambda: stored(log))
+        return events.filter("event = 'other' and error is not null").groupBy("app_key").agg(F.min("error").alias("error"))
 
+    log = EventLog(lines.filter(F.col("error").isNull()).drop("error"), apps, stored=stored, errors=errors)
+    return log
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Logs a user can pick: plain logs and rolling logs (path of the `appstatus_` anchor), newest first.
 
-    Anchors are empty files, which Spark leaves out of scans, so rolling logs are listed by their event files.
-    """
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """Logs a user can pick: plain logs and rolling logs (path of the `appstatus_` anchor), newest first."""
     files = _files(spark, path)
     name = F.col("file_name")
     plain = files.filter(name.startswith("application_")).select(name.alias("filename"), "modificationTime", "path")
@@ -210,7 +246,8 @@ def log_groups(log: EventLog) -> DataFrame:
 def app_names(log: EventLog, requested: DataFrame | None = None) -> DataFrame:
     """Application name of each log: that of its first start event, "Unknown" without one.
 
-    With `requested` (app_key), logs that do not exist give "File Not Found". The whole log is searched.
+    A log that cannot be read to its end has "Read Error". With `requested` (app_key), logs that do not exist give
+    "File Not Found". The whole log is searched.
     """
     first = log.view("app_start").groupBy("app_key").agg(
         F.min_by(F.coalesce("app_name", F.lit("Unknown")), "seq").alias("app_name")
@@ -218,6 +255,10 @@ def app_names(log: EventLog, requested: DataFrame | None = None) -> DataFrame:
     names = log.apps().join(first, "app_key", "left").select(
         "app_key", F.coalesce("app_name", F.lit("Unknown")).alias("app_name")
     )
+    if log.errors() is not None:
+        broken = log.errors().select("app_key", F.lit(True).alias("_broken"))
+        names = names.join(broken, "app_key", "left").select(
+            "app_key", F.when(F.col("_broken"), F.lit("Read Error")).otherwise(F.col("app_name")).alias("app_name"))
     if requested is None:
         return names
     return requested.select("app_key").distinct().join(names, "app_key", "left").select(

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.sources.events import SQL_UI, EventLog
+from eventlens.operators.ordering import new_path
+from eventlens.sources.events import SQL_UI, EventLog, store_events, stored_events
 
 PHASES = {
     "app_start": 0, "environment": 1, "executors": 2, "sql_start": 3, "job_start": 4, "stage_submitted": 5,
@@ -62,12 +64,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a part of a table that is stored as a single split; large tables are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 class Star:
     """The tables and their joins, each built once per log."""
 
@@ -80,11 +76,12 @@ class Star:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return spread(self.table("orders")).withColumn("start_ms", millis("o_orderdate"))
+        return self.table("orders").repartition("o_orderkey").withColumn("start_ms", millis("o_orderdate"))
 
     @cached_property
     def lineitem(self) -> DataFrame:
-        return spread(self.table("lineitem"))
+        """Dealt out by order, as the joins and groups below need it; a table stored as one split gets to all cores."""
+        return self.table("lineitem").repartition("l_orderkey")
 
     @cached_property
     def items(self) -> DataFrame:
@@ -117,10 +114,6 @@ class Star:
             "gone_ms": F.col("start_ms") + (F.col("o_orderkey") % 48) * 3600000,
         })
 
-    @cached_property
-    def sql_orders(self) -> DataFrame:
-        return self.orders.filter("o_orderkey % 5 = 0")
-
 
 def _app_start(star: Star) -> DataFrame:
     return _lines(
@@ -188,7 +181,7 @@ def _job_start(star: Star, reruns: bool) -> DataFrame:
     orders = star.orders.join(stages, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     ids = F.transform(F.array_sort(F.coalesce("numbers", F.array().cast("array<int>"))), lambda n: F.col("o_orderkey") * 10 + n)
     properties = F.struct(
-        F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey").cast("string")).alias("spark.sql.execution.id"),
+        F.col("o_orderkey").cast("string").alias("spark.sql.execution.id"),
         F.lit("default").alias("spark.scheduler.pool"),
     )
     jobs = [
@@ -200,7 +193,7 @@ def _job_start(star: Star, reruns: bool) -> DataFrame:
     if reruns:
         # a second job lists every even-numbered stage of a SQL execution again, in the middle of its tasks
         again = (
-            star.items.filter("o_orderkey % 5 = 0 and l_linenumber % 2 = 0")
+            star.items.filter("l_linenumber % 2 = 0")
             .select("o_custkey", "o_orderkey", "stage_id", "launch_ms").distinct()
         )
         jobs.append(
@@ -237,14 +230,11 @@ def _stage_completed(star: Star) -> DataFrame:
     key, number = F.col("o_orderkey"), F.col("l_linenumber")
     acc = lambda k: key * ACCS + k
     counter = lambda k, name, value: _struct(ID=acc(k), Name=F.lit(name), Value=value)
-    counters = F.when(
-        key % 5 == 0,
-        F.array(
-            counter(8, "number of output rows", (key % 900 + number * 10).cast("string")),
-            counter(5, "number of output rows", (key % 500).cast("string")),
-            counter(16, "number of output rows", (key % 77).cast("string")),
-            counter(10, "shuffle records written", (key % 50).cast("string")),
-        ),
+    counters = F.array(
+        counter(8, "number of output rows", (key % 900 + number * 10).cast("string")),
+        counter(5, "number of output rows", (key % 500).cast("string")),
+        counter(16, "number of output rows", (key % 77).cast("string")),
+        counter(10, "shuffle records written", (key % 50).cast("string")),
     )
     return _lines(
         star.stages, "o_custkey", position("stage_completed", F.col("launch_ms"), F.col("stage_id")),
@@ -287,7 +277,7 @@ def _task_end(star: Star) -> DataFrame:
     info = _named({
         "Launch Time": F.col("launch_ms"), "Finish Time": F.col("finish_ms"),
         "Executor ID": (F.col("l_suppkey") % 3 + 1).cast("string"),
-        "Accumulables": F.when(F.col("o_orderkey") % 5 == 0, "@ACCUMULABLES@"),
+        "Accumulables": F.lit("@ACCUMULABLES@"),
     })
     body = F.to_json(F.struct(
         F.lit("SparkListenerTaskEnd").alias("Event"),
@@ -369,14 +359,14 @@ def _sql_start(star: Star) -> DataFrame:
     ))
     plan = F.expr(f"if(o_orderkey % 3 = 0, {_plan(True)}, {_plan(False)})")
     body = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"sparkPlanInfo":'), plan, F.lit("}"))
-    return star.sql_orders.select(
+    return star.orders.select(
         F.concat(F.lit("application_"), F.col("o_custkey")).alias("app_key"),
         position("sql_start", start, key).alias("seq"), body.alias("value"), F.lit(event).alias("event"),
     )
 
 
 def _driver_updates(star: Star) -> DataFrame:
-    ran = star.sql_orders.filter("o_orderstatus != 'P'")
+    ran = star.orders.filter("o_orderstatus != 'P'")
     key, start = F.col("o_orderkey"), F.col("start_ms")
     price = F.floor("o_totalprice").cast("bigint")
     pair = lambda k, value: F.array(key * ACCS + k, value.cast("bigint"))
@@ -397,16 +387,33 @@ def _driver_updates(star: Star) -> DataFrame:
 def _sql_end(star: Star) -> DataFrame:
     key, start = F.col("o_orderkey"), F.col("start_ms")
     return _lines(
-        star.sql_orders, "o_custkey", position("sql_end", start, key),
+        star.orders, "o_custkey", position("sql_end", start, key),
         f"{SQL_UI}SparkListenerSQLExecutionEnd", executionId=key, time=start + key % 1000,
     )
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored_once(spark: SparkSession, sf_dir: str, kind: str) -> Callable[[EventLog], DataFrame]:
+    """Parses the lines of a log once for all queries of a session on the same tables."""
+
+    def stored(log: EventLog) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, kind)
+        if key not in _STORED:
+            path = new_path(spark)
+            store_events(log.lines, path)
+            _STORED[key] = path
+        return stored_events(spark, _STORED[key])
+
+    return stored
+
+
 def application_log(spark: SparkSession, sf_dir: str, reruns: bool = False) -> EventLog:
-    """Customers as applications, orders as jobs, line items as tasks, every fifth order as a SQL execution."""
+    """Customers as applications, orders as jobs, line items as tasks, every order also as a SQL execution."""
     star = Star(spark, sf_dir)
     apps = star.orders.select(F.concat(F.lit("application_"), F.col("o_custkey")).alias("app_key"))
-    return EventLog(apps=apps, parts={
+    return EventLog(apps=apps, stored=_stored_once(spark, sf_dir, f"application {reruns}"), parts={
         "SparkListenerApplicationStart": lambda: _app_start(star),
         "SparkListenerEnvironmentUpdate": lambda: _environment(star),
         "SparkListenerExecutorAdded": lambda: _executor_added(star),
@@ -424,7 +431,7 @@ def application_log(spark: SparkSession, sf_dir: str, reruns: bool = False) -> E
 
 def activity_log(spark: SparkSession, sf_dir: str) -> EventLog:
     """Users as applications: sign-ups add executors, errors remove them, purchases are tasks."""
-    events = spread(table(spark, sf_dir, "events")).withColumn("ms", millis("ts")).withColumn(
+    events = table(spark, sf_dir, "events").withColumn("ms", millis("ts")).withColumn(
         "us", F.unix_micros(F.col("ts").cast("timestamp"))
     )
     event_id, value, ms = F.col("event_id"), F.col("value"), F.col("ms")
@@ -435,7 +442,7 @@ def activity_log(spark: SparkSession, sf_dir: str) -> EventLog:
     users = events.groupBy("user_id").agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
     heap = F.floor(value * 1000000).cast("bigint")
     apps = events.select(F.concat(F.lit("application_"), F.col("user_id")).alias("app_key"))
-    return EventLog(apps=apps, parts={
+    return EventLog(apps=apps, stored=_stored_once(spark, sf_dir, "activity"), parts={
         "SparkListenerApplicationStart": lambda: _lines(
             users, "user_id", position("app_start", F.col("first_ms")), "SparkListenerApplicationStart",
             **{"App ID": F.concat(F.lit("application_"), F.col("user_id")), "App Name": F.concat(F.lit("user "), F.col("user_id")),

@@ -8,11 +8,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from eventlens.operators.ordering import clear  # noqa: E402
 from eventlens.sources.events import EventLog  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
@@ -20,10 +21,12 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('checkpoints')}")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear(session)
     session.stop()
 
 

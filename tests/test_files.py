@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventlens.operators import detail, flows, lifecycle, report, summary, tasks
 from eventlens.sources import logs
-from eventlens.sources.events import store_lines, stored_log
+from eventlens.sources.events import store_events, stored_log
 
 
 @pytest.fixture
@@ -72,8 +72,22 @@ def test_unreadable_file_gives_error_row(spark, folder):
     (folder / "application_4_4.zstd").write_bytes(b"no zstd at all")
     (folder / "application_5_5").write_text('{"Event":"SparkListenerApplicationStart","App ID":"application_5_5","App Name":"n","Timestamp":1000}\n')
     log = logs.read_logs(spark, str(folder))
-    whole = summary.with_error_rows(summary.app_summary(log), logs.read_errors(spark, str(folder)))
-    got = {r["Application ID"]: r for r in whole.collect()}
+    (folder / "application_6_6").write_text("")
+    text = "".join(json.dumps({"Event": "SparkListenerTaskEnd", "Stage ID": i, "Task Metrics": {"Executor Run Time": i * 7919}}) + "\n" for i in range(20000))
+    zstd(folder / "application_7_7.zstd", text)
+    whole = (folder / "application_7_7.zstd").read_bytes()
+    (folder / "application_7_7.zstd").write_bytes(whole[: len(whole) // 2])
+    for name in ("one", "two"):
+        (folder / name).mkdir()
+        (folder / name / "application_8_8").write_text(json.dumps({"Event": "SparkListenerTaskEnd", "Stage ID": 1}) + "\n")
+    log = logs.read_logs(spark, str(folder))
+    got = {r["app_key"]: r for r in summary.app_summary(log).collect()}
+    assert got["application_6_6"]["Total Tasks"] == 0 and got["application_6_6"]["Application ID"] == "Unknown"
+    assert got["application_7_7"]["Start Date"] == "Error" and got["application_7_7"]["Total Tasks"] is None
+    shared = [r for k, r in got.items() if k.endswith("/application_8_8")]
+    assert len(shared) == 2 and all(r["Total Tasks"] == 1 for r in shared) and len(got) == 6
+    names = {r.app_key: r.app_name for r in logs.app_names(log).collect()}
+    assert names["application_4_4"] == names["application_7_7"] == "Read Error" and names["application_5_5"] == "n"
     assert got["application_4_4"]["Start Date"] == "Error" and got["application_4_4"]["Application Name"].startswith("Error: ")
     assert got["application_4_4"]["Total Tasks"] is None and got["application_5_5"]["Total Tasks"] == 0
 
@@ -100,18 +114,19 @@ def test_sinks(spark, folder, make_log):
     assert '"Total Input (GB)"' in text and text.count('"') >= 4 * 38
 
 
-def test_stored_lines_give_the_same_results(spark, folder, make_log):
+def test_stored_events_give_the_same_results(spark, folder, make_log):
     log = make_log([
         {"Event": "SparkListenerTaskEnd", "Stage ID": 1, "Task Info": {"Launch Time": 1, "Finish Time": 4}, "Task Metrics": {"Memory Bytes Spilled": 3}},
         {"Event": "org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart", "executionId": 1, "sparkPlanInfo": {"nodeName": "A"}},
         "broken",
     ])
-    store_lines(log.lines, str(folder / "store"))
+    store_events(log.lines, str(folder / "store"))
     stored = stored_log(spark, str(folder / "store"))
     assert tasks.task_totals(stored).collect() == tasks.task_totals(log).collect()
     assert detail.sql_executions(stored).collect() == detail.sql_executions(log).collect()
     plan = stored.view("task_end")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event" in plan or "PartitionFilters: [" in plan and "TaskEnd" in plan
+    assert "from_json" not in plan
 
 
 def test_real_log(spark, folder):

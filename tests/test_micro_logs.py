@@ -304,3 +304,48 @@ def test_totals_do_not_depend_on_partitions(spark, make_log):
     assert row(summary.app_summary(log)) == row(summary.app_summary(shuffled))
     stages = tasks.stage_totals(log)
     assert stages.groupBy().sum("shuffle_read").first()[0] == row(tasks.task_totals(log))["shuffle_read"]
+
+
+def spilled(stage, memory=0, disk=0):
+    event = task(stage)
+    event["Task Metrics"] = {"Executor Run Time": 1, "Memory Bytes Spilled": memory, "Disk Bytes Spilled": disk}
+    return event
+
+
+def test_of_equal_spills_the_first_to_spill_counts(make_log):
+    """Stage 1 has the first task, stage 2 the first spill; both spill the same in the end."""
+    log = make_log([spilled(1), spilled(2, 50, 9), spilled(1, 50, 9)])
+    got = row(tasks.max_positive_stages(log))
+    assert (got["max_spill_memory_stage_id"], got["max_spill_disk_stage_id"]) == (2, 2)
+    assert row(tasks.max_stages(log))["max_spill_memory_stage_id"] == 1  # the summary goes by the first task
+
+
+def test_one_stage_holds_nearly_all_tasks(make_log):
+    events = [job(0, [5, 6], 1), *[task(5, 0, i) for i in range(180)], job(1, [5], 2), *[task(5, 0, 1000 + i) for i in range(180)], task(6, 0, 1)]
+    got = flows.task_execution(make_log(events)).collect()
+    assert len(got) == 361 and all(r.execution_id == (2 if r.duration_ms >= 1000 else 1) for r in got)
+
+
+def test_one_log_holds_nearly_all_lines(spark, make_log):
+    lines = [f"spark-app-1 of job-2024-01-02 line {i}" for i in range(300)] + ["job-2023-05-06", "no name"]
+    log = make_log(lines, ["big"] * 300 + ["small", "none"])
+    got = report.renamed_log_lines(log.lines, r"(job-(\d{4}-\d{2}-\d{2}))").collect()
+    assert len(got) == 301 and all((r.new_name in r.value) and ("job-2024" not in r.value.replace(r.new_name, "")) for r in got)
+
+
+def test_report_sinks(spark, make_log, tmp_path):
+    log = make_log([start(1000), task(1, 1, 2), end(5000)])
+    profile, paths = alt.alt_profile(log), flows.plan_text_paths(log)
+    document = report.report_document(profile, paths)
+    report.write_report(document, f"file://{tmp_path}/report")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "report").rglob("part-*")))
+    assert text.count("\n") >= document.count() and text.rstrip().split("\n")[-1].startswith("application_1\tjob\t4.00")
+    renamed = report.renamed_log_lines(make_log(["job-2024-01-02 a", "b of job-2024-01-02"]).lines, r"(job-(\d{4}-\d{2}-\d{2}))")
+    report.write_renamed_logs(renamed, f"file://{tmp_path}/logs")
+    written = "".join(p.read_text() for p in sorted((tmp_path / "logs" / "app_key=a").glob("part-*")))
+    assert written == "my-spark-job-2024-01-02 a\nb of my-spark-job-2024-01-02\n"
+    results = summary.app_summary(make_log([start(1000), start(2)], ["a", "b"]))
+    summary.write_csv(results.withColumn("Application ID", results["app_key"]), f"file://{tmp_path}/results")
+    counts = report.rewrite_without(spark, f"file://{tmp_path}/results", spark.createDataFrame([("a",)], "`Application ID` string"), f"file://{tmp_path}/after")
+    assert tuple(counts.first()) == (1, 1)
+    assert [r["Application ID"] for r in summary.read_csv(spark, f"file://{tmp_path}/after").collect()] == ["b"]

@@ -12,10 +12,7 @@ duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
-CHECKED = [
-    "max_shuffle_stage", "job_shuffle", "preempted_tasks", "executor_timeline", "max_active_executors", "task_execution",
-    "read_metrics", "operation_list", "app_summary", "summary_stats",
-]
+CHECKED = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
