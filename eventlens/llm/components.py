@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.operators.ordering import checkpointed
+from eventlens.operators.ordering import checkpointed, discard
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -17,19 +17,20 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(nodes.select("node", F.col("node").alias("label")))
     while True:
-        around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(
+        around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(
             F.min("label").alias("seen"))
-        least = labels.join(around.withColumnRenamed("a", "node"), "node", "left").select(
-            "node", "label", F.least("label", F.coalesce("seen", "label")).alias("least"))
-        # Both ends of a changed label learn of it: the node itself, and the node that was its label until now.
-        hook = least.where("least < label").groupBy(F.col("label").alias("root")).agg(F.min("least").alias("lower"))
-        hooked = least.join(hook.withColumnRenamed("root", "node"), "node", "left").select(
-            "node", "label", F.least("least", F.coalesce("lower", "least")).alias("least"))
-        step = checkpointed(hooked)
-        jumped = step.alias("s").join(
-            step.select(F.col("node").alias("at"), F.col("least").alias("further")), F.col("s.least") == F.col("at")
-        ).select("node", "label", F.least("least", "further").alias("new"))
-        done = checkpointed(jumped)
-        if not done.where("new < label").limit(1).count():
-            return done.select("node", "label")
-        labels = done.select("node", F.col("new").alias("label"))
+        least = checkpointed(labels.join(around, "node", "left").select(
+            "node", "label", F.least("label", F.coalesce("seen", "label")).alias("least")))
+        # Of a changed label learn the node itself and the node that was its label until now.
+        hook = least.where("least < label").groupBy(F.col("label").alias("node")).agg(F.min("least").alias("lower"))
+        hooked = checkpointed(least.join(hook, "node", "left").select(
+            "node", "label", F.least("least", F.coalesce("lower", "least")).alias("least")))
+        further = hooked.select(F.col("node").alias("least"), F.col("least").alias("further"))
+        jumped = checkpointed(hooked.join(further, "least").select("node", "label", F.least("least", "further").alias("new")))
+        discard(labels, least, hooked)
+        labels = checkpointed(jumped.select("node", F.col("new").alias("label")))
+        changed = jumped.where("new < label").limit(1).count()
+        discard(jumped)
+        if not changed:
+            discard(both)
+            return labels

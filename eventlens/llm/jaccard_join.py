@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.llm.components import components
 from eventlens.llm.rolling import run_hashes, word_hashes
-from eventlens.operators.ordering import checkpointed
+from eventlens.operators.ordering import checkpointed, discard
 
 SHINGLE, PERCENT = 4, 85
 #: Shingles that several sets of a stretch of text share are counted in this many buckets, to put them last in the order.
@@ -169,15 +169,20 @@ def _describe(levels: np.ndarray, bits: int, percent: int, shingle: int):
 
 
 def _sets(shingle: int):
+    """Sets of the texts that are a class's own (rows of node, its digest, text), each once per task."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                found = [shingles(t, shingle) for t in part.column(1).to_pylist()]
-                digests = [hashlib.md5(t.tobytes()).digest() for t in found]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digests, pa.binary()), pa.array([t.tobytes() for t in found], pa.binary())],
-                    names=["id", "digest", "tokens"])
+                nodes, tokens = [], []
+                for node, digest, text in zip(*(batch.slice(start, 1000).column(i).to_pylist() for i in range(3))):
+                    if node not in seen:
+                        found = shingles(text, shingle).tobytes()
+                        if hashlib.md5(found).digest() == digest:  # an id may have other texts too
+                            seen.add(node)
+                            nodes.append(node)
+                            tokens.append(found)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
     return sets
 
@@ -227,7 +232,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, loose: int) -> Da
     asking = parts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")).join(
         sets.withColumnRenamed("node", "a"), "a").select("a", "part", F.col("a").alias("b"), "tokens")
     rows = asking.union(others).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
-    return checkpointed(rows.mapInArrow(_verify(percent, loose), "a bigint, b bigint, near int"))
+    return checkpointed(rows.mapInArrow(_verify(percent, loose), "a bigint, b bigint, near int").distinct())
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -258,26 +263,35 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     ).withColumn("node", F.monotonically_increasing_id()))
 
     lists = classes.select("node", "n", F.posexplode("rare").alias("place", "token"))
-    tokens = lists.groupBy("token").agg(F.min("node").alias("first"), F.count("*").alias("sets")).where("sets > 1")
-    shared = checkpointed(lists.join(tokens.drop("sets"), "token"))
-    starts = shared.groupBy("node").agg(F.min("first").alias("first")).where("first < node")
-    involved = checkpointed(shared.select("node").distinct().join(classes.select("node", "id", "digest"), "node"))
-    wanted = involved.select("id", F.col("digest").alias("_digest"), "node")
-    small = wanted.count() <= BROADCAST_NODES
-    chosen = texts.join(F.broadcast(wanted.select("id").distinct()) if small else wanted.select("id").distinct(), "id", "left_semi")
-    sets = chosen.mapInArrow(_sets(shingle), "id bigint, digest binary, tokens binary").join(wanted, "id").where(
-        F.col("digest") == F.col("_digest")).groupBy("node").agg(F.first("tokens").alias("tokens"))
-    sets = checkpointed(sets)
-
-    first_round = _verified(starts.select(F.col("first").alias("a"), F.col("node").alias("b")), sets, percent, loose)
-    same_id = _sharing_ids(rows, classes)
-    near = first_round.where(F.col("near") == NEAR).select("a", "b").union(same_id)
+    tokens = lists.groupBy("token").agg(F.min(F.struct("node", "n", "place")).alias("first"), F.count("*").alias("sets")).where(
+        "sets > 1").select("token", "first")
+    shared = checkpointed(lists.join(tokens, "token"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Sets of the nodes that occur in pairs (a, b), from the texts. The ids are broadcast if they are few."""
+        wanted = checkpointed(nodes.select(F.col("a").alias("node")).union(nodes.select("b")).distinct().join(
+            classes.select("node", "id", "digest"), "node"))
+        few = wanted.count() <= BROADCAST_NODES
+        own = texts.join(F.broadcast(wanted) if few else wanted, "id").select("node", "digest", "text")
+        return checkpointed(own.mapInArrow(_sets(shingle), "node bigint, tokens binary"))
+
+    fit = _may_link(F.col("n"), F.col("place"), F.col("first.n"), F.col("first.place"), percent)
+    starts = checkpointed(shared.where((F.col("first.node") < F.col("node")) & fit).groupBy("node").agg(
+        F.min("first.node").alias("a")).select("a", F.col("node").alias("b")))
+    sets = sets_of(starts)
+    first_round = _verified(starts, sets, percent, loose)
+    near = checkpointed(first_round.where(F.col("near") == NEAR).select("a", "b").union(_sharing_ids(rows, classes)))
     labels = components(classes.select("node"), near)
-    second_round = _verified(_remaining(shared, labels, first_round, percent), sets, percent, loose)
+    pairs = _remaining(shared, labels, first_round, percent)
+    discard(starts, sets, shared, first_round, labels)
+    sets = sets_of(pairs)
+    second_round = _verified(pairs, sets, percent, loose)
     labels = components(classes.select("node"), near.union(second_round.where(F.col("near") == NEAR).select("a", "b")))
+    discard(pairs, sets, second_round, near)
 
     smallest = classes.join(labels, "node").groupBy("label").agg(F.min("id").alias("component_id"))
     found = checkpointed(classes.join(labels, "node").join(smallest, "label").select("digest", "component_id"))
+    discard(labels, classes)
     return rows.join(found, "digest", "left").select(
         F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -317,15 +331,22 @@ def _remaining(shared: DataFrame, labels: DataFrame, first_round: DataFrame, per
         "token", "node", "n", "place", "label", "main", F.coalesce("lead", "node").alias("lead"), F.coalesce("near", F.lit(NEAR)).alias("near")))
     # A list's main component is not paired with itself: only its other members are looked at from the left.
     x, y = members.where("label <> main").alias("x"), members.alias("y")
-    c = lambda name: F.col(name)
+    c = F.col
     once = (c("y.label") == c("y.main")) | (c("x.node") < c("y.node"))
-    sizes = (100 * c("x.n") >= percent * c("y.n")) & (100 * c("y.n") >= percent * c("x.n"))
-    # Shared shingles are in the same order in both sets, so none before this one need be counted twice.
-    most = F.least(c("x.n") - c("x.place"), c("y.n") - c("y.place"))
-    reach = (100 + percent) * most >= percent * (c("x.n") + c("y.n"))
+    fit = _may_link(c("x.n"), c("x.place"), c("y.n"), c("y.place"), percent)
     apart = (c("x.lead") == c("y.lead")) & (
         ((c("x.near") == NEAR) & (c("y.near") == FAR)) | ((c("x.near") == FAR) & (c("y.near") == NEAR))
         | (c("x.node") == c("y.lead")) | (c("y.node") == c("x.lead")))
-    pairs = x.join(y, (c("x.token") == c("y.token")) & (c("x.label") != c("y.label")) & once & sizes & reach & ~apart)
-    return checkpointed(pairs.select(
+    pairs = x.join(y, (c("x.token") == c("y.token")) & (c("x.label") != c("y.label")) & once & fit & ~apart)
+    found = checkpointed(pairs.select(
         F.least(c("x.node"), c("y.node")).alias("a"), F.greatest(c("x.node"), c("y.node")).alias("b")).distinct())
+    discard(members)
+    return found
+
+
+def _may_link(n: Column, place: Column, m: Column, at: Column, percent: int) -> Column:
+    """Can two sets of n and m shingles be linked if this shared one has these places in their orders? Shared shingles
+    are in the same order in both; if this is their first, only those after it can be shared as well. A linked pair has
+    a first one, so that it is found there."""
+    sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
+    return sizes & ((100 + percent) * F.least(n - place, m - at) >= percent * (n + m))
