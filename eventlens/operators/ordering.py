@@ -39,23 +39,42 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all that this process has written to the shared folder. DataFrames built on it can't be read any more."""
+def written() -> list[str]:
+    """The folders that this process has written to the shared folder and not deleted yet."""
+    return list(_WRITTEN)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete such folders. DataFrames built on them can't be read any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in _WRITTEN:
+            _WRITTEN.remove(name)
+
+
+def clear(spark: SparkSession) -> None:
+    delete(spark, written())
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows once to the shared checkpoint folder and go on from there.
 
     The files survive the loss of executors. As parquet they are computed in one pass, later steps read only the
-    columns they need, and Spark knows their size when it chooses joins.
+    columns they need, and Spark knows their size when it chooses joins. `discard` deletes them.
     """
     path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.checkpoint_folder = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete the files of checkpointed DataFrames that nothing will read any more."""
+    for df in stored:
+        delete(df.sparkSession, [df.checkpoint_folder])
 
 
 def in_chunks(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
