@@ -142,7 +142,7 @@ def _repeated_windows(texts: DataFrame, firsts: DataFrame, window: int) -> DataF
         found.join(frequent, "anchor", "left_anti").join(counted, "anchor"))
     seeds = repeated.groupBy("key").agg(F.collect_list(F.struct(
         "place", F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))).alias("places"))  # as many as the text has
-    seeded = _with_first(texts, firsts).join(seeds, "key").select("key", "first", "text", "places")
+    seeded = _with_first(texts, firsts).join(seeds.hint("merge"), "key").select("key", "first", "text", "places")
     windows = seeded.mapInArrow(
         _emit_windows(window), "w1 bigint, w2 bigint, groups int, first bigint, key bigint, start int"
     ).withColumn("member", F.pmod("key", "groups"))
@@ -151,14 +151,15 @@ def _repeated_windows(texts: DataFrame, firsts: DataFrame, window: int) -> DataF
     def later(by: list[str]) -> Column:  # not the first of its group
         return F.lag("start").over(Window.partitionBy(*by).orderBy(*order)).isNotNull()
 
-    ranked = windows.withColumn("later", later(["w1", "w2", "member"]))
+    # All windows of one content have the same `groups`; as part of the keys both uses below share one shuffle.
+    ranked = windows.withColumn("later", later(["w1", "w2", "groups", "member"]))
     leading = ranked.where(~F.col("later") & (F.col("groups") > 1)).withColumn("later", later(["w1", "w2"]))
     return ranked.where("later").select(*order).unionByName(leading.where("later").select(*order))
 
 
 def _with_first(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     f = firsts.withColumnRenamed("digest", "_digest")
-    return texts.join(f, "key").where(_equal(F.col("digest"), F.col("_digest"))).drop("_digest")
+    return texts.join(f.hint("merge"), "key").where(_equal(F.col("digest"), F.col("_digest"))).drop("_digest")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
@@ -190,7 +191,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, keep: list[str] | No
         F.when(short, F.sha2(F.array_join("_words", " "), 256)).alias("_sha"),
         (F.when(short, F.col("_text")) if keep else F.lit(None).cast("string")).alias("_short")))
     firsts = rows.groupBy("key", "digest").agg(F.min("_order").alias("first"))
-    once = keyed.mapInArrow(_first_in_task, keyed.schema)
+    # Every use of the texts asks for the same columns and rows, so that Spark shuffles them once: joins would add the
+    # filter by themselves, but not the use that has no join. For the same reason the joins below are all of one kind.
+    once = keyed.mapInArrow(_first_in_task, keyed.schema).where("key is not null and digest is not null")
     texts = once.repartition(n, "key").groupBy("key", "digest").agg(F.first("text").alias("text"))
     repeats = _repeated_windows(texts, firsts, window).groupBy("key", "first").agg(
         F.collect_list("start").alias("starts")).withColumnRenamed("first", "_first")
