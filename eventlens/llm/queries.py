@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm import (
-    jaccard_join, mixing, nearest_vectors, packing, quality_classifier, quality_rules, sharding, substring_dedup,
+    jaccard_join, mixing, nearest_vectors, oracles, packing, quality_classifier, quality_rules, sharding, substring_dedup,
     token_counts, toxicity,
 )
 from eventlens.llm.common import read_table
@@ -18,7 +18,9 @@ from eventlens.operators.ordering import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+#: The others learn models, use tokenizers or pseudorandom permutations, are approximate, or need CRC-32, which DuckDB
+#: lacks: they are tested against brute force.
+ORACLES: dict[str, str] = {"op8_substring_dedup": oracles.substring_dedup(), "op9_jaccard_join": oracles.jaccard_join()}
 
 
 def query(function: Query) -> Query:

@@ -85,22 +85,3 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", (F.col("_start") + inside - 1).cast("bigint").alias("slot"),
         "grown_shard",
     )
-
-
-def oracle(table: str = "documents", shards: int = 8) -> str:
-    """DuckDB SQL of the shards and checksums; slots are numbered by doc_id there and are compared as counts in tests."""
-    def walk(name: str, n: int) -> str:
-        return f"""{name} as (
-            select doc_id, (case when coalesce(doc_id, 0) < 0 then coalesce(doc_id, 0)::hugeint + 18446744073709551616
-                            else coalesce(doc_id, 0)::hugeint end)::uhugeint as state, 0::bigint as at, 0::bigint as nxt
-            from (select distinct doc_id from {table})
-            union all
-            select doc_id, s, nxt, floor((nxt + 1) * (2147483648.0::double / ((s // 8589934592) + 1)::double))::bigint
-            from (select *, (state * {MULTIPLIER}::uhugeint + 1) % 18446744073709551616::uhugeint as s
-                  from {name} where nxt < {n}))"""
-
-    pick = lambda name, n: f"(select doc_id, max(at)::int as shard from {name} where nxt >= {n} group by doc_id)"
-    return f"""with recursive {walk('small', shards)}, {walk('large', shards + 1)}
-        select d.doc_id, (coalesce(strlen(d.text), 0) + 1)::bigint as size, 'key' as law, a.shard, b.shard as grown_shard
-        from {table} d join {pick('small', shards)} a on a.doc_id is not distinct from d.doc_id
-        join {pick('large', shards + 1)} b on b.doc_id is not distinct from d.doc_id"""
