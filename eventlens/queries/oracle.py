@@ -428,9 +428,10 @@ def oracle_sql() -> dict[str, str]:
          "Start Date": "CASE WHEN bad THEN 'Error' ELSE \"Start Date\" END"}.get(n, f'CASE WHEN NOT bad THEN "{n}" END') + f' AS "{n}"' for n in SUMMARY_COLUMNS)
         + " FROM (SELECT summ.*, c_mktsegment = 'BUILDING' AS bad FROM summ JOIN apps USING (app_key))", EX, SUMMARY)
     counted = {"application": "app_lifecycle", "jobs": "execution_jobs", "planNodes": "plan_nodes", "stages": "stage_detail",
-               "sqlExecutions": "sql_executions", "executorTimeSeries": "executor_timeline", "reads": "read_metrics", "writes": "write_metrics"}
+               "sqlExecutions": "sql_executions", "reads": "read_metrics", "writes": "write_metrics"}
     sql["detail_parts"] = " UNION ALL ".join(
-        f"SELECT app_key, '{part}' AS part, count(*) AS rows FROM ({sql[name]}) GROUP BY app_key" for part, name in counted.items())
+        f"SELECT app_key, '{part}' AS part, count(*) AS rows FROM ({sql[name]}) GROUP BY app_key" for part, name in counted.items()) + " UNION ALL " + "SELECT * FROM (" + app(
+        "SELECT app_key, 'executorTimeSeries' AS part, count(*) AS rows FROM (SELECT app_key FROM ex UNION ALL SELECT app_key FROM bounds) GROUP BY app_key") + ")"
     file = r"'metrics_report_' || regexp_replace({}, '-\d{{4}}-\d{{2}}-\d{{2}}$', '') || '.txt'"
     doubles = ("Duration (s)", "Idle Cores (%)", "Peak Mem (%)")
     cells = ", ".join(f"coalesce(printf('%.2f', \"{n}\"), '')" if n in doubles else f"coalesce(\"{n}\"::VARCHAR, '')" for n in table)
