@@ -27,7 +27,7 @@ from eventlens.operators.ordering import checkpointed, discard
 
 SHINGLE, PERCENT = 4, 85
 #: Shingles that several sets of a stretch of text share are counted in this many buckets, to put them last in the order.
-BUCKET_BITS, STRETCH = 20, 2_000_000
+BUCKET_BITS, STRETCH = 20, 500_000
 BLOCK = 256  # sets that are searched together
 GROUP = 1000  # candidates of one set that one task gets at a time
 BROADCAST_NODES = 4_000_000  # ids; above, texts are shuffled instead
@@ -133,8 +133,8 @@ def _count_common(bits: int, shingle: int):
             np.add.at(counts, (tokens[common] >> np.uint64(64 - bits)).astype(np.int64), times[common])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(text, shingle))
+            for text in batch.column(0):  # one at a time: texts may be long
+                held.append(shingles(text.as_py(), shingle))
                 n += len(held[-1])
                 if n >= STRETCH:
                     add()
@@ -151,8 +151,8 @@ def _describe(levels: np.ndarray, bits: int, percent: int, shingle: int):
     """Of each document: the size and digest of its set, and its rarest shingles with their places in the order."""
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 sizes, digests, rare = [], [], []
                 for text in part.column(1).to_pylist():
                     tokens = shingles(text, shingle)
@@ -173,9 +173,9 @@ def _sets(shingle: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
+            for start in range(0, batch.num_rows, 200):
                 nodes, tokens = [], []
-                for node, digest, text in zip(*(batch.slice(start, 1000).column(i).to_pylist() for i in range(3))):
+                for node, digest, text in zip(*(batch.slice(start, 200).column(i).to_pylist() for i in range(3))):
                     if node not in seen:
                         found = shingles(text, shingle).tobytes()
                         if hashlib.md5(found).digest() == digest:  # an id may have other texts too
@@ -244,8 +244,8 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     gives no rows.
 
     Documents with equal sets form a class, found by digest, and only one of a class is searched for. Links inside large
-    groups of near copies are not all made: in a first round each set is compared with one other of its candidates, the
-    first on its lists. What both are linked into is one component already. In the second round, candidates of different
+    groups of near copies are not all made: in a first round each set is compared with the first one of each of its lists.
+    What is linked by then is one component already. In the second round, candidates of different
     components are compared, but for those that the first round rules out: as 1 - similarity is a metric, a set that is
     near the first one and a set far from it cannot be near each other.
     """
@@ -264,8 +264,12 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
 
     lists = classes.select("node", "n", F.posexplode("rare").alias("place", "token"))
     tokens = lists.groupBy("token").agg(F.min(F.struct("node", "n", "place")).alias("first"), F.count("*").alias("sets")).where(
-        "sets > 1").select("token", "first")
-    shared = checkpointed(lists.join(tokens, "token"))
+        "sets > 1")
+    fit = _may_link(F.col("n"), F.col("place"), F.col("first.n"), F.col("first.place"), percent)
+    led = (F.col("first.node") < F.col("node")) & fit
+    # A list of two has one pair only; the others come back in the second round.
+    shared = checkpointed(lists.alias("l").join(tokens.alias("t"), (F.col("l.token") == F.col("t.token")) & (led | (F.col("sets") > 2))).select(
+        "l.*", "first", "sets"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """Sets of the nodes that occur in pairs (a, b), from the texts. The ids are broadcast if they are few."""
@@ -275,9 +279,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
         own = texts.join(F.broadcast(wanted) if few else wanted, "id").select("node", "digest", "text")
         return checkpointed(own.mapInArrow(_sets(shingle), "node bigint, tokens binary"))
 
-    fit = _may_link(F.col("n"), F.col("place"), F.col("first.n"), F.col("first.place"), percent)
-    starts = checkpointed(shared.where((F.col("first.node") < F.col("node")) & fit).groupBy("node").agg(
-        F.min("first.node").alias("a")).select("a", F.col("node").alias("b")))
+    starts = checkpointed(shared.where(led).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
     sets = sets_of(starts)
     first_round = _verified(starts, sets, percent, loose)
     near = checkpointed(first_round.where(F.col("near") == NEAR).select("a", "b").union(_sharing_ids(rows, classes)))
@@ -323,8 +325,9 @@ def _sharing_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _remaining(shared: DataFrame, labels: DataFrame, first_round: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs that the first round leaves open: on one list, in different components, of fitting sizes."""
-    compared = first_round.select(F.col("b").alias("node"), F.col("a").alias("lead"), "near")
-    members = shared.join(labels, "node").join(compared, "node", "left")
+    compared = first_round.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("lead"), "near")).alias("c")).select(
+        "node", "c.*")
+    members = shared.where("sets > 2").join(labels, "node").join(compared, "node", "left")
     mixed = members.groupBy("token").agg(F.min("label").alias("main"), F.max("label").alias("_last")).where(
         "main <> _last").select("token", "main")
     members = checkpointed(members.join(mixed, "token").select(
