@@ -31,6 +31,9 @@ HOT_COUNT, HOT = 1000, 10_000
 #: Occurrences of a window are ranked in groups of about so many, and then the first ones of the groups.
 GROUP = 2000
 LAST = (1 << 63) - 1  # null ids come last
+#: Bits of the hash by which texts are dealt out. It goes into every narrow row, so it is short. Texts that share it share
+#: candidate places, but are told apart by their digest and first id wherever it matters.
+KEY_BITS = 40
 
 
 def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,12 +180,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, keep: list[str] | No
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keep = keep or []
     content = F.coalesce(F.col("text"), F.lit(""))
+    key = F.pmod(F.xxhash64(content), F.lit(1 << KEY_BITS))
     keyed = docs.select(
-        F.xxhash64(content).alias("key"), F.unhex(F.md5(content)).alias("digest"), content.alias("text"))
+        key.alias("key"), F.unhex(F.md5(content)).alias("digest"), content.alias("text"))
     # All but the text; of texts too short for a window, that too.
     found = docs.select(
         F.col("doc_id").alias("_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_order"),
-        F.xxhash64(content).alias("key"), F.unhex(F.md5(content)).alias("digest"), F.col("text").isNull().alias("_null"),
+        key.alias("key"), F.unhex(F.md5(content)).alias("digest"), F.col("text").isNull().alias("_null"),
         F.struct(*keep).alias("_kept") if keep else F.lit(None).cast("int").alias("_kept"),
         F.col("text").alias("_text"), words(F.col("text")).alias("_words"))
     short = F.size("_words") < window

@@ -170,7 +170,7 @@ def brute_dedup(rows, window, tie):
 def test_dedup_substrings(spark, docs, rows, clashing, empty):
     from pyspark.sql import functions as F
 
-    tie = {r.t: r.k for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).collect()}
+    tie = {r.t: r.k for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << substring_dedup.KEY_BITS)).alias("k")).collect()}
     for window in (20, 8):
         expected = brute_dedup(rows, window, tie)
         for df in (docs, clashing):
