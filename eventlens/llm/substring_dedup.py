@@ -31,9 +31,9 @@ HOT_COUNT, HOT = 1000, 10_000
 #: Occurrences of a window are ranked in groups of about so many, and then the first ones of the groups.
 GROUP = 2000
 LAST = (1 << 63) - 1  # null ids come last
-#: Bits of the hash by which texts are dealt out. It goes into every narrow row, so it is short. Texts that share it share
-#: candidate places, but are told apart by their digest and first id wherever it matters.
-KEY_BITS = 40
+#: Bits of the hash by which texts are dealt out. Texts that share it are told apart by a count in the bits below it: both
+#: together are a text's number, which goes into every narrow row.
+KEY_BITS, TWIN_BITS = 40, 23
 
 
 def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,40 +62,42 @@ def _emit_anchors(window: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                hashes, keys, places = [], [], []
+                hashes, numbers, places = [], [], []
                 part = batch.slice(start, 500)
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for number, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     chosen, runs = anchors(word_hashes(text), window)
                     chosen = np.unique(chosen)
                     hashes.append(runs[chosen].view(np.int64))
                     places.append(chosen.astype(np.int32))
-                    keys.append(np.full(len(chosen), key))
+                    numbers.append(np.full(len(chosen), number))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))],
-                    names=["anchor", "key", "place"])
+                    [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(numbers)), pa.array(np.concatenate(places))],
+                    names=["anchor", "number", "place"])
 
     return emit
 
 
 def _emit_windows(window: int):
-    """Windows whose anchor is repeated, with two hashes of their content."""
+    """Windows whose anchor is repeated, with two hashes of their content. Places may be those of texts with the same key
+    too; only the text's own count."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                key, first, text, places = (batch.column(i)[row] for i in range(4))
+                number, first, text, places = (batch.column(i)[row] for i in range(4))
                 words = word_hashes(text.as_py())
                 chosen, _ = anchors(words, window)
                 groups = np.zeros(len(words) + 1, dtype=np.int32)
-                at = places.values.field("place").to_numpy(zero_copy_only=False)
-                groups[at] = places.values.field("groups").to_numpy(zero_copy_only=False)
+                twin, at, into = (places.values.field(c).to_numpy(zero_copy_only=False) for c in ("twin", "place", "groups"))
+                own = twin == number.as_py() % (1 << TWIN_BITS)
+                groups[at[own]] = into[own]
                 starts = np.flatnonzero(groups[chosen])
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(run_hashes(words, window)[starts].view(np.int64)),
                      pa.array(run_hashes(words, window, 1)[starts].view(np.int64)),
                      pa.array(groups[chosen[starts]]), pa.array(np.full(n, first.as_py())),
-                     pa.array(np.full(n, key.as_py())), pa.array(starts.astype(np.int32))],
-                    names=["w1", "w2", "groups", "first", "key", "start"])
+                     pa.array(np.full(n, number.as_py())), pa.array(starts.astype(np.int32))],
+                    names=["w1", "w2", "groups", "first", "number", "start"])
 
     return emit
 
@@ -136,20 +138,25 @@ def _equal(a: Column, b: Column) -> Column:
     return (a >= b) & (a <= b)
 
 
+def _key_of(number: str) -> Column:
+    return F.shiftright(number, TWIN_BITS)
+
+
 def _repeated_windows(texts: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
-    """Windows (first, key, start) whose content starts earlier as well, out of distinct texts by `key`."""
-    found = texts.select("key", "text").mapInArrow(_emit_anchors(window), "anchor bigint, key bigint, place int")
+    """Windows (first, number, start) whose content starts earlier as well, out of distinct texts by `key`."""
+    found = texts.select("number", "text").mapInArrow(_emit_anchors(window), "anchor bigint, number bigint, place int")
     counted = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     frequent = F.broadcast(counted.where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "anchor").limit(HOT))
     repeated = found.join(frequent, "anchor").unionByName(
         found.join(frequent, "anchor", "left_anti").join(counted, "anchor"))
-    seeds = repeated.groupBy("key").agg(F.collect_list(F.struct(
-        "place", F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))).alias("places"))  # as many as the text has
-    seeded = _with_first(texts, firsts).join(seeds.hint("merge"), "key").select("key", "first", "text", "places")
+    seeds = repeated.groupBy(_key_of("number").alias("key")).agg(F.collect_list(F.struct(
+        (F.col("number") % (1 << TWIN_BITS)).cast("int").alias("twin"), "place",
+        F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))).alias("places"))  # as many as the texts of a key have
+    seeded = _with_first(texts, firsts).join(seeds.hint("merge"), "key").select("number", "first", "text", "places")
     windows = seeded.mapInArrow(
-        _emit_windows(window), "w1 bigint, w2 bigint, groups int, first bigint, key bigint, start int"
-    ).withColumn("member", F.pmod("key", "groups"))
-    order = ["first", "key", "start"]
+        _emit_windows(window), "w1 bigint, w2 bigint, groups int, first bigint, number bigint, start int"
+    ).withColumn("member", F.pmod(_key_of("number"), "groups"))
+    order = ["first", "number", "start"]
 
     def later(by: list[str]) -> Column:  # not the first of its group
         return F.lag("start").over(Window.partitionBy(*by).orderBy(*order)).isNotNull()
@@ -170,7 +177,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, keep: list[str] | No
 
     Removed is each word covered by a run of `window` words that also starts earlier: in a document with a smaller id, or
     before in the same one. Runs are judged on the input. Words are taken as they are. Null and blank texts have none.
-    Null ids come last; documents with equal ids come in the order of a hash of their text; rows equal in both are one
+    Null ids come last; documents with equal ids come in the order of hashes of their text; rows equal in both are one
     document and get one result. With `keep`, a list of columns of `docs`, these and `kept_text` are returned too (null
     texts stay null). An empty table gives no rows. Other columns are not read.
 
@@ -199,14 +206,17 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, keep: list[str] | No
     # filter by themselves, but not the use that has no join. For the same reason the joins below are all of one kind.
     once = keyed.mapInArrow(_first_in_task, keyed.schema).where("key is not null and digest is not null")
     texts = once.repartition(n, "key").groupBy("key", "digest").agg(F.first("text").alias("text"))
-    repeats = _repeated_windows(texts, firsts, window).groupBy("key", "first").agg(
-        F.collect_list("start").alias("starts")).withColumnRenamed("first", "_first")
+    twin = F.row_number().over(Window.partitionBy("key").orderBy("digest")) - 1  # in the order the groups come in
+    texts = texts.withColumn("number", F.shiftleft("key", TWIN_BITS) + twin)
+    repeats = _repeated_windows(texts, firsts, window).groupBy("number").agg(
+        F.collect_list("start").alias("starts")).select(
+        _key_of("number").alias("key"), F.col("number").alias("_number"), "starts")
     placed = rows.join(firsts, ["key", "digest"])
     # The first copy of a text is cut; all of any other starts earlier.
-    known = _with_first(texts, firsts).alias("t")
-    left = known.join(repeats.alias("r"), (F.col("t.key") == F.col("r.key")) & _equal(F.col("t.first"), F.col("_first")), "left")
-    leading = placed.where("_order = first").select(F.col("key").alias("_key"), "_order", "_id", "_kept", "_null")
-    cut = left.join(leading, (F.col("t.key") == F.col("_key")) & _equal(F.col("t.first"), F.col("_order"))).select(
+    left = texts.alias("t").join(repeats.alias("r"), (F.col("t.key") == F.col("r.key")) & _equal(F.col("t.number"), F.col("_number")), "left")
+    leading = placed.where("_order = first").select(
+        F.col("key").alias("_key"), F.col("digest").alias("_digest"), "_id", "_kept", "_null")
+    cut = left.join(leading, (F.col("t.key") == F.col("_key")) & _equal(F.col("t.digest"), F.col("_digest"))).select(
         "_id", "_kept", "text", "starts", "_null")
     added = T.StructType.fromDDL("n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     done = cut.mapInArrow(_remove(window, bool(keep)), T.StructType([*cut.schema.fields[:2], *added.fields]))

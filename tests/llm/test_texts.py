@@ -203,6 +203,30 @@ def test_hot_passage(spark, monkeypatch):
     assert got == {d: expected[(d, t)][:3] for d, t in rows}
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_texts_with_one_key(spark, monkeypatch, bits):
+    """Keys of few bits: many texts of all lengths share one, also under one id."""
+    monkeypatch.setattr(substring_dedup, "KEY_BITS", bits)
+    monkeypatch.setattr(substring_dedup, "GROUP", 4)
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    passages = [" ".join(words(rng, 45, 50_000)) for _ in range(6)]
+    texts = []
+    for _ in range(70):
+        parts = [" ".join(words(rng, rng.randrange(1, 60), 50_000)) for _ in range(rng.randrange(1, 4))]
+        texts.append(" ".join(x for p in parts for x in (p, rng.choice(passages))))
+    texts += texts[:5] + ["short text", "", None]
+    rows = [(rng.randrange(50), t) for t in texts]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    content = F.coalesce("text", F.lit(""))
+    tie = {r.t: (r.k, r.d) for r in df.select(
+        content.alias("t"), F.pmod(F.xxhash64(content), F.lit(1 << bits)).alias("k"), F.md5(content).alias("d")).collect()}
+    expected = brute_dedup(rows, 20, tie)
+    got = Counter(map(tuple, substring_dedup.dedup_substrings(df).collect()))
+    assert got == Counter((d, *expected[(d, t or "")][:3]) for d, t in rows)
+
+
 # --- Jaccard join ------------------------------------------------------------------------------------------------
 
 
