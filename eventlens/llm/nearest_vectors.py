@@ -3,11 +3,16 @@
 Three rounds of random signs and a fast Hadamard transform stand for a random rotation. A unit vector's hash is the
 signed axis nearest to it. Each of several tables uses a rotation of its own; a query probes the nearest axes of each,
 and every vector found there is scored exactly.
+
+An inner product depends on the norm too. Stored vectors are dealt into ranges of norms, each with buckets of its own: in
+a range, where norms are alike, the directions decide. Every query probes every range. Ranges of few vectors are one
+bucket, and queries that met few vectors in the others are scored against all.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +27,8 @@ from eventlens.operators.ordering import checkpointed
 TABLES, PROBES = 12, 14
 #: Where buckets are small, more of them are probed, so that a query meets about so many vectors.
 CANDIDATES = 4000
+#: Ranges of norms for each factor of two. Neighbours with no more than CANDIDATES vectors together are one.
+NORM_STEPS = 2
 NEAREST, QUERY_STEP = 20, 20
 BLOCK = 4096  # vectors of a bucket that are scored at once
 SEED = 7
@@ -76,7 +83,20 @@ def _matrix(blobs: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype=kind).reshape(len(blobs), -1).astype("<f8")
 
 
-def _hashes(longest: dict[int, float], tables: int, probes: int, kind: str):
+def norm_ranges(sizes: dict[int, int], buckets: int, tables: int, probes: int) -> tuple[dict[int, int], list[int]]:
+    """Each norm step's range, and how many buckets of each range a query probes in a table; 0 if the range is one bucket."""
+    of, totals = {}, []
+    for step in sorted(sizes, reverse=True):
+        if not totals or totals[-1] + sizes[step] > CANDIDATES:
+            totals.append(0)
+        totals[-1] += sizes[step]
+        of[step] = len(totals) - 1
+    return of, [0 if n <= CANDIDATES else max(probes, math.ceil(CANDIDATES * buckets / (tables * n))) for n in totals]
+
+
+def _hashes(plan: dict[int, tuple[dict[int, int], list[int], int]], tables: int, kind: str):
+    """Rows of the buckets, stored vectors and queries. `plan` has for each length the ranges, their probes, and into how
+    many parts the queries of ranges that are one bucket are dealt."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
@@ -84,64 +104,81 @@ def _hashes(longest: dict[int, float], tables: int, probes: int, kind: str):
 
     def emit_part(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, query, blobs = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+        classes, steps = ids.to_numpy(), batch.column(3).to_pylist()
         lengths = np.array([len(b) // np.dtype(kind).itemsize for b in blobs])
+
+        def rows(d: int, table: int, ranges: np.ndarray, take: np.ndarray, codes: np.ndarray, stored: bool) -> Iterator[pa.RecordBatch]:
+            if len(take):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((int(d) << 40) | (table << 24) | codes.astype(np.int64)), pa.array(ranges.astype(np.int32)),
+                     pa.array(np.full(len(take), stored)), pa.array(np.full(len(take), bool(table))),
+                     ids.take(pa.array(take)), pa.array([blobs[i] for i in take], pa.binary())],
+                    names=["bucket", "range", "stored", "hashed", "class", "vector"])
+
         for d in np.unique(lengths):
             at = np.flatnonzero(lengths == d)
-            x = _matrix([blobs[i] for i in at], kind)
-            asking = query[at]
+            of, probes, parts = plan[int(d)]
+            mine = np.array([of[steps[i]] for i in at])
+            hashed, asking = np.array(probes)[mine] > 0, at[query[at]]
+            whole = at[~hashed]
+            yield from rows(
+                d, 0, np.repeat(mine[~hashed], parts), np.repeat(whole, parts), np.tile(np.arange(parts), len(whole)), True)
+            for r, n in enumerate(probes):
+                if not n:
+                    yield from rows(d, 0, np.full(len(asking), r), asking, classes[asking] % parts, False)
+            if not any(probes):
+                continue
+            x = padded(_matrix([blobs[i] for i in at], kind), 1.0, True)
             for table in range(tables):
-                stored = signed_axes(rotated(padded(x, longest[int(d)], False), table), 1)[:, 0]
-                rows, codes, kinds = [at], [stored], [np.zeros(len(at), dtype=bool)]
-                if asking.any():
-                    probed = signed_axes(rotated(padded(x[asking], longest[int(d)], True), table), probes)
-                    rows.append(np.repeat(at[asking], probed.shape[1]))
-                    codes.append(probed.reshape(-1))
-                    kinds.append(np.ones(probed.size, dtype=bool))
-                take = np.concatenate(rows)
-                key = (int(d) << 40) | (table << 24) | np.concatenate(codes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(~np.concatenate(kinds)), ids.take(pa.array(take)),
-                     pa.array([blobs[i] for i in take], pa.binary())],
-                    names=["bucket", "stored", "class", "vector"])
+                y = rotated(x, table)
+                yield from rows(d, table + 1, mine[hashed], at[hashed], signed_axes(y[hashed], 1)[:, 0], True)
+                probed = signed_axes(y[query[at]], max(probes))
+                for r, n in enumerate(probes):
+                    codes = probed[:, :n]
+                    yield from rows(
+                        d, table + 1, np.full(codes.size, r), np.repeat(asking, codes.shape[1]), codes.reshape(-1), False)
 
     return emit
 
 
-def _best(queries: list[int], scores: np.ndarray, ids: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """For each query the n best of a block by score, ties to the smaller class."""
-    found, chosen = [], []
+def _best(queries: list[int], scores: np.ndarray, ids: np.ndarray, n: int, hashed: bool) -> Iterator[pa.RecordBatch]:
+    """For each query the n best of a block by score, ties to the smaller class. The first row counts the
+    vectors of the block if they were met by hashing."""
+    found, chosen, met = [], [], []
     for row, q in enumerate(queries):
         s = scores[row]
         near = np.flatnonzero(s >= np.partition(s, len(s) - n)[len(s) - n]) if len(s) > n else np.arange(len(s))
         near = near[np.lexsort((ids[near], -s[near]))][:n]
         found.append(np.full(len(near), q))
         chosen.append((ids[near], s[near]))
+        met.append((np.arange(len(near)) == 0) * (len(s) if hashed else 0))
     if found:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate([c[0] for c in chosen]), pa.int64()),
-             pa.array(np.concatenate([c[1] for c in chosen]), pa.float64())], names=["query", "class", "score"])
+             pa.array(np.concatenate([c[1] for c in chosen]), pa.float64()),
+             pa.array(np.concatenate(met), pa.int64())], names=["query", "class", "score", "met"])
 
 
 def _rerank(n: int, kind: str):
     """Buckets come in order, their queries first. Queries and stored vectors of a bucket are scored block by block."""
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, queries, vectors, stored, blobs = None, [], [], [], []
+        bucket, by_hash, queries, vectors, stored, blobs = None, False, [], [], [], []
 
         def score() -> Iterator[pa.RecordBatch]:
             if queries and stored:
                 y, ids = _matrix(blobs, kind), np.array(stored)
                 for start in range(0, len(queries), 512):
                     scores = _matrix(vectors[start: start + 512], kind) @ y.T
-                    yield from _best(queries[start: start + 512], scores, ids, n)
+                    yield from _best(queries[start: start + 512], scores, ids, n, by_hash)
             stored.clear()
             blobs.clear()
 
         for batch in batches:
-            for key, is_stored, i, vector in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if key != bucket:
+            for key, part, is_stored, hashed, i, vector in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if (key, part) != bucket:
                     yield from score()
-                    bucket = key
+                    bucket, by_hash = (key, part), hashed
                     queries.clear()
                     vectors.clear()
                 if not is_stored:
@@ -157,14 +194,19 @@ def _rerank(n: int, kind: str):
     return rerank
 
 
+def _norm_step(v: np.ndarray) -> int:
+    """Steps are rounded, so that norms of about one are not parted."""
+    return int(np.floor(NORM_STEPS * np.log2(np.clip(np.linalg.norm(v), 1e-300, 1e300)) + 0.5))
+
+
 def _to_bytes(kind: str):
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [np.array(v, dtype=kind) for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([v.tobytes() for v in vectors], pa.binary()),
-                 pa.array([float(np.linalg.norm(v.astype("<f8"))) for v in vectors], pa.float64())],
-                names=["vec_id", "vector", "norm"])
+                 pa.array([_norm_step(v.astype("<f8")) for v in vectors], pa.int32())],
+                names=["vec_id", "vector", "step"])
 
     return convert
 
@@ -189,36 +231,70 @@ def nearest(
     Rows (vec_id, embedding) whose vector is null, empty, zero or not finite take no part, nor do those with null ids.
     Vectors are compared with those of their own length only. Equal vectors form a class that is hashed once: no query
     needs more than its `nearest` + 1 smallest ids, so a vector that makes up a third of all rows costs as much as any.
-    All rows are indexed. A query with fewer candidates gets them all. Rows that share an id are single candidates; for a
+    All rows are indexed, by range of norms. A query that met few of the hashed vectors is scored against all. A query with fewer candidates gets them all. Rows that share an id are single candidates; for a
     query, no row with its own id counts. Other columns are not read. An empty table gives no rows.
     """
     asks = F.col("vec_id") % QUERY_STEP == 0 if is_query is None else is_query
     kind = "<f4" if embeddings.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "<f8"
     rows = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"))
-    rows = checkpointed(rows.mapInArrow(_to_bytes(kind), "vec_id bigint, vector binary, norm double").withColumn("query", asks))
-    longest = {r["d"] // np.dtype(kind).itemsize: r["norm"] for r in rows.groupBy(F.octet_length("vector").alias("d")).agg(
-        F.max("norm").alias("norm")).collect()}  # a row for each length of vectors
+    rows = checkpointed(rows.mapInArrow(_to_bytes(kind), "vec_id bigint, vector binary, step int").withColumn("query", asks))
     # The smallest ids of a class, queries and others apart, so that a class with a query keeps one.
     few = Window.partitionBy("vector", "query").orderBy("vec_id")
-    kept = rows.select("vector", "query", "vec_id").withColumn("_rank", F.row_number().over(few)).where(
+    kept = rows.select("vector", "query", "step", "vec_id").withColumn("_rank", F.row_number().over(few)).where(
         F.col("_rank") <= nearest + 1)
     classes = checkpointed(kept.groupBy("vector").agg(
-        F.bool_or("query").alias("query"), F.slice(F.array_sort(F.collect_list("vec_id")), 1, nearest + 1).alias("ids"),
+        F.bool_or("query").alias("query"), F.first("step").alias("step"), F.slice(F.array_sort(F.collect_list("vec_id")), 1, nearest + 1).alias("ids"),
     ).withColumn("class", F.monotonically_increasing_id()))
     n = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 << max((d.bit_length() for d in longest), default=0)  # two signs for each axis
-    probes = max(probes, math.ceil(CANDIDATES * buckets / (tables * max(1, classes.count()))))
-    hashed = classes.select("class", "query", "vector").mapInArrow(
-        _hashes(longest, tables, probes, kind), "bucket bigint, stored boolean, class bigint, vector binary")
-    found = hashed.repartition(n, "bucket").sortWithinPartitions("bucket", "stored").mapInArrow(
-        _rerank(nearest + 1, kind), "query bigint, class bigint, score double")
-    # One row per pair, then the best classes of each query; the ids of `nearest` + 1 classes hold the answer.
-    pairs = found.groupBy("query", "class").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "smallest")
+    sizes, asking = defaultdict(dict), Counter()
+    for r in classes.groupBy(F.octet_length("vector").alias("d"), "step").agg(  # a row for each length and step
+            F.count("*").alias("n"), F.count_if("query").alias("asking")).collect():
+        d = r["d"] // np.dtype(kind).itemsize
+        sizes[d][r["step"]] = r["n"]
+        asking[d] += r["asking"]
+    plan = {d: (*norm_ranges(of, 2 << d.bit_length(), tables, probes), max(1, math.ceil(asking[d] / BLOCK)))
+            for d, of in sizes.items()}  # two signs for each axis
+    columns = ["bucket", "range", "stored", "hashed", "class", "vector"]
     smallest = classes.select("class", F.get("ids", F.lit(0)).alias("smallest"))
-    ranked = pairs.join(smallest, "class").withColumn("_rank", F.row_number().over(best)).where(
-        F.col("_rank") <= nearest + 1).drop("_rank", "smallest")
+
+    def scored(buckets: DataFrame) -> DataFrame:
+        """The best classes of each query; the ids of `nearest` + 1 classes hold the answer. `met` is the query's count."""
+        found = buckets.repartition(n, "bucket", "range").sortWithinPartitions("bucket", "range", "stored").mapInArrow(
+            _rerank(nearest + 1, kind), "query bigint, class bigint, score double, met bigint")
+        pairs = found.groupBy("query", "class").agg(F.max("score").alias("score"), F.sum("met").alias("met"))
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "smallest")
+        return pairs.join(smallest, "class").withColumn("_rank", F.row_number().over(best)).withColumn(
+            "met", F.sum("met").over(Window.partitionBy("query"))).where(F.col("_rank") <= nearest + 1).drop("smallest")
+
+    ranked = scored(classes.select("class", "query", "vector", "step").mapInArrow(
+        _hashes(plan, tables, kind),
+        "bucket bigint, range int, stored boolean, hashed boolean, class bigint, vector binary"))
+    in_buckets = [d * np.dtype(kind).itemsize for d, (_, probed, _) in plan.items() if any(probed)]
+    if in_buckets:
+        ranked = checkpointed(ranked)
+        served = ranked.where((F.col("_rank") > nearest) & (F.col("met") >= CANDIDATES // 2)).select(F.col("query").alias("class"))
+        hashed = classes.where(F.octet_length("vector").isin(in_buckets))
+        lacking = checkpointed(hashed.where("query").select("class", "vector").join(served, "class", "left_anti"))
+        n_lacking = lacking.count()
+        if n_lacking:  # blocks of them meet all vectors of their length, part by part
+            blocks, parts = math.ceil(n_lacking / BLOCK), math.ceil(hashed.count() / BLOCK)
+
+            def met_in(rows: DataFrame, block: Column, part: Column, stored: bool) -> DataFrame:
+                return rows.withColumn("block", block).withColumn("part", part).select(
+                    (F.col("block") * parts + F.col("part")).alias("bucket"), F.octet_length("vector").alias("range"),
+                    F.lit(stored).alias("stored"), F.lit(False).alias("hashed"), "class", "vector").select(columns)
+
+            def dealt(k: int) -> Column:
+                return F.pmod(F.xxhash64("class"), F.lit(k))
+
+            def every(k: int) -> Column:
+                return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
+
+            again = scored(met_in(hashed, every(blocks), dealt(parts), True).unionByName(
+                met_in(lacking, dealt(blocks), every(parts), False)))
+            ranked = ranked.join(lacking.select(F.col("class").alias("query")), "query", "left_anti").unionByName(again)
+    ranked = ranked.drop("_rank", "met")
     vectors = classes.select(F.col("class").alias("query"), F.col("vector").alias("asking"))
     members = classes.select("class", "ids", "vector")
     exact = ranked.join(members.drop("ids"), "class").join(vectors, "query").select(

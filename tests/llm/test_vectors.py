@@ -46,6 +46,34 @@ def test_nearest(spark, vectors, kind):
     assert [x[1] for x in got[2000]] == [2001]
 
 
+@pytest.mark.parametrize("norms", ["one longer", "lognormal", "opposite"])
+def test_recall_with_skewed_norms(spark, monkeypatch, norms):
+    """14 probes in hashed ranges, whatever the norms; queries that look away from all vectors are served as well."""
+    monkeypatch.setattr(nearest_vectors, "CANDIDATES", 300)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "one longer":
+        x[7] *= 1000
+    elif norms == "lognormal":
+        x *= np.exp(0.5 * rng.normal(size=(4000, 1)))
+    else:
+        x = 0.05 * x + np.eye(32)[0]
+        x[:100:20] *= -1  # five of the queries
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = defaultdict(set)
+    for r in nearest_vectors.nearest(df, probes=14).collect():
+        found[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 4000, 20):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        assert len(found[q]) == 20
+        hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.95 * 20 * 200
+
+
 def test_no_vectors(spark):
     assert nearest_vectors.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
