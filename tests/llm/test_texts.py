@@ -328,3 +328,67 @@ def test_pipeline(spark, docs, tmp_path):
         by_hand.append(at.count())
         assert name == "packing" or at.columns == columns
     assert corpus_pipeline.run(spark, sf_dir).count() > 0 and min(by_hand) > 0
+
+
+def test_pipeline_stages(spark, rows, tmp_path):
+    """Each stage's rows against plain Python on its own input, with labelled toxic rows."""
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    bad, more = {"idiot", "moron", "scum"}, []
+    for i in range(300):
+        w = words(rng, 30, 5000)
+        if i % 4 == 0:
+            w[3], w[20] = rng.sample(sorted(bad), 2)
+        more.append((10_000 + i, " ".join(w), "en", f"src{i % 3}", len(" ".join(w))))
+    sf_dir = f"file://{tmp_path}"
+    spark.createDataFrame([*rows, *more], SCHEMA).write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame([(d, 1, int(d % 4 == 0)) for d, *_ in more], "doc_id bigint, quality int, toxic int").write.parquet(
+        f"{sf_dir}/labels.parquet")
+    seen = {"documents.parquet": spark.read.parquet(f"{sf_dir}/documents.parquet")}
+    for (name, stage), at in zip(corpus_pipeline.STAGES, ["documents.parquet", *(name for name, _ in corpus_pipeline.STAGES)]):
+        stage(spark, seen[at], sf_dir).write.parquet(f"{sf_dir}/{name}")
+        seen[name] = spark.read.parquet(f"{sf_dir}/{name}")
+    packed = seen.pop("packing").collect()
+    documents, clean, single, cut, mixed = ([tuple(r) for r in df.collect()] for df in seen.values())
+
+    assert Counter(clean) == Counter(r for r in documents if not bad & set(WORD.findall(r[1] or "")))
+    assert len(documents) - len(clean) == 75
+
+    leads = {c for _, _, c in brute_links(clean, 80, 5) if c is not None}
+    assert Counter(r[0] for r in single) == Counter([*leads, *(r[0] for r in clean if r[0] is None)])
+    assert not Counter(single) - Counter(clean) and len(single) < len(clean)
+
+    content = F.coalesce("text", F.lit(""))
+    tie = {r.t: r.k for r in seen["near_copies"].select(
+        content.alias("t"), F.pmod(F.xxhash64(content), F.lit(1 << substring_dedup.KEY_BITS)).alias("k")).collect()}
+    expected, want = brute_dedup(single, 20, tie), Counter()
+    for d, t, lang, source, _ in single:
+        n, gone, _, left = expected[(d if d is not None else substring_dedup.LAST, t or "")]
+        if gone < n or not n:
+            text = left if gone else t
+            want[(d, text, lang, source, None if text is None else len(text))] += 1
+    assert Counter(cut) == want and any(gone for _, gone, *_ in expected.values())
+
+    sizes, taken, had, got = Counter(), Counter(), defaultdict(Counter), defaultdict(Counter)
+    for d, t, _, source, _ in cut:
+        sizes[source] += len(WORD.findall(t or ""))
+        had[d].update(WORD.findall(t or ""))
+    for d, t, _, source, _ in mixed:
+        taken[source] += len(WORD.findall(t or ""))
+        got[d].update(WORD.findall(t or ""))
+    for source, n in mixing.targets(sizes).items():
+        assert abs(taken[source] - n) <= 2 * mixing.BLOCK_WORDS
+    assert all(n <= 3 * had[d][w] for d, found in got.items() for w, n in found.items())
+
+    library, ids = Tokenizer.from_file(TOKENIZER), defaultdict(list)
+    for d, t, *_ in mixed:
+        ids[d].append(np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4").tobytes())
+    filled, total = Counter(), Counter()
+    for r in packed:
+        piece = bytes(r.ids)
+        assert any(len(x) == 4 * r.doc_tokens and x[4 * r.start: 4 * r.start + len(piece)] == piece for x in ids[r.doc_id])
+        filled[r.sequence_id] += r.length
+        total[r.doc_id] += r.length
+    assert max(filled.values()) <= 2048 and total == Counter({d: sum(map(len, x)) // 4 for d, x in ids.items()})
