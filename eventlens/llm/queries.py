@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm import (
-    jaccard_join, mixing, nearest_vectors, oracles, packing, quality_classifier, quality_rules, sharding, substring_dedup,
-    token_counts, toxicity,
+    jaccard_join, mixing, nearest_vectors, oracles, packing, periodic_runs, quality_classifier, quality_rules, secrets, sharding,
+    substring_dedup, token_counts, toxicity, whitening,
 )
 from eventlens.llm.common import read_table
 from eventlens.operators.ordering import shared_folder
@@ -20,7 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: The others learn models, use tokenizers or pseudorandom permutations, are approximate, or need CRC-32, which DuckDB
 #: lacks: they are tested against brute force.
-ORACLES: dict[str, str] = {"op8_substring_dedup": oracles.substring_dedup(), "op9_jaccard_join": oracles.jaccard_join()}
+ORACLES: dict[str, str] = {
+    "op8_substring_dedup": oracles.substring_dedup(), "op9_jaccard_join": oracles.jaccard_join(), "op11_secret_scan": oracles.secret_scan(),
+}
 
 
 def query(function: Query) -> Query:
@@ -85,3 +87,26 @@ def op8_substring_dedup(spark, sf_dir):
 @query
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.link_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_secret_scan(spark, sf_dir):
+    spans, counted = secrets.find_secrets(read_table(spark, sf_dir, "documents")), secrets.KINDS[:3]
+    return spans.select(
+        "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in counted],
+        F.sha2(secrets.span_list(*counted), 256).alias("base_sha256"), secrets.span_list(*secrets.KINDS).alias("spans"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    runs = periodic_runs.periodic_runs(periodic_runs.with_periodic_ends(read_table(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n")))
+    return runs.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", listed), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
