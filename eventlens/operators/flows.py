@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions import scalars as S
-from eventlens.operators.ordering import salted_join
+from eventlens.operators.ordering import as_of
 from eventlens.operators.tasks import shared_stage_totals
 from eventlens.plans import tree
 from eventlens.sources.events import EventLog, per_log
@@ -22,26 +22,18 @@ def _stage_listings(log: EventLog) -> DataFrame:
 
 @per_log
 def _listed_stages(log: EventLog) -> DataFrame:
-    """Each stage once, with its listings in order (as many as jobs list it) and whether they name one execution."""
+    """Each stage once, with its first listing and whether its listings name more than one execution."""
     return _stage_listings(log).groupBy("app_key", "stage_id").agg(
         F.min("seq").alias("listed_seq"),
         F.min("execution_id").alias("execution_id"),
         (F.min("execution_id") != F.max("execution_id")).alias("changes"),
-        F.array_sort(F.collect_list(F.struct("seq", "execution_id"))).alias("listings"),
     )
 
 
 def with_execution(rows: DataFrame, log: EventLog) -> DataFrame:
     """Add `execution_id` to rows (app_key, stage_id, seq, ...): the execution of the latest earlier job start that
-    lists the stage. Rows without one are left out.
-
-    One row per stage is joined; a stage that holds a large part of all rows is spread over several tasks.
-    """
-    stages = _listed_stages(log).select("app_key", "stage_id", "listings")
-    joined = salted_join(rows, stages, ["app_key", "stage_id"], "seq")
-    earlier = F.filter("listings", lambda x: x.seq < F.col("seq"))
-    return joined.withColumn("execution_id", F.get(earlier, F.size(earlier) - 1).execution_id).filter(
-        "execution_id is not null").select(*rows.columns, "execution_id")
+    lists the stage. Rows without one are left out."""
+    return as_of(rows, _stage_listings(log), ["app_key", "stage_id"], "seq", "execution_id")
 
 
 def task_execution(log: EventLog) -> DataFrame:
@@ -63,7 +55,7 @@ def execution_io(log: EventLog) -> DataFrame:
     ordered = F.col("first_any_seq") > F.greatest("listed_seq", "start_seq")
     placed = (
         shared_stage_totals(log).select(*on, "first_any_seq", *io, "writing_tasks")
-        .join(_listed_stages(log).drop("listings"), on)
+        .join(_listed_stages(log), on)
         .join(starts, keys, "left")
         .withColumn("whole", ~F.col("changes") & ordered)
     )

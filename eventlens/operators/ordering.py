@@ -127,6 +127,37 @@ def last_before(df: DataFrame, keys: list[str], order: str, value: str, name: st
     )
 
 
+#: Groups of more rows than this are spread over chunks by an as-of lookup; smaller ones are sorted in one piece.
+LARGE_GROUP = 1 << 18
+
+
+def as_of(rows: DataFrame, events: DataFrame, keys: list[str], order: str, value: str, large: int = LARGE_GROUP) -> DataFrame:
+    """Add to each row the `value` of the latest event of its group that comes strictly before it; rows without one go.
+
+    Rows and events (keys, order, value) are sorted together, so that the work grows with their number, whether a group
+    has one event or as many as rows. Each group is dealt out by its keys; the few groups that are large, which are
+    counted first, by ranges of the order as well.
+    """
+    events = events.where(F.col(value).isNotNull()).dropna(subset=keys)
+    together = rows.withColumns({value: F.lit(None).cast(events.schema[value].dataType), "_event": F.lit(False)}).unionByName(
+        events.select(*keys, order, value, F.lit(True).alias("_event")), allowMissingColumns=True)
+    # an event at the place of a row does not come before it
+    together = together.withColumn("_at", F.struct(order, "_event"))
+    hot = checkpointed(together.groupBy(*keys).count().where(F.col("count") > large).select(*keys))
+    kept = [*rows.columns, value]
+
+    def found(looked_up: DataFrame) -> DataFrame:
+        return looked_up.where(~F.col("_event") & F.col("_found").isNotNull()).withColumn(value, F.col("_found")).select(*kept)
+
+    earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sorted_whole = lambda part: found(part.withColumn("_found", F.last(value, ignorenulls=True).over(earlier)))
+    if not hot.limit(1).count():
+        discard(hot)
+        return sorted_whole(together)
+    spread = last_before(together.join(hot, keys, "left_semi"), keys, "_at", value, "_found")
+    return sorted_whole(together.join(hot, keys, "left_anti")).unionByName(found(spread))
+
+
 SALTS = 16
 
 

@@ -204,14 +204,15 @@ class EventLog:
 
     `apps` (app_key) lists the logs that must appear in per-application results even when they hold no event;
     by default these are the applications that have at least one line. A source that keeps event types apart
-    gives `parts` (event name -> function that returns its lines) instead of one frame of lines.
+    gives `parts` (event name -> function that returns its lines) instead of one frame of lines; `lines` may also be a
+    function, for lines that are seldom asked for.
     With `stored`, a function that parses the lines once and returns all events (see `store_events`), the views read
     typed columns and no line is parsed twice. `errors` returns (app_key, error) of logs that cannot be read to the end.
     """
 
     def __init__(
         self,
-        lines: DataFrame | None = None,
+        lines: DataFrame | Callable[[], DataFrame] | None = None,
         apps: DataFrame | None = None,
         parts: dict[str, Callable[[], DataFrame]] | None = None,
         stored: Callable[[EventLog], DataFrame] | None = None,
@@ -226,6 +227,8 @@ class EventLog:
 
     @property
     def lines(self) -> DataFrame:
+        if callable(self._lines):
+            return self.memo("lines", self._lines)
         if self._lines is not None:
             return self._lines
         parts = [self.memo(f"part {event}", part) for event, part in self._parts.items()]
@@ -260,7 +263,7 @@ class EventLog:
 
     def _of_event(self, spec: View) -> DataFrame:
         if self._lines is not None:
-            return self._lines
+            return self.lines
         for event in self._parts:
             if event.removeprefix(SQL_UI) == spec.event:
                 return self.memo(f"part {event}", self._parts[event])

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.operators.ordering import new_path
-from eventlens.sources.events import EventLog, store_events, stored_events
+from eventlens.sources import store
+from eventlens.sources.events import EventLog
+from eventlens.sources.files import CHUNK, as_spark_path, list_files, zstd_rows
 
 ROW_IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
-MAX_CONTENT = (1 << 31) - 1  # bytes that fit into one binary value
 # The place of rolling files without a number, and how names of log files begin.
 NO_INDEX = 999999
 LOG_PREFIXES = ["application_", "appstatus_application_", "events_", "eventlog_v2_"]
@@ -64,7 +63,7 @@ def _valid_text(value: Column) -> Column:
     return F.when(F.call_function("is_valid_utf8", value), value).otherwise(clean)
 
 
-def _text_lines(spark: SparkSession, path: str, group_parts: bool) -> DataFrame:
+def _text_lines(spark: SparkSession, path: str | list[str], group_parts: bool) -> DataFrame:
     name = F.col("file_name")
     file_name = F.col("_metadata.file_name")
     lines = (
@@ -73,7 +72,7 @@ def _text_lines(spark: SparkSession, path: str, group_parts: bool) -> DataFrame:
         .filter(is_log_name(file_name) & ~file_name.startswith("appstatus_") & ~file_name.endswith(".zstd"))
         .select(
             file_name.alias("file_name"),
-            _folder(F.col("_metadata.file_path")).alias("folder"),
+            as_spark_path(F.col("_metadata.file_path")).alias("file"),
             F.col("_metadata.file_block_start").alias("block_start"),
             # A scan partition holds at most one split's worth of bytes and a line takes at least one byte, so
             # the row number stays below the distance to the file's next split: block_start + row ascends.
@@ -83,82 +82,34 @@ def _text_lines(spark: SparkSession, path: str, group_parts: bool) -> DataFrame:
     )
     return lines.select(
         _app_key(name, group_parts).alias("app_key"),
-        "folder",
+        _folder(F.col("file")).alias("folder"),
+        "file",
         _place(file_index(name), F.col("block_start") + F.col("row")).alias("seq"),
         _valid_text(F.col("value")).alias("value"),
+        F.lit(None).cast("string").alias("error"),
     )
 
 
-def _decode_zstd(batches: Iterator) -> Iterator:
-    """One row per line of each compressed file; an unreadable file gives one row with the error."""
-    import io
-
-    import pandas as pd
-    import pyarrow as pa
-
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            line_no = 0
-            error = None
-            try:
-                with pa.CompressedInputStream(io.BytesIO(content), "zstd") as stream:
-                    reader = io.TextIOWrapper(io.BufferedReader(stream), encoding="utf-8", errors="ignore")
-                    while True:
-                        chunk = reader.readlines(8 << 20)
-                        if not chunk:
-                            break
-                        yield pd.DataFrame(
-                            {
-                                "path": path,
-                                "line_no": range(line_no, line_no + len(chunk)),
-                                "value": [line.rstrip("\n") for line in chunk],
-                                "error": None,
-                            }
-                        )
-                        line_no += len(chunk)
-            except (OSError, ValueError) as problem:
-                error = str(problem)
-            if error is not None:
-                yield pd.DataFrame({"path": [path], "line_no": [line_no], "value": [None], "error": [error]})
-
-
-def zstd_lines(spark: SparkSession, path: str, pattern: str = "*.zstd", group_parts: bool = False) -> DataFrame:
-    """Lines of `.zstd` files, with an `error` column for files that cannot be decoded.
-
-    The text source would split a large `.zstd` file, which cannot be decoded from the middle, so each file is
-    decoded whole by one task; rolling logs keep the files small (128 MB by default). A file of more than 2 GB is not
-    read and gives an error.
+def zstd_lines(files: DataFrame, group_parts: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Lines of the `.zstd` ones among files (path, file_name), with an `error` for files that cannot be read to the end.
+
+    The text source would split a large `.zstd` file, which cannot be decoded from the middle.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    )
-    decoded = files.filter(F.col("length") <= MAX_CONTENT).select("path", "content").mapInPandas(
-        _decode_zstd, "path string, line_no bigint, value string, error string")
-    too_large = files.filter(F.col("length") > MAX_CONTENT).select(
-        "path", F.lit(0).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("value"),
-        F.lit("compressed file of more than 2 GB").alias("error"))
-    name = F.element_at(F.split("path", "/"), -1)
-    return decoded.unionByName(too_large).filter(is_log_name(name)).select(
+    name = F.element_at(F.split("file", "/"), -1)
+    rows = zstd_rows(files.filter(F.col("file_name").endswith(".zstd")), chunk).withColumnRenamed("path", "file")
+    return rows.select(
         _app_key(name, group_parts).alias("app_key"),
-        _folder(F.col("path")).alias("folder"),
+        _folder(F.col("file")).alias("folder"),
+        "file",
         _place(file_index(name), F.col("line_no")).alias("seq"),
         "value",
         "error",
     )
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """Path, folder, modification time and name of every log file, empty ones too, which Spark's scans leave out."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
-    found = []
-    while listing.hasNext():
-        status = listing.next()
-        found.append((status.getPath().toString(), status.getModificationTime()))
-    files = spark.createDataFrame(found, "path string, ms bigint").select(
-        "path", F.timestamp_millis("ms").alias("modificationTime"), F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        _folder(F.col("path")).alias("folder"))
-    return files.filter(is_log_name(F.col("file_name")))
+def log_files(spark: SparkSession, path: str) -> DataFrame:
+    """Path, name, folder, length and modification time of every log file below a folder, empty ones too."""
+    return list_files(spark, path).filter(is_log_name(F.col("file_name")))
 
 
 def _keyed(rows: DataFrame, same_name: DataFrame) -> DataFrame:
@@ -168,55 +119,66 @@ def _keyed(rows: DataFrame, same_name: DataFrame) -> DataFrame:
     return apart.withColumn("app_key", key).drop("_apart", "folder")
 
 
-def read_logs(spark: SparkSession, path: str, group_parts: bool = False) -> EventLog:
+def read_logs(
+    spark: SparkSession, path: str, group_parts: bool = False, stored_in: str | None = None, chunk: int = CHUNK
+) -> EventLog:
     """All event logs below a folder: plain, part and rolling files, plain or compressed (`.zst`, `.zstd`).
 
     `group_parts` joins the part files of one application; otherwise every plain file is its own log. Logs that share
     a name but not a folder have the folder before their key. The first use of a view parses all lines once and
     stores them as typed columns in the shared folder; files that cannot be read to the end are noted on the way.
+
+    With `stored_in`, a folder for these columns that outlives the session, only files that are new there or have changed
+    since are parsed, as one batch; what was stored of changed and deleted files no longer counts.
     """
-    files = _files(spark, path).select(_app_key(F.col("file_name"), group_parts).alias("app_key"), "folder").distinct()
+    listed = log_files(spark, path)
+    files = listed.select(_app_key(F.col("file_name"), group_parts).alias("app_key"), "folder").distinct()
     same_name = files.groupBy("app_key").agg(F.count("*").alias("_folders")).filter("_folders > 1").select("app_key")
-    lines = _text_lines(spark, path, group_parts).withColumn("error", F.lit(None).cast("string")).unionByName(
-        zstd_lines(spark, path, group_parts=group_parts))
     # the listing has a row for each file, and few names are shared, if any
-    if same_name.limit(1).count():
-        lines, apps = _keyed(lines, same_name), _keyed(files, same_name)
-    else:
-        lines, apps = lines.drop("folder"), files.drop("folder")
+    shared = same_name.limit(1).count() > 0
+
+    def apart(rows: DataFrame) -> DataFrame:
+        return _keyed(rows, same_name) if shared else rows.drop("folder")
+
+    def parsed(new: DataFrame, paths: str | list[str]) -> DataFrame:
+        lines = zstd_lines(new, group_parts, chunk)
+        return _text_lines(spark, paths, group_parts).unionByName(lines) if paths else lines
 
     def stored(log: EventLog) -> DataFrame:
-        folder = new_path(spark)
-        store_events(lines, folder, rebalance=True)
-        return stored_events(spark, folder)
+        where = stored_in or new_path(spark)
+        # nothing but the names of new files is collected, which Spark's scan holds on the driver as well
+        store.ingest(listed, where, lambda new, all_new: parsed(new, path if all_new else [
+            r.path for r in new.filter(~F.col("file_name").endswith(".zstd") & (F.col("length") > 0)).select("path").collect()]))
+        return apart(store.live_events(listed, where)).drop("file", "batch")
 
     def errors() -> DataFrame:
         events = log.memo("stored events", lambda: stored(log))
         return events.filter("event = 'other' and error is not null").groupBy("app_key").agg(F.min("error").alias("error"))
 
-    log = EventLog(lines.filter(F.col("error").isNull()).drop("error"), apps, stored=stored, errors=errors)
+    lines = lambda: apart(parsed(listed, path)).filter(F.col("error").isNull()).drop("error", "file")
+    log = EventLog(lines, apart(files), stored=stored, errors=errors)
     return log
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """Logs a user can pick: plain logs and rolling logs (path of the `appstatus_` anchor), newest first."""
-    files = _files(spark, path)
+    files = log_files(spark, path)
     name = F.col("file_name")
-    plain = files.filter(name.startswith("application_")).select(name.alias("filename"), "modificationTime", "path")
+    plain = files.filter(name.startswith("application_")).select(name.alias("filename"), "modified", "path")
     folder = F.regexp_extract("path", "^(.*/)[^/]*$", 1)
     rolling = files.filter(name.rlike(r"^(events_\d+_|appstatus_)application_")).select(
         log_name(name).alias("filename"),
-        "modificationTime",
+        "modified",
         F.concat(folder, F.lit("appstatus_"), log_name(name)).alias("path"),
     )
     return (
         plain.unionByName(rolling)
         .groupBy("filename", "path")
-        .agg(F.max("modificationTime").alias("modificationTime"))
+        .agg(F.max("modified").alias("modified"))
         .select(
             log_name(F.col("filename")).alias("app_key"),
             "filename",
-            F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss").alias("date"),
+            F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("date"),
             "path",
         )
         .orderBy(F.desc("date"), "filename")

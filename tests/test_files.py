@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlens.operators import detail, flows, lifecycle, report, summary, tasks
-from eventlens.sources import logs
+from eventlens.sources import files, logs, store
 from eventlens.sources.events import store_events, stored_log
 
 
@@ -68,6 +68,79 @@ def test_zstd_larger_than_a_split(spark, folder):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_zstd_is_streamed(spark, folder):
+    """Files far larger than what a task holds are read whole, also with several frames, long lines and any line end."""
+    lines = [f"{i} {'x' * (i % 97)}" for i in range(5000)] + ["y" * 50_000, "", "last"]
+    parts = ("\n".join(lines[:3000]) + "\r\n", "\r".join(lines[3000:]))
+    frames = [pa.compress(part.encode(), codec="zstd", asbytes=True) for part in parts]
+    (folder / "application_1_1.zstd").write_bytes(b"".join(frames))
+    (folder / "application_1_2.zstd").write_bytes(b"")
+    for chunk in (1000, 1 << 20):
+        assert values(logs.read_logs(spark, str(folder), chunk=chunk)) == lines
+    assert [next(files.lines_of(iter([b"a\r", b"\nb\r", b"c"])), None), list(files.lines_of(iter([b"\r"])))] == [[b"a"], [[b""]]]
+
+
+def test_cut_off_zstd_keeps_what_it_holds(spark, folder):
+    text = "".join(f"{i * 7919}\n" for i in range(50_000))
+    zstd(folder / "application_1_1.zstd", text)
+    data = (folder / "application_1_1.zstd").read_bytes()
+    (folder / "application_1_1.zstd").write_bytes(data[: len(data) * 2 // 3])
+    rows = logs.zstd_lines(logs.log_files(spark, str(folder)), chunk=4096).orderBy("seq").collect()
+    held = [r.value for r in rows[:-1]]
+    assert held == text.split("\n")[: len(held)] and len(held) > 1000
+    assert rows[-1].value is None and rows[-1].error
+
+
+def test_listing_by_tasks(spark, folder):
+    for name in ("application_1_1", "a/application_2_2", "a/b/c/appstatus_application_3_3", "a/b/empty/application_4_4", "a/other.txt"):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text("" if "4_4" in name else "x\n")
+    (folder / "nothing").mkdir()
+    got = files.list_files(spark, str(folder)).collect()
+    found = [p for p in folder.rglob("*") if p.is_file()]
+    assert sorted(r.path for r in got) == sorted(f"file://{p}" for p in found)
+    assert {r.file_name: (r.length, int(r.modified.timestamp())) for r in got} == {p.name: (p.stat().st_size, int(p.stat().st_mtime)) for p in found}
+    by_driver = files._listed_by_driver(spark, files.qualified(spark, str(folder)))
+    assert {(r.path, r.folder, r.length) for r in by_driver.collect()} == {(r.path, r.folder, r.length) for r in got}
+    assert logs.log_files(spark, str(folder)).count() == 4
+
+
+def finished(stage):
+    return json.dumps({"Event": "SparkListenerTaskEnd", "Stage ID": stage, "Task Info": {"Launch Time": 0, "Finish Time": 5}, "Task Metrics": {"Memory Bytes Spilled": 1}}) + "\n"
+
+
+def test_only_new_and_changed_files_are_parsed(spark, folder):
+    source, where = folder / "logs", str(folder / "store")
+    source.mkdir()
+    totals = lambda: {r.app_key: r.tasks for r in tasks.task_totals(logs.read_logs(spark, str(source), stored_in=where)).collect()}
+    lines_in = lambda batch: spark.read.parquet(f"{where}/events/batch={batch}").count()
+    (source / "application_1_1").write_text(finished(1) * 3)
+    zstd(source / "application_2_2.zstd", finished(1) * 2)
+    assert totals() == {"application_1_1": 3, "application_2_2": 2}
+    assert totals() == {"application_1_1": 3, "application_2_2": 2}
+    assert len(store.batches(spark, where)) == 1  # the second time nothing was parsed
+    (source / "application_3_3").write_text(finished(4))
+    zstd(source / "application_2_2.zstd", finished(1) * 7)  # changed
+    assert totals() == {"application_1_1": 3, "application_2_2": 7, "application_3_3": 1}
+    first, second = store.batches(spark, where)
+    assert (lines_in(first), lines_in(second)) == (5, 8)
+    (source / "application_1_1").unlink()
+    assert totals() == {"application_2_2": 7, "application_3_3": 1}
+    assert len(store.batches(spark, where)) == 2
+    # a batch that was never committed is not read
+    spark.read.parquet(f"{where}/events/batch={second}").write.partitionBy("event").parquet(f"{where}/events/batch=00000009-broken")
+    assert totals() == {"application_2_2": 7, "application_3_3": 1}
+
+
+def test_folders_without_lines(spark, folder):
+    (folder / "application_1_1").write_text("")
+    for path in (folder, folder / "none"):
+        path.mkdir(exist_ok=True)
+        log = logs.read_logs(spark, str(path))
+        got = {r["app_key"]: r["Total Tasks"] for r in summary.app_summary(log).collect()}
+        assert got == ({"application_1_1": 0} if path == folder else {})
+
+
 def test_unreadable_file_gives_error_row(spark, folder):
     (folder / "application_4_4.zstd").write_bytes(b"no zstd at all")
     (folder / "application_5_5").write_text('{"Event":"SparkListenerApplicationStart","App ID":"application_5_5","App Name":"n","Timestamp":1000}\n')

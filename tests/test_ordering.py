@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventlens.operators import lifecycle, ordering, report
@@ -68,3 +69,17 @@ def test_exact_medians(spark):
     df = spark.createDataFrame(rows + [("d", None)], "metric string, value double").repartition(4)
     got = {r.metric: r.median for r in report.exact_medians(df).collect()}
     assert got == {m: statistics.median(v for n, v in rows if n == m) for m in "abc"}
+
+
+@pytest.mark.parametrize("large", [100, 1 << 18])
+def test_as_of_with_many_events_in_one_group(spark, large):
+    """One stage is listed 100,000 times, others once or never; groups above `large` rows are spread over chunks."""
+    rng = random.Random(6)
+    events = [("hot", 2 * i, i) for i in range(100_000)] + [("once", 50, 7), ("late", 10**6, 8), (None, 1, 9), ("void", 1, None)]
+    rows = [("hot", rng.randrange(-5, 200_010), i) for i in range(3000)] + [(g, s, -s) for g in ("once", "late", "void", "never", None) for s in (0, 50, 51, 99)]
+    got = ordering.as_of(
+        spark.createDataFrame(rows, "g string, seq bigint, row bigint"), spark.createDataFrame(events, "g string, seq bigint, value bigint"),
+        ["g"], "seq", "value", large)
+    expected = [(g, s, r, min((s - 1) // 2, 99_999)) for g, s, r in rows if g == "hot" and s > 0]
+    expected += [("once", s, -s, 7) for s in (51, 99)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
