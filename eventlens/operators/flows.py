@@ -130,7 +130,7 @@ def average_size(size: str, files: str):
 
 def write_metrics(log: EventLog) -> DataFrame:
     """Files, rows, bytes, average size, path, format and mode of every SQL execution that writes files."""
-    write_nodes = tree.plan_nodes(log).filter(F.map_contains_key("metrics", F.lit("number of written files")))
+    write_nodes = tree.shared_nodes(log).filter(F.map_contains_key("metrics", F.lit("number of written files")))
     keys = ["app_key", "execution_id"]
     first = write_nodes.groupBy(*keys).agg(
         F.min_by(F.struct("start_seq", "node_name", "simple_string", "metrics"), "pos").alias("n")

@@ -30,6 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[str] = []
+_CLEARED = 0
 
 
 def new_path(spark: SparkSession) -> str:
@@ -55,9 +56,17 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
 
 
 def clear(spark: SparkSession) -> None:
+    """Delete all that the session has written there. Logs and results built before can't be read any more."""
+    global _CLEARED
+    _CLEARED += 1
     delete(spark, written())
 
 
+def times_cleared() -> int:
+    """Tells those who remember written folders that these are gone."""
+    return _CLEARED
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows once to the shared checkpoint folder and go on from there.
 

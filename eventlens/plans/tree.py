@@ -1,14 +1,11 @@
 """Plan trees of SQL executions as rows.
 
-A plan is one JSON document of unknown depth inside one log line. Spark has no recursive type, so the walk of a
-single document is a small Arrow-batched helper; everything after it is joins and aggregates on node rows.
+A plan is one JSON document of unknown depth inside one log line, kept as a VARIANT. One fold over it takes its levels
+apart, from the root down, so that the nodes of a plan are rows without being grouped; everything after it is joins and aggregates on node rows.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,55 +13,88 @@ from eventlens.functions import scalars as S
 from eventlens.operators.ordering import checkpointed
 from eventlens.sources.events import EventLog, per_log
 
-NODE_DDL = (
-    "app_key string, execution_id bigint, start_seq decimal(38,0), pos int, post_pos int, depth int, path array<int>,"
-    " node_name string, simple_string string, metadata map<string,string>, metrics map<string,bigint>"
-)
-NODES_PER_BATCH = 4096
-
-
-def _walk(plan: dict) -> list[tuple]:
-    """Nodes of one plan in pre-order, with their post-order position."""
-    rows: list[list] = []
-    done = 0
-    stack: list[tuple] = [(plan, (), None)]
-    while stack:
-        node, path, open_row = stack.pop()
-        if open_row is not None:  # all children are done
-            open_row[1] = done
-            done += 1
-            continue
-        metrics = {m["name"]: m["accumulatorId"] for m in node.get("metrics") or []}
-        metadata = {k: str(v) for k, v in (node.get("metadata") or {}).items()}
-        row = [
-            len(rows), 0, len(path), list(path), node.get("nodeName", "Unknown"), node.get("simpleString", ""),
-            metadata, metrics,
-        ]
-        rows.append(row)
-        stack.append((node, path, row))
-        children = node.get("children") or []
-        stack.extend((child, (*path, i), None) for i, child in reversed(list(enumerate(children))))
-    return rows
-
-
-def _flatten(batches: Iterator) -> Iterator:
-    import pandas as pd
-
-    names = ["app_key", "execution_id", "start_seq", "pos", "post_pos", "depth", "path", "node_name",
-             "simple_string", "metadata", "metrics"]
-    rows: list[list] = []
-    for batch in batches:
-        for app_key, execution_id, seq, plan in zip(batch["app_key"], batch["execution_id"], batch["seq"], batch["plan"]):
-            try:
-                nodes = _walk(json.loads(plan))
-            except (ValueError, TypeError, KeyError, AttributeError):
-                continue  # a malformed plan is skipped like any malformed line
-            rows.extend([app_key, execution_id, seq, *node] for node in nodes)
-            if len(rows) >= NODES_PER_BATCH:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=names)
+_NODE = "path:array<int>,node_name:string,simple_string:string,metadata:map<string,string>,metrics:map<string,bigint>"
+_LEVEL = "array<struct<path:array<int>,node:variant>>"
+_LAST = (1 << 31) - 1  # follows every child's number
+
+
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _metrics(listed: Column) -> Column:
+    """Accumulator ids by metric name; a name that is listed again keeps its last id."""
+    def by_name(entries: Column) -> Column:
+        names = entries["name"]
+        last = F.filter(entries, lambda m, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["name"] == m["name"]))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), entries).otherwise(last))
+
+    none = F.create_map().cast("map<string,bigint>")
+    return F.when(F.coalesce(F.size(listed), F.lit(0)) < 1, none).otherwise(
+        let(F.filter(listed, lambda m: m["name"].isNotNull()), by_name))
+
+
+def _taken_apart(plan: Column) -> Column:
+    """All nodes of a plan, level by level, as structs with the place of each: the numbers of the children that lead to it."""
+    node_type = ("struct<nodeName:string,simpleString:string,metadata:map<string,string>,"
+                 "metrics:array<struct<name:string,accumulatorId:bigint>>,children:array<variant>>")
+
+    def row(level: Column) -> Column:
+        node = level["node"]
+        return F.struct(
+            level["path"].alias("path"),
+            F.coalesce(node["nodeName"], F.lit("Unknown")).alias("node_name"),
+            F.coalesce(node["simpleString"], F.lit("")).alias("simple_string"),
+            F.coalesce(node["metadata"], F.create_map().cast("map<string,string>")).alias("metadata"),
+            _metrics(node["metrics"]).alias("metrics"),
+        )
+
+    def children(level: Column) -> Column:
+        return F.transform(level["node"]["children"],
+                           lambda child, i: F.struct(F.concat(level["path"], F.array(i)).alias("path"), child.alias("node")))
+
+    def descend(state: Column, _: Column) -> Column:
+        decoded = F.transform(state["level"], lambda x: F.struct(
+            x["path"].alias("path"), F.try_variant_get(x["node"], "$", node_type).alias("node")))
+        parents = lambda level: F.filter(level, lambda x: F.size(x["node"]["children"]) > 0)
+        below = let(decoded, lambda level: F.struct(
+            F.concat(state["nodes"], F.transform(level, row)).alias("nodes"),
+            F.flatten(F.transform(parents(level), children)).alias("level")))
+        return F.when(F.size(state["level"]) == 0, state).otherwise(below)
+
+    root = F.struct(F.array().cast("array<int>").alias("path"), plan.alias("node"))
+    start = F.struct(F.array().cast(f"array<struct<{_NODE}>>").alias("nodes"), F.array(root).cast(_LEVEL).alias("level"))
+    # there are no more levels below the root than lists of children
+    levels = F.regexp_count(F.to_json(plan), F.lit('"children"')) + 1
+    return F.aggregate(F.sequence(F.lit(1), levels), start, descend)["nodes"]
+
+
+def _in_order(nodes: Column) -> Column:
+    """The nodes in pre-order, with their positions in pre-order and post-order.
+
+    Places sort in pre-order. A place that ends with a number above all children's sorts after what lies below it, which
+    gives post-order; sorted back by pre-order, that order tells each node its position.
+    """
+    pre = F.array_sort(F.transform(nodes, lambda n, i: F.struct(n["path"].alias("path"), i.alias("i"))))
+
+    def with_post(pre: Column) -> Column:
+        post = F.array_sort(F.transform(pre, lambda x, k: F.struct(F.concat(x["path"], F.array(F.lit(_LAST))).alias("path"), k.alias("k"))))
+        back = let(post, lambda p: F.array_sort(F.transform(p, lambda x, j: F.struct(x["k"].alias("k"), j.alias("j")))))
+
+        def row(x: Column, k: Column, back: Column) -> Column:
+            n = F.get(nodes, x["i"])
+            return F.struct(k.alias("pos"), F.get(back, k)["j"].alias("post_pos"), F.size(x["path"]).alias("depth"), *[
+                n[c].alias(c) for c in ("path", "node_name", "simple_string", "metadata", "metrics")])
+
+        return let(back, lambda b: F.transform(pre, lambda x, k: row(x, k, b)))
+
+    return let(pre, with_post)
+
+
+def is_plan(plan: Column) -> Column:
+    """Is it a JSON object? Anything else is skipped like any malformed line."""
+    return F.try_variant_get(plan, "$", "map<string,variant>").isNotNull()
 
 
 @per_log
@@ -78,24 +108,34 @@ def executions(log: EventLog) -> DataFrame:
 
 
 @per_log
-def plan_nodes(log: EventLog, adaptive: bool = False) -> DataFrame:
-    """One row per plan node: position in pre-order (`pos`) and post-order (`post_pos`), depth, child path, texts
-    and the map from metric name to accumulator id. `adaptive` takes the last re-planned tree where there is one."""
-    plans = log.view("sql_plan").filter("execution_id is not null and plan is not null")
+def plans(log: EventLog, adaptive: bool = False) -> DataFrame:
+    """(app_key, execution_id, start_seq, plan): the plan of each SQL execution's last start event. `adaptive` takes the
+    last re-planned tree where there is one."""
+    first = log.view("sql_plan").filter(F.col("execution_id").isNotNull() & is_plan(F.col("plan")))
     latest = executions(log).select("app_key", "execution_id", F.col("start_seq").alias("seq"))
-    plans = plans.join(latest, ["app_key", "execution_id", "seq"], "left_semi")
+    first = first.join(latest, ["app_key", "execution_id", "seq"], "left_semi")
     if adaptive:
-        updates = log.view("adaptive_plan").filter("plan is not null")
+        updates = log.view("adaptive_plan").filter(is_plan(F.col("plan")))
         last = updates.groupBy("app_key", "execution_id").agg(F.max("seq").alias("seq"))
         replanned = updates.join(last, ["app_key", "execution_id", "seq"], "left_semi")
-        starts = plans.select("app_key", "execution_id", F.col("seq").alias("start_seq"))
-        plans = plans.join(replanned, ["app_key", "execution_id"], "left_anti").unionByName(
+        starts = first.select("app_key", "execution_id", F.col("seq").alias("start_seq"))
+        first = first.join(replanned, ["app_key", "execution_id"], "left_anti").unionByName(
             # metric updates still count from the start of the execution
             replanned.join(starts, ["app_key", "execution_id"])
             .select("app_key", "execution_id", F.col("start_seq").alias("seq"), "plan")
         )
-    flat = plans.select("app_key", "execution_id", F.col("seq").cast("decimal(38,0)").alias("seq"), "plan")
-    return flat.mapInPandas(_flatten, NODE_DDL)
+    return first.select("app_key", "execution_id", F.col("seq").cast("decimal(38,0)").alias("start_seq"), "plan")
+
+
+@per_log
+def plan_nodes(log: EventLog, adaptive: bool = False) -> DataFrame:
+    """One row per plan node: position in pre-order (`pos`) and post-order (`post_pos`), depth, child path, texts
+    and the map from metric name to accumulator id. `adaptive` takes the last re-planned tree where there is one."""
+    # many plans fit into one file, and taking them apart costs far more than moving them
+    whole = plans(log, adaptive)
+    dealt = whole.repartition(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), "app_key", "execution_id")
+    flat = dealt.select("app_key", "execution_id", "start_seq", _taken_apart(F.col("plan")).alias("nodes"))
+    return flat.select("app_key", "execution_id", "start_seq", F.inline(_in_order(F.col("nodes"))))
 
 
 @per_log
@@ -204,14 +244,11 @@ def accumulator_rollup(log: EventLog) -> DataFrame:
     Only quoted updates add up (SQL metrics are logged as text, internal ones as numbers, which count 0). The form
     is independent of the order of task and driver updates.
     """
-    element = F.explode("accumulables").alias("text")
-    parsed = log.view("task_accumulables").select("app_key", element).select(
-        "app_key", "text", F.from_json("text", "ID string, Update string").alias("a")
-    )
-    quoted = F.col("text").rlike(r'"Update"\s*:\s*"')
-    number = F.when(quoted, F.col("a.Update"))
+    text = F.schema_of_variant("a.Update") == "STRING"
+    number = F.when(text, F.try_variant_get("a.Update", "$", "string"))
     by_task = (
-        parsed.select("app_key", F.col("a.ID").try_cast("bigint").alias("acc_id"), number.alias("u"))
+        log.view("task_accumulables").select("app_key", F.explode("accumulables").alias("a"))
+        .select("app_key", F.col("a.ID").try_cast("bigint").alias("acc_id"), number.alias("u"))
         .filter("acc_id is not null")
         .groupBy("app_key", "acc_id")
         .agg(

@@ -24,6 +24,63 @@ def when_text(ms: str) -> str:
     return f"strftime(make_timestamp({ms} * 1000), '%Y-%m-%d %H:%M:%S')"
 
 
+def obj(fields: dict[str, str]) -> str:
+    """JSON object from expressions that give JSON text."""
+    return "'{' || " + " || ',' || ".join(f"'\"{name}\":' || {value}" for name, value in fields.items()) + " || '}'"
+
+
+def num(expr: str) -> str:
+    return f"coalesce(({expr})::VARCHAR, 'null')"
+
+
+def txt(expr: str) -> str:
+    return f"coalesce(to_json(({expr})::VARCHAR)::VARCHAR, 'null')"
+
+
+def fixed(expr: str, decimals: int) -> str:
+    return f"coalesce(printf('%.{decimals}f', {expr}), 'null')"
+
+
+#: Metrics of the plan nodes by kind, with the number of each one's accumulator.
+NODE_METRICS = {
+    "write": {"number of written files": 0, "written output": 1, "number of output rows": 2, "task commit time": 9},
+    "agg": {"time in aggregation build": 3},
+    "shuffle": {"shuffle bytes written": 4, "shuffle records written": 10, "shuffle write time": 11},
+    "filter": {"number of output rows": 5},
+    "read": {"number of files read": 6, "size of files read": 7, "number of output rows": 8, "metadata time": 12, "number of partitions read": 13},
+    "orc": {"number of files read": 14, "size of files read": 15, "number of output rows": 16},
+}
+NODE_METADATA = {
+    "read": """'{"Format":"Parquet","Location":"InMemoryFileIndex(1 paths)[hdfs://nn/in/' || o_orderstatus || ']","PartitionFilters":"[]"}'""",
+    "orc": """'{"Format":"org.apache.OrcFileFormat","Location":"InMemoryFileIndex(1 paths)[hdfs://nn/more]","PartitionFilters":"[isnotnull(p#1)]"}'""",
+}
+
+
+def plan_json() -> str:
+    """The plan of an execution (k) as JSON text, its keys in alphabetical order."""
+
+    def node(name: str, text: str, kind: str | None, *children: str) -> str:
+        metrics = [obj({"accumulatorId": num(f"k * 20 + {n}"), "metricType": txt("'sum'"), "name": txt(f"'{m}'")})
+                   for m, n in NODE_METRICS.get(kind, {}).items()]
+        listed = lambda items: "'[' || " + "".join(f"{x} || ',' || " for x in items[:-1]) + "".join(f"{x} || " for x in items[-1:]) + "']'"
+        return obj({"children": listed(list(children)), "metadata": NODE_METADATA.get(kind, "'{}'"), "metrics": listed(metrics),
+                    "nodeName": txt(f"'{name}'"), "simpleString": txt(text)})
+
+    scan = node("Scan parquet ", "'FileScan parquet'", "read")
+    plan = f"(CASE WHEN two THEN {node('Union', quoted('Union'), None, scan, node('Scan orc ', quoted('FileScan orc'), 'orc'))} ELSE {scan} END)"
+    for name, text, kind in (
+        ("Filter", "'Filter (o_totalprice#3 > 100.0)'", "filter"), ("Project", "'Project [o_orderkey#1, o_orderstatus#2]'", None),
+        ("Coalesce", "'Coalesce 4'", None),
+        ("Exchange", "'Exchange hashpartitioning(o_orderstatus#1, ' || (k % 7 + 1) || '), ENSURE_REQUIREMENTS, [plan_id=1]'", "shuffle"),
+        ("HashAggregate", "'HashAggregate(keys=[o_orderstatus#1], functions=[])'", "agg"),
+        ("WholeStageCodegen (2)", "'WholeStageCodegen (2)'", None), ("AdaptiveSparkPlan", "'AdaptiveSparkPlan isFinalPlan=false'", None),
+        ("Execute InsertIntoHadoopFsRelationCommand",
+         "'Execute InsertIntoHadoopFsRelationCommand hdfs://nn/out/' || o_orderpriority || ', false, Parquet, [path=x], Overwrite, [c]'", "write"),
+    ):
+        plan = node(name, text, kind, plan)
+    return plan
+
+
 # --- the application log -----------------------------------------------------------------------------------------
 
 APPLICATION = f"""
@@ -346,7 +403,7 @@ def oracle_sql() -> dict[str, str]:
         "task_execution": app(f"""SELECT app_key, stage_id, q * 1000 AS duration_ms, CASE WHEN l_linenumber % 2 = 0 AND finish_ms > launch_ms + 25500 THEN o_orderkey + {_REL} ELSE o_orderkey END AS execution_id
             FROM t"""),
         "sql_executions": app("""SELECT app_key, k AS execution_id, o_orderpriority AS description, start_ms, 'Execute InsertIntoHadoopFsRelationCommand' AS plan_root,
-            CASE WHEN two THEN 11 ELSE 9 END::BIGINT AS plan_nodes, CASE WHEN two THEN 9 ELSE 8 END::INTEGER AS plan_depth, 1::BIGINT AS jobs, k AS first_job, k AS last_job FROM sq"""),
+            CASE WHEN two THEN 11 ELSE 9 END::BIGINT AS plan_nodes, CASE WHEN two THEN 9 ELSE 8 END::INTEGER AS plan_depth, 1::BIGINT AS jobs, k AS first_job, k AS last_job, """ + plan_json() + " AS plan FROM sq"),
         "execution_jobs": app("SELECT app_key, k AS execution_id, k AS job_id FROM sq"),
         "plan_nodes": app(f"""{nodes}, CASE WHEN pos = 9 AND two THEN 0 WHEN pos = 10 THEN 1 WHEN two THEN 10 - pos ELSE 8 - pos END::INTEGER AS post_pos, depth::INTEGER AS depth,
             CASE WHEN pos = 10 THEN '0.0.0.0.0.0.0.0.1' ELSE rtrim(repeat('0.', depth), '.') END AS path, node_name, simple_string FROM nodes"""),
@@ -427,11 +484,48 @@ def oracle_sql() -> dict[str, str]:
         {"Application ID": "CASE WHEN bad THEN app_key ELSE \"Application ID\" END", "Application Name": "CASE WHEN bad THEN 'Error: cut off' ELSE \"Application Name\" END",
          "Start Date": "CASE WHEN bad THEN 'Error' ELSE \"Start Date\" END"}.get(n, f'CASE WHEN NOT bad THEN "{n}" END') + f' AS "{n}"' for n in SUMMARY_COLUMNS)
         + " FROM (SELECT summ.*, c_mktsegment = 'BUILDING' AS bad FROM summ JOIN apps USING (app_key))", EX, SUMMARY)
-    counted = {"application": "app_lifecycle", "jobs": "execution_jobs", "planNodes": "plan_nodes", "stages": "stage_detail",
-               "sqlExecutions": "sql_executions", "reads": "read_metrics", "writes": "write_metrics"}
-    sql["detail_parts"] = " UNION ALL ".join(
-        f"SELECT app_key, '{part}' AS part, count(*) AS rows FROM ({sql[name]}) GROUP BY app_key" for part, name in counted.items()) + " UNION ALL " + "SELECT * FROM (" + app(
-        "SELECT app_key, 'executorTimeSeries' AS part, count(*) AS rows FROM (SELECT app_key FROM ex UNION ALL SELECT app_key FROM bounds) GROUP BY app_key") + ")"
+    kinds = {"orc": "pos = 10", **{k: f"kind = '{k}'" for k in NODE_METRICS if k != "orc"}}
+    by_kind = lambda texts: "CASE " + " ".join(f"WHEN {kinds[k]} THEN {t}" for k, t in texts.items()) + " ELSE '{}' END"
+    metrics = by_kind({k: obj({m: num(f"k * 20 + {n}") for m, n in NODE_METRICS[k].items()}) for k in kinds})
+    plain = lambda *names: {n: num(n) for n in names}
+    texts = lambda *names: {n: txt(n) for n in names}
+    entries = {
+        "application": ("app_lifecycle", texts("app_id", "app_name")),
+        "jobs": ("execution_jobs", plain("execution_id", "job_id")),
+        "stages": ("stage_detail", {
+            **plain("stage_id"), **texts("stage_name", "description", "status"), **plain(
+                "submission_time", "completion_time", "tasks", "input_bytes", "input_records", "output_bytes", "output_records", "shuffle_read",
+                "shuffle_write", "spill_memory", "spill_disk"), "duration_sec": fixed("duration_sec", 2), **plain("average_input")}),
+        "sqlExecutions": ("sql_executions", {
+            **plain("execution_id"), **texts("description"), **plain("start_ms"), **texts("plan_root"),
+            **plain("plan_nodes", "plan_depth", "jobs", "first_job", "last_job"), "plan": "plan"}),
+        "reads": ("read_metrics", {
+            **plain("execution_id", "node_pos", "files_read", "rows", "bytes_read", "partitions_read"), **texts("file_path", "format", "partition_filters"),
+            **plain("average_file_size")}),
+        "writes": ("write_metrics", {
+            **plain("execution_id", "files_written", "rows", "bytes_written"), **texts("file_path", "format", "mode"), **plain("average_file_size")}),
+    }
+    path = "CASE WHEN pos = 10 THEN '[0,0,0,0,0,0,0,0,1]' ELSE '[' || rtrim(repeat('0,', depth), ',') || ']' END"
+    post = "CASE WHEN pos = 9 AND two THEN 0 WHEN pos = 10 THEN 1 WHEN two THEN 10 - pos ELSE 8 - pos END"
+    of_nodes = obj({
+        "execution_id": num("k"), "pos": num("pos"), "post_pos": num(post), "depth": num("depth"), "path": path, **texts("node_name", "simple_string"),
+        "metadata": by_kind({k: t for k, t in NODE_METADATA.items() if k == "orc"} | {"read": NODE_METADATA["read"]}), "metrics": metrics})
+    series = obj({"time": num("time"), "seconds": fixed("seconds", 3), "count": num("count")})
+    sql["detail_documents"] = " UNION ALL ".join(
+        f"SELECT app_key, '{part}' AS part, {obj(fields)} AS json FROM ({sql[name]})" for part, (name, fields) in entries.items()
+    ) + " UNION ALL SELECT * FROM (" + app(f"SELECT app_key, 'planNodes' AS part, {of_nodes} AS json FROM nodes") + ") UNION ALL SELECT * FROM (" + app(
+        f"""SELECT app_key, 'executorTimeSeries' AS part, {series} AS json FROM (
+            SELECT app_key, ts AS time, (ts - start_ms)::DOUBLE / 1000.0::DOUBLE AS seconds, CAST(n - least(0, low) AS BIGINT) AS count FROM (
+            SELECT *, min(n) OVER (PARTITION BY app_key ORDER BY ts, tie) AS low FROM (SELECT *, sum(step) OVER (PARTITION BY app_key ORDER BY ts, tie) AS n FROM ex)) JOIN bounds USING (app_key)
+            UNION ALL SELECT app_key, start_ms, 0.0, 0 FROM bounds)""") + ")"
+    sql["detail_parts"] = f"SELECT app_key, part, count(*) AS rows, CAST(sum(strlen(json)) AS BIGINT) AS bytes FROM ({sql['detail_documents']}) GROUP BY ALL"
+    users = "(SELECT DISTINCT app_key, user_id FROM e)"
+    sql["file_inventory"] = act(f"SELECT app_key, app_key AS filename, CASE WHEN user_id % 2 = 0 THEN app_key ELSE 'appstatus_' || app_key END AS file FROM {users}")
+    sql["file_resolution"] = act(f"""SELECT 'application_' || n AS filename, CASE WHEN u.user_id % 2 = 0 THEN app_key ELSE 'appstatus_' || app_key END AS file
+        FROM (SELECT user_id AS n FROM {users} UNION SELECT user_id + 1000 FROM {users}) LEFT JOIN {users} u ON u.user_id = n""")
+    sql["file_groups"] = act("SELECT 'application_1_' || user_id AS app_key, 3::BIGINT AS files, count(*) + 2 AS lines FROM e GROUP BY user_id")
+    sql["file_summary"] = f"""SELECT "Application ID" AS app_id, "Application Name" AS app_name, "Total Tasks" AS tasks,
+        "Max Active Executors" AS max_active_executors, "Preempted Executors" AS preempted_executors FROM ({sql["activity_summary"]})"""
     file = r"'metrics_report_' || regexp_replace({}, '-\d{{4}}-\d{{2}}-\d{{2}}$', '') || '.txt'"
     doubles = ("Duration (s)", "Idle Cores (%)", "Peak Mem (%)")
     cells = ", ".join(f"coalesce(printf('%.2f', \"{n}\"), '')" if n in doubles else f"coalesce(\"{n}\"::VARCHAR, '')" for n in table)

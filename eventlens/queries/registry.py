@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.operators import alt, detail, flows, lifecycle, operations, report, sizing, summary, tasks
+from eventlens.operators.ordering import new_path
 from eventlens.plans import tree
 from eventlens.sources import logs
-from eventlens.sources.tables import activity_log, application_log, table
+from eventlens.sources.files import write_files
+from eventlens.sources.tables import activity_log, application_log, position, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,6 +75,71 @@ def renamed_log_lines(spark, sf_dir):
     )
 
 
+# --- logs in files ---------------------------------------------------------------------------------------------
+
+
+def _file_lines(spark, sf_dir):
+    """Lines of the activity log with the names of the files that hold them: applications with an even number have one plain
+    file, the others rolling ones, up to a day and from then on, under an empty anchor."""
+    lines = activity_log(spark, sf_dir).lines
+    number = F.substring_index("app_key", "_", -1).cast("bigint")
+    middle = position("tasks", F.unix_micros(F.lit("2024-01-15").cast("timestamp")))
+    rolling = F.concat(F.lit("events_"), F.when(F.col("seq") < middle, "9").otherwise("10"), F.lit("_"), F.col("app_key"))
+    anchors = lines.filter(number % 2 == 1).select("app_key").distinct().select(
+        F.concat(F.lit("appstatus_"), "app_key").alias("file_name"), F.lit(0).cast("decimal(38,0)").alias("seq"), F.lit(None).cast("string").alias("value"))
+    return lines.select(F.when(number % 2 == 0, F.col("app_key")).otherwise(rolling).alias("file_name"), "seq", "value").unionByName(anchors)
+
+
+def _written_logs(spark, sf_dir):
+    """Folder of the files, written anew for each query."""
+    folder = new_path(spark)
+    write_files(_file_lines(spark, sf_dir), folder)
+    return folder
+
+
+def _base_name(path):
+    return F.element_at(F.split(path, "/"), -1)
+
+
+@query
+def file_inventory(spark, sf_dir):
+    """Logs that a user can pick from a folder, and the file that stands for each."""
+    return logs.inventory(spark, _written_logs(spark, sf_dir)).select("app_key", "filename", _base_name("path").alias("file"))
+
+
+@query
+def file_resolution(spark, sf_dir):
+    """Files for the names of all users, and of some that have no log."""
+    asked = table(spark, sf_dir, "events").select(F.explode(F.array("user_id", F.col("user_id") + 1000)).alias("n")).distinct()
+    names = asked.select(F.concat(F.lit("application_"), "n").alias("filename"))
+    return logs.resolve(logs.inventory(spark, _written_logs(spark, sf_dir)), names).select("filename", _base_name("path").alias("file"))
+
+
+@query
+def file_groups(spark, sf_dir):
+    """Part files of one application belong together: their number and lines."""
+    lines = activity_log(spark, sf_dir).lines
+    before = lambda phase: F.col("seq") < position(phase, F.lit(0))
+    number = F.when(before("tasks"), "1").when(before("app_end"), "2").otherwise("3")
+    part = F.concat(F.lit("application_1_"), F.substring_index("app_key", "_", -1), F.lit("_part_00"), number)
+    folder = new_path(spark)
+    write_files(lines.select(part.alias("file_name"), "seq", "value"), folder)
+    files = logs.log_files(spark, folder).groupBy(logs.group_name(F.col("file_name")).alias("app_key")).agg(F.count("*").alias("files"))
+    counted = logs.log_groups(logs.read_logs(spark, folder, group_parts=True)).select("app_key", "lines")
+    return files.join(counted, "app_key")
+
+
+@query
+def file_summary(spark, sf_dir):
+    """The summary of logs read from files, plain and rolling, written as CSV and read again."""
+    folder = new_path(spark)
+    summary.write_csv(summary.app_summary(logs.read_logs(spark, _written_logs(spark, sf_dir))), folder)
+    return summary.read_csv(spark, folder).select(
+        F.col("Application ID").alias("app_id"), F.col("Application Name").alias("app_name"),
+        F.col("Total Tasks").cast("bigint").alias("tasks"), F.col("Max Active Executors").cast("bigint").alias("max_active_executors"),
+        F.col("Preempted Executors").cast("bigint").alias("preempted_executors"))
+
+
 # --- lifecycle and resources -----------------------------------------------------------------------------------
 
 
@@ -308,10 +375,16 @@ def report_document(spark, sf_dir):
     return report.report_document(alt.alt_profile(log), flows.plan_text_paths(log))
 
 
+@query
+def detail_documents(spark, sf_dir):
+    return detail.detail_documents(application_log(spark, sf_dir)).select("app_key", "part", "json")
+
+
 @query
 def detail_parts(spark, sf_dir):
-    """Number of rows of each part of the detail documents."""
-    return detail.detail_documents(application_log(spark, sf_dir)).groupBy("app_key", "part").agg(F.count("*").alias("rows"))
+    """Number of entries of each part of the detail documents, and bytes of their text."""
+    return detail.detail_documents(application_log(spark, sf_dir)).groupBy("app_key", "part").agg(
+        F.count("*").alias("rows"), F.sum(F.octet_length("json")).alias("bytes"))
 
 
 @query

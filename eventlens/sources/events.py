@@ -115,8 +115,9 @@ VIEWS: dict[str, View] = {
     ),
     "task_accumulables": View(
         "SparkListenerTaskEnd",
-        # elements stay raw JSON text: whether an update is quoted decides if it is added up
-        "`Task Info` struct<Accumulables:array<string>>, `Task Metrics` struct<Accumulators:array<string>>",
+        # an update keeps its type: whether it is quoted decides if it is added up
+        "`Task Info` struct<Accumulables:array<struct<ID:string,Update:variant>>>,"
+        " `Task Metrics` struct<Accumulators:array<struct<ID:string,Update:variant>>>",
         {
             "accumulables": "case when size(e.`Task Info`.Accumulables) > 0 then e.`Task Info`.Accumulables"
             " else e.`Task Metrics`.Accumulators end"
@@ -168,13 +169,13 @@ VIEWS: dict[str, View] = {
     ),
     "sql_plan": View(
         "SparkListenerSQLExecutionStart",
-        "executionId bigint, sparkPlanInfo string",  # the plan tree as raw JSON text
+        "executionId bigint, sparkPlanInfo variant",  # the whole plan tree
         {"execution_id": "e.executionId", "plan": "e.sparkPlanInfo"},
         sql_ui=True,
     ),
     "adaptive_plan": View(
         "SparkListenerSQLAdaptiveExecutionUpdate",
-        "executionId bigint, sparkPlanInfo string",
+        "executionId bigint, sparkPlanInfo variant",
         {"execution_id": "e.executionId", "plan": "e.sparkPlanInfo"},
         sql_ui=True,
     ),
@@ -244,6 +245,10 @@ class EventLog:
         apps = self.lines if self._apps is None else self._apps
         return apps.select("app_key").distinct()
 
+    def stored_events(self) -> DataFrame:
+        """All events as typed columns, parsed at the first use."""
+        return self.memo("stored events", lambda: self._stored(self))
+
     def errors(self) -> DataFrame | None:
         return None if self._errors is None else self.memo("errors", self._errors)
 
@@ -251,8 +256,7 @@ class EventLog:
         def build() -> DataFrame:
             spec = VIEWS[name]
             if self._stored is not None:
-                events = self.memo("stored events", lambda: self._stored(self))
-                parsed = events.filter(F.col("event") == spec.event)
+                parsed = self.stored_events().filter(F.col("event") == spec.event)
             else:
                 parsed = self._parsed(spec)
             return parsed.selectExpr(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,16 @@ def qualified(spark: SparkSession, path: str) -> str:
     return root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
 
 
+def state_of(spark: SparkSession, paths: list[str]) -> tuple:
+    """Length and modification time of files or of folders of files: changes with what they hold."""
+    out = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((path, system.getContentSummary(where).getLength(), system.getFileStatus(where).getModificationTime()))
+    return tuple(out)
+
+
 def opened(uri: str):
     """File system of a URI, the path within it, and what to put before such paths to get URIs again.
 
@@ -106,6 +117,51 @@ def _with_names(files: DataFrame) -> DataFrame:
         "length", "modified")
 
 
+def _write_files(folder: str):
+    """Write the files whose lines a task gets, in its order; a file is put in place when it is whole."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path, _ = opened(folder)
+        name, stream, n, done = None, None, 0, []
+
+        def finish() -> None:
+            stream.close()
+            system.move(f"{path}/.{name}.{attempt}", f"{path}/{name}")
+            done.append((name, n))
+
+        attempt = uuid.uuid4().hex
+        for batch in batches:
+            for file_name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if file_name != name:
+                    if stream is not None:
+                        finish()
+                    name, n = file_name, 0
+                    stream = system.open_output_stream(f"{path}/.{name}.{attempt}")
+                if value is not None:
+                    stream.write(value.encode("utf-8", "replace") + b"\n")
+                    n += 1
+        if stream is not None:
+            finish()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["file_name", "lines"])
+
+    return write
+
+
+def write_files(lines: DataFrame, folder: str) -> DataFrame:
+    """Text files of given names from rows (file_name, seq, value), lines in the order of seq; returns their lines by name.
+
+    A null value adds no line, so that a file can be empty. Each file is one task's work, as a file can have one writer.
+    """
+    spark = lines.sparkSession
+    where = qualified(spark, folder)
+    root = spark._jvm.org.apache.hadoop.fs.Path(where)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lines.select("file_name", "seq", "value").repartition(n, "file_name").sortWithinPartitions("file_name", "seq")
+    return checkpointed(ordered.select("file_name", "value").mapInArrow(_write_files(where), "file_name string, lines bigint"))
+
+
 # --- zstd --------------------------------------------------------------------------------------------------------
 
 

@@ -152,8 +152,7 @@ def read_logs(
         return apart(store.live_events(listed, where)).drop("file", "batch")
 
     def errors() -> DataFrame:
-        events = log.memo("stored events", lambda: stored(log))
-        return events.filter("event = 'other' and error is not null").groupBy("app_key").agg(F.min("error").alias("error"))
+        return log.stored_events().filter("event = 'other' and error is not null").groupBy("app_key").agg(F.min("error").alias("error"))
 
     lines = lambda: apart(parsed(listed, path)).filter(F.col("error").isNull()).drop("error", "file")
     log = EventLog(lines, apart(files), stored=stored, errors=errors)

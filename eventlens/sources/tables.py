@@ -16,8 +16,9 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.operators.ordering import new_path
+from eventlens.operators.ordering import new_path, times_cleared
 from eventlens.sources.events import SQL_UI, EventLog, store_events, stored_events
+from eventlens.sources.files import state_of
 
 PHASES = {
     "app_start": 0, "environment": 1, "executors": 2, "sql_start": 3, "job_start": 4, "stage_submitted": 5,
@@ -175,7 +176,7 @@ def _executor_removed(star: Star) -> DataFrame:
     )
 
 
-def _job_start(star: Star, reruns: bool) -> DataFrame:
+def _job_start(star: Star) -> DataFrame:
     # at most seven line numbers per order
     stages = star.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("numbers"))
     orders = star.orders.join(stages, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -184,29 +185,26 @@ def _job_start(star: Star, reruns: bool) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("spark.sql.execution.id"),
         F.lit("default").alias("spark.scheduler.pool"),
     )
-    jobs = [
-        _lines(
-            orders, "o_custkey", position("job_start", F.col("start_ms"), F.col("o_orderkey")), "SparkListenerJobStart",
-            **{"Job ID": F.col("o_orderkey"), "Submission Time": F.col("start_ms"), "Stage IDs": ids, "Properties": properties},
-        )
-    ]
-    if reruns:
-        # a second job lists every even-numbered stage of a SQL execution again, in the middle of its tasks
-        again = (
-            star.items.filter("l_linenumber % 2 = 0")
-            .select("o_custkey", "o_orderkey", "stage_id", "launch_ms").distinct()
-        )
-        jobs.append(
-            _lines(
-                again, "o_custkey", position("tasks", F.col("launch_ms") + 25500, F.col("stage_id")), "SparkListenerJobStart",
-                **{
-                    "Job ID": F.col("stage_id") + RERUN,
-                    "Stage IDs": F.array("stage_id"),
-                    "Properties": F.struct((F.col("o_orderkey") + RERUN).cast("string").alias("spark.sql.execution.id")),
-                },
-            )
-        )
-    return _union(jobs)
+    return _lines(
+        orders, "o_custkey", position("job_start", F.col("start_ms"), F.col("o_orderkey")), "SparkListenerJobStart",
+        **{"Job ID": F.col("o_orderkey"), "Submission Time": F.col("start_ms"), "Stage IDs": ids, "Properties": properties},
+    )
+
+
+def _job_reruns(star: Star) -> DataFrame:
+    """A second job lists every even-numbered stage of a SQL execution again, in the middle of its tasks."""
+    again = (
+        star.items.filter("l_linenumber % 2 = 0")
+        .select("o_custkey", "o_orderkey", "stage_id", "launch_ms").distinct()
+    )
+    return _lines(
+        again, "o_custkey", position("tasks", F.col("launch_ms") + 25500, F.col("stage_id")), "SparkListenerJobStart",
+        **{
+            "Job ID": F.col("stage_id") + RERUN,
+            "Stage IDs": F.array("stage_id"),
+            "Properties": F.struct((F.col("o_orderkey") + RERUN).cast("string").alias("spark.sql.execution.id")),
+        },
+    )
 
 
 def _stage_submitted(star: Star) -> DataFrame:
@@ -392,34 +390,37 @@ def _sql_end(star: Star) -> DataFrame:
     )
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_LOGS: dict[tuple, EventLog] = {}
 
 
-def _stored_once(spark: SparkSession, sf_dir: str, kind: str) -> Callable[[EventLog], DataFrame]:
-    """Parses the lines of a log once for all queries of a session on the same tables."""
+def _log_once(spark: SparkSession, sf_dir: str, kind: str, tables: list[str], build: Callable[[], EventLog]) -> EventLog:
+    """One log for all queries of a session on the same tables, so that these parse its lines once and share what several
+    of them need. Tables that were replaced, and steps whose files were deleted, make it a new one."""
+    state = state_of(spark, [f"{sf_dir}/{name}.parquet" for name in tables])
+    key = (spark.sparkContext.applicationId, sf_dir, kind, times_cleared(), state)
+    if key not in _LOGS:
+        _LOGS[key] = build()
+    return _LOGS[key]
 
-    def stored(log: EventLog) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, kind)
-        if key not in _STORED:
-            path = new_path(spark)
-            store_events(log.lines, path)
-            _STORED[key] = path
-        return stored_events(spark, _STORED[key])
 
-    return stored
+def _stored(log: EventLog) -> DataFrame:
+    path = new_path(log.lines.sparkSession)
+    store_events(log.lines, path)
+    return stored_events(log.lines.sparkSession, path)
 
 
 def application_log(spark: SparkSession, sf_dir: str, reruns: bool = False) -> EventLog:
-    """Customers as applications, orders as jobs, line items as tasks, every order also as a SQL execution."""
+    """Customers as applications, orders as jobs, line items as tasks, every order also as a SQL execution. With `reruns`
+    some stages are listed again by later jobs."""
     star = Star(spark, sf_dir)
     apps = star.orders.select(F.concat(F.lit("application_"), F.col("o_custkey")).alias("app_key"))
-    return EventLog(apps=apps, stored=_stored_once(spark, sf_dir, f"application {reruns}"), parts={
+    once = EventLog(apps=apps, stored=_stored, parts={
         "SparkListenerApplicationStart": lambda: _app_start(star),
         "SparkListenerEnvironmentUpdate": lambda: _environment(star),
         "SparkListenerExecutorAdded": lambda: _executor_added(star),
         "SparkListenerExecutorRemoved": lambda: _executor_removed(star),
         f"{SQL_UI}SparkListenerSQLExecutionStart": lambda: _sql_start(star),
-        "SparkListenerJobStart": lambda: _job_start(star, reruns),
+        "SparkListenerJobStart": lambda: _job_start(star),
         "SparkListenerStageSubmitted": lambda: _stage_submitted(star),
         f"{SQL_UI}SparkListenerDriverAccumUpdates": lambda: _driver_updates(star),
         "SparkListenerTaskEnd": lambda: _task_end(star),
@@ -427,6 +428,14 @@ def application_log(spark: SparkSession, sf_dir: str, reruns: bool = False) -> E
         f"{SQL_UI}SparkListenerSQLExecutionEnd": lambda: _sql_end(star),
         "SparkListenerApplicationEnd": lambda: _app_end(star),
     })
+    tables = ["customer", "orders", "lineitem"]
+    log = _log_once(spark, sf_dir, "application", tables, lambda: once)
+    if not reruns:
+        return log
+    again = EventLog(apps=apps, stored=_stored, parts={"SparkListenerJobStart": lambda: _job_reruns(star)})
+    return _log_once(spark, sf_dir, "application with reruns", tables, lambda: EventLog(
+        lambda: log.lines.unionByName(again.lines), apps=apps,
+        stored=lambda _: log.stored_events().unionByName(again.stored_events())))
 
 
 def activity_log(spark: SparkSession, sf_dir: str) -> EventLog:
@@ -442,7 +451,7 @@ def activity_log(spark: SparkSession, sf_dir: str) -> EventLog:
     users = events.groupBy("user_id").agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
     heap = F.floor(value * 1000000).cast("bigint")
     apps = events.select(F.concat(F.lit("application_"), F.col("user_id")).alias("app_key"))
-    return EventLog(apps=apps, stored=_stored_once(spark, sf_dir, "activity"), parts={
+    return _log_once(spark, sf_dir, "activity", ["events"], lambda: EventLog(apps=apps, stored=_stored, parts={
         "SparkListenerApplicationStart": lambda: _lines(
             users, "user_id", position("app_start", F.col("first_ms")), "SparkListenerApplicationStart",
             **{"App ID": F.concat(F.lit("application_"), F.col("user_id")), "App Name": F.concat(F.lit("user "), F.col("user_id")),
@@ -471,4 +480,4 @@ def activity_log(spark: SparkSession, sf_dir: str) -> EventLog:
                 (event_id % 4 + 1).cast("string").alias("spark.executor.cores"))}),
         "SparkListenerApplicationEnd": lambda: _lines(
             users, "user_id", position("app_end", F.col("last_ms")), "SparkListenerApplicationEnd", Timestamp=F.col("last_ms")),
-    })
+    }))

@@ -202,6 +202,50 @@ def test_stored_events_give_the_same_results(spark, folder, make_log):
     assert "from_json" not in plan
 
 
+def test_files_of_given_names(spark, folder):
+    rows = [(f"application_{i % 7}", i, f"{i} ü") for i in range(500)] + [("appstatus_application_1", 0, None)]
+    lines = spark.createDataFrame(rows, "file_name string, seq bigint, value string").repartition(5)
+    counted = {r.file_name: r.lines for r in files.write_files(lines, str(folder / "new")).collect()}
+    assert sorted(p.name for p in (folder / "new").iterdir()) == sorted(counted)
+    assert counted["appstatus_application_1"] == 0 and sum(counted.values()) == 500
+    assert (folder / "new" / "application_3").read_text() == "".join(f"{i} ü\n" for i in range(3, 500, 7))
+
+
+def test_deletion_counts_what_it_writes(spark, folder, make_log):
+    start = lambda i: json.dumps({"Event": "SparkListenerApplicationStart", "App ID": f"id{i}", "App Name": "n", "Timestamp": 1})
+    results = summary.app_summary(make_log([start(i) for i in range(40)], [f"a{i}" for i in range(40)]))
+    summary.write_csv(results, str(folder / "csv"))
+    unwanted = spark.createDataFrame([(f"id{i}",) for i in (1, 5, 5, 99)], "`Application ID` string")
+    counts = report.rewrite_without(spark, str(folder / "csv"), unwanted, str(folder / "less"))
+    left = summary.read_csv(spark, str(folder / "less"))
+    assert counts.collect() == report.deletion_counts(results, unwanted).collect() == [(2, 38)]
+    assert left.columns == list(summary.SUMMARY_COLUMNS) and left.count() == 38
+    assert left.filter("`Max Shuffle Read Stage ID` = ''").count() == 38
+
+
+def test_large_report_is_written_by_many_tasks(spark, folder):
+    rows = [("metrics_report_a.txt", "a", 1, f"{i:05d}", f"line {i}") for i in range(900)] + [("metrics_report_b.txt", "b", 1, "", "only")]
+    document = spark.createDataFrame(rows, "file_name string, app_name string, section int, item string, line string").repartition(6)
+    report.write_report(document, str(folder / "report"))
+    parts = sorted((folder / "report" / "file_name=metrics_report_a.txt").glob("part-*"))
+    assert len(parts) > 1 and "".join(p.read_text() for p in parts) == "".join(f"line {i}\n" for i in range(900))
+
+
+def test_results_after_clear(spark, folder):
+    """Queries work on after the written steps were deleted, and see tables that were replaced."""
+    from eventlens.operators import ordering
+    from eventlens.queries.registry import QUERIES
+
+    given = "/root/testdata/sf0.001"
+    for name in ("customer", "orders", "lineitem"):
+        spark.read.parquet(f"{given}/{name}.parquet").limit(300).write.parquet(str(folder / f"{name}.parquet"))
+    first = QUERIES["app_lifecycle"](spark, str(folder)).count()
+    ordering.clear(spark)
+    assert QUERIES["app_lifecycle"](spark, str(folder)).count() == first > 0
+    spark.read.parquet(f"{given}/orders.parquet").limit(3).write.mode("overwrite").parquet(str(folder / "orders.parquet"))
+    assert QUERIES["app_lifecycle"](spark, str(folder)).count() <= 3
+
+
 def test_real_log(spark, folder):
     """A log written by Spark itself, in another process."""
     import subprocess

@@ -236,6 +236,31 @@ def test_sql_executions(make_log):
     log = make_log([job(9, [1], 1), sql(1, node("A", children=[node("B")]), time=5), job(0, [1], 1), job(1, [2], 1)])
     got = row(detail.sql_executions(log))
     assert (got["jobs"], got["first_job"], got["last_job"], got["plan_root"], got["plan_nodes"]) == (2, 0, 1, "A", 2)
+    assert json.loads(got["plan"]) == node("A", children=[node("B")])
+
+
+def test_plan_nodes_of_any_shape(make_log):
+    """Pre-order and post-order of a wide and deep tree, names listed twice, missing fields, plans that are none."""
+    tree_of = lambda depth, tag: node(tag, f"t{tag}", [("m", depth), ("m", depth + 1), ("k", 7)], [
+        tree_of(depth - 1, f"{tag}.{i}") for i in range(3 if depth % 2 else 11)] if depth else [])
+    plan = tree_of(3, "r")
+    wanted, done = [], iter(range(10**6))
+
+    def walk(n, path):
+        at = len(wanted)
+        wanted.append(None)
+        for i, child in enumerate(n["children"]):
+            walk(child, [*path, i])
+        wanted[at] = (at, next(done), len(path), path, n["nodeName"])
+
+    walk(plan, [])
+    odd = [sql(i, p) for i, p in enumerate(["text", [1], 5, None, {}, {"children": None, "metrics": None, "metadata": None}], 10)]
+    nodes = tree.plan_nodes(make_log([sql(1, plan), *odd])).orderBy("execution_id", "pos").collect()
+    got = [(r.pos, r.post_pos, r.depth, r.path, r.node_name) for r in nodes if r.execution_id == 1]
+    assert got == wanted and len(got) > 130
+    assert nodes[0].metrics == {"m": 4, "k": 7} and nodes[0].simple_string == "tr"
+    rest = [(r.execution_id, r.pos, r.post_pos, r.node_name, r.simple_string, r.metrics) for r in nodes if r.execution_id != 1]
+    assert rest == [(14, 0, 0, "Unknown", "", {}), (15, 0, 0, "Unknown", "", {})]
 
 
 def test_operation_list(make_log):
@@ -288,13 +313,27 @@ def test_renaming(make_log):
     assert got[1:] == ['{"n":"my-spark-job-2024-01-02"}', '{"n":"old-2025-05-05-z my-spark-job-2024-01-02"}']
 
 
-def test_detail_documents_are_json(make_log):
-    log = make_log([start(), sql(1, scan()), job(0, [1], 1), task(1, read=5)])
-    parts = {}
-    for r in detail.detail_documents(log).collect():
-        parts.setdefault(r.part, []).append(json.loads(r.json))
-    assert set(parts) == {"stages", "sqlExecutions", "executorTimeSeries", "reads"}
-    assert parts["stages"][0]["input_bytes"] == 5
+def test_detail_documents(spark, make_log, tmp_path):
+    """Each application's entries, also of one that is written by several tasks, are one JSON document in its files' order."""
+    events, apps = [], []
+    for app, n in (("big", 400), ("small", 2)):
+        command = "Execute InsertIntoHadoopFsRelationCommand"
+        write = node(command, f"{command} hdfs://o, false, Parquet, [path=x], Overwrite, [c]", [("number of written files", 1)], [scan()])
+        of_app = [start(), added("1", 2000), sql(1, write), *[job(i, [i], 1) for i in range(n)], updates(1, (6, 3), (1, 2)), *[task(i, read=5) for i in range(n)]]
+        events += of_app
+        apps += [app] * len(of_app)
+    documents = detail.detail_documents(make_log(events, apps))
+    detail.write_documents(documents, f"file://{tmp_path}/detail")
+    for app, n in (("big", 400), ("small", 2)):
+        files = sorted((tmp_path / "detail" / f"app_key={app}").glob("part-*"))
+        assert app != "big" or len(files) > 1
+        whole = json.loads("".join(f.read_text() for f in files))
+        assert list(whole) == list(detail.PARTS)
+        assert [j["job_id"] for j in whole["jobs"]] == [s["stage_id"] for s in whole["stages"]] == list(range(n))
+        assert whole["stages"][0]["input_bytes"] == 5 and whole["reads"][0]["files_read"] == 3 and whole["writes"][0]["mode"] == "Overwrite"
+        assert [p["node_name"] for p in whole["planNodes"]] == [command, "Scan parquet "]
+        assert whole["sqlExecutions"][0]["plan"]["children"][0]["nodeName"] == "Scan parquet "
+        assert whole["executorTimeSeries"][-1] == {"time": 2000, "seconds": 1.0, "count": 1}
 
 
 def test_totals_do_not_depend_on_partitions(spark, make_log):
