@@ -159,10 +159,6 @@ def name_without_date(name: Column) -> Column:
     return F.regexp_replace(name, r"-\d{4}-\d{2}-\d{2}", "")
 
 
-def date_in_name(name: Column) -> Column:
-    return F.nullif(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
-
-
 def history_link(base_url: str, app_id: Column) -> Column:
     base = base_url[:-1] if base_url.endswith("/") else base_url
     return F.concat(F.lit(f"{base}/history/"), app_id, F.lit("/"))
@@ -197,6 +193,7 @@ def scan_partition_filters(metadata: Column) -> Column:
 def write_target(node_name: Column, text: Column) -> tuple[Column, Column, Column]:
     """Path, format and mode of a write node, read by position from its text ("Unknown" where absent)."""
     unknown = F.lit("Unknown")
+    # The names of the write commands and how their texts begin.
     prefix = "Execute InsertIntoHadoopFsRelationCommand "
     insert = node_name.contains("InsertIntoHadoopFsRelationCommand") & text.startswith(prefix)
     save_node = ~node_name.contains("InsertIntoHadoopFsRelationCommand") & node_name.contains(

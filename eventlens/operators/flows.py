@@ -187,6 +187,7 @@ def plan_text_paths(log: EventLog, more_schemes: bool = False) -> DataFrame:
     """
     where = MORE_PLAN_PATH if more_schemes else PLAN_PATH
     text = F.col("plan_text")
+    # How a plan's text names scans, and the words of write commands.
     scan = rf"(?s)Scan\s+(\w+).*?Location:.*?({where})"
     found = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(scan), 1).alias("format"),

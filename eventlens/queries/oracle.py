@@ -51,7 +51,7 @@ NODE_METRICS = {
     "orc": {"number of files read": 14, "size of files read": 15, "number of output rows": 16},
 }
 NODE_METADATA = {
-    "read": """'{"Format":"Parquet","Location":"InMemoryFileIndex(1 paths)[hdfs://nn/in/' || o_orderstatus || ']","PartitionFilters":"[]"}'""",
+    "read": """'{"Format":"' || r_class || '","Location":"InMemoryFileIndex(1 paths)[hdfs://nn/in/' || o_orderstatus || ']","PartitionFilters":"[]"}'""",
     "orc": """'{"Format":"org.apache.OrcFileFormat","Location":"InMemoryFileIndex(1 paths)[hdfs://nn/more]","PartitionFilters":"[isnotnull(p#1)]"}'""",
 }
 
@@ -75,7 +75,7 @@ def plan_json() -> str:
         ("HashAggregate", "'HashAggregate(keys=[o_orderstatus#1], functions=[])'", "agg"),
         ("WholeStageCodegen (2)", "'WholeStageCodegen (2)'", None), ("AdaptiveSparkPlan", "'AdaptiveSparkPlan isFinalPlan=false'", None),
         ("Execute InsertIntoHadoopFsRelationCommand",
-         "'Execute InsertIntoHadoopFsRelationCommand hdfs://nn/out/' || o_orderpriority || ', false, Parquet, [path=x], Overwrite, [c]'", "write"),
+         "'Execute InsertIntoHadoopFsRelationCommand hdfs://nn/out/' || o_orderpriority || ', false, ' || w_format || ', [path=x], ' || w_mode || ', [c]'", "write"),
     ):
         plan = node(name, text, kind, plan)
     return plan
@@ -136,19 +136,22 @@ late AS (SELECT app_key, count(*) AS n FROM t WHERE outcome = 'failed' AND EXIST
 pt AS (SELECT app_key, {big('sum(n)')} AS preempted_tasks FROM (
       SELECT app_key, count(*) AS n FROM t WHERE outcome = 'text' GROUP BY app_key UNION ALL SELECT * FROM late) GROUP BY app_key),
 heap AS (SELECT app_key, greatest(max(l_partkey * 1000000) FILTER (m), 0) AS peak_heap FROM t GROUP BY app_key),
-sq AS (SELECT *, o_orderkey AS k, {big('floor(o_totalprice)')} AS price, o_orderstatus <> 'P' AS ran, o_orderkey % 3 = 0 AS two FROM o),
+sq AS (SELECT *, o_orderkey AS k, {big('floor(o_totalprice)')} AS price, o_orderstatus <> 'P' AS ran, o_orderkey % 3 = 0 AS two,
+    ['Overwrite', 'Append', 'ErrorIfExists', 'Ignore'][o_orderkey % 4 + 1] AS w_mode, ['Parquet', 'ORC', 'CSV', 'JSON', 'Text'][o_orderkey % 5 + 1] AS w_format,
+    ['Parquet', 'x.OrcFileFormat', 'x.BinaryFileFormat', 'x.JsonFileFormat', 'x.CsvFileFormat', 'Avro', 'x.ParquetFileFormat'][o_orderkey % 7 + 1] AS r_class,
+    ['Parquet', 'ORC', 'Binary', 'JSON', 'CSV', 'Avro', 'Parquet'][o_orderkey % 7 + 1] AS r_format FROM o),
 tio AS (SELECT o_orderkey AS k, {big('sum(input_bytes)')} AS ib, {big('sum(input_records)')} AS ir, {big('sum(output_bytes)')} AS ob,
     {big('sum(output_records)')} AS orr, {big('count(*) FILTER (output_bytes > 0)')} AS files FROM t GROUP BY o_orderkey),
 sx AS (SELECT sq.*, coalesce(ib, 0) AS ib, coalesce(ir, 0) AS ir, coalesce(ob, 0) AS ob, coalesce(orr, 0) AS orr, coalesce(files, 0) AS files
     FROM sq LEFT JOIN tio USING (k)),
 wm AS (SELECT app_key, k AS execution_id, greatest(CASE WHEN ran THEN k % 3 ELSE 0 END, files) AS files_written,
     greatest(CASE WHEN ran THEN k % 100 ELSE 0 END, orr) AS rows, greatest(CASE WHEN ran THEN price * 2 ELSE 0 END, ob) AS bytes_written,
-    'hdfs://nn/out/' || o_orderpriority AS file_path, 'Parquet' AS format, 'Overwrite' AS mode FROM sx),
+    'hdfs://nn/out/' || o_orderpriority AS file_path, w_format AS format, w_mode AS mode FROM sx),
 wt AS (SELECT app_key, {big('sum(files_written)')} AS files_written, {big('sum(rows)')} AS rows_written, {big('sum(bytes_written)')} AS bytes_written,
     {big('CASE WHEN sum(files_written) > 0 THEN sum(bytes_written) // sum(files_written) ELSE 0 END')} AS average_file_size FROM wm GROUP BY app_key),
-nodes AS (SELECT app_key, k, two, ran, o_orderstatus, o_orderpriority, price, n.* FROM sq, LATERAL (
+nodes AS (SELECT app_key, k, two, ran, o_orderstatus, o_orderpriority, price, w_mode, w_format, r_class, r_format, n.* FROM sq, LATERAL (
     SELECT * FROM (VALUES
-      (0, 0, 'Execute InsertIntoHadoopFsRelationCommand', 'Execute InsertIntoHadoopFsRelationCommand hdfs://nn/out/' || o_orderpriority || ', false, Parquet, [path=x], Overwrite, [c]', 'write', 4),
+      (0, 0, 'Execute InsertIntoHadoopFsRelationCommand', 'Execute InsertIntoHadoopFsRelationCommand hdfs://nn/out/' || o_orderpriority || ', false, ' || w_format || ', [path=x], ' || w_mode || ', [c]', 'write', 4),
       (1, 1, 'AdaptiveSparkPlan', 'AdaptiveSparkPlan isFinalPlan=false', NULL, 0),
       (2, 2, 'WholeStageCodegen (2)', 'WholeStageCodegen (2)', NULL, 0),
       (3, 3, 'HashAggregate', 'HashAggregate(keys=[o_orderstatus#1], functions=[])', 'agg', 1),
@@ -168,7 +171,7 @@ metric AS (SELECT nodes.*, v.* FROM nodes, LATERAL (SELECT * FROM (VALUES
     ) m(node_kind, metric, acc, value)) v WHERE v.node_kind = nodes.kind AND nodes.ran AND node_name <> 'Scan orc '),
 rm AS (SELECT app_key, k AS execution_id, CASE WHEN two THEN 9 ELSE 8 END AS node_pos,
     CASE WHEN ran THEN k % 4 ELSE 0 END AS f0, ir AS rows, greatest(CASE WHEN ran THEN price ELSE 0 END, ib) AS bytes_read,
-    CASE WHEN ran THEN 1::BIGINT ELSE 0::BIGINT END AS partitions_read, 'hdfs://nn/in/' || o_orderstatus AS file_path, 'Parquet' AS format, 'None' AS partition_filters FROM sx),
+    CASE WHEN ran THEN 1::BIGINT ELSE 0::BIGINT END AS partitions_read, 'hdfs://nn/in/' || o_orderstatus AS file_path, r_format AS format, 'None' AS partition_filters FROM sx),
 rd AS (SELECT app_key, execution_id, node_pos, CASE WHEN f0 = 0 AND bytes_read > 0 THEN 1 ELSE f0 END AS files_read, rows, bytes_read, partitions_read, file_path, format, partition_filters FROM rm),
 blocks AS (SELECT o_orderkey AS k, min(l_linenumber) AS n FROM st GROUP BY o_orderkey),
 guess AS (SELECT sq.app_key, k, [x FOR x IN [k % 500, k % 77] IF x <> 0 AND x <> k % 50 AND x < k % 900 + n * 10] AS c1,
@@ -328,7 +331,7 @@ chosen AS (SELECT app_key, min(k) AS k FROM sq GROUP BY app_key, o_orderpriority
 heads AS (SELECT sx.*, {when_text('start_ms')} AS start_time, {r2('(k % 1000) / 1000.0')} AS duration_sec FROM sx JOIN chosen USING (app_key, k)),
 ops AS (SELECT h.app_key, h.k, h.o_orderpriority, h.start_time, h.duration_sec, s.* FROM heads h LEFT JOIN fi ON fi.execution_id = h.k, LATERAL (SELECT * FROM (VALUES
   (1, 'Read Parquet', CASE WHEN ran AND h.k % 4 > 0 THEN h.k % 4 ELSE (greatest(CASE WHEN ran THEN price ELSE 0 END, ib) > 0)::BIGINT END, ir, greatest(CASE WHEN ran THEN price ELSE 0 END, ib),
-     'hdfs://nn/in/' || o_orderstatus, 'Parquet', NULL, 'None', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN ran AND h.k % 300 > 0 THEN {r2('(h.k % 300)::DOUBLE / 1000.0')} END),
+     'hdfs://nn/in/' || o_orderstatus, r_format, NULL, 'None', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN ran AND h.k % 300 > 0 THEN {r2('(h.k % 300)::DOUBLE / 1000.0')} END),
   (2, CASE WHEN two THEN 'Read Orc' END, 0, 0, 0, 'hdfs://nn/more', 'ORC', NULL, '[isnotnull(p#1)]', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
   (3, CASE WHEN two THEN 'Union' END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
   (4, 'Filter', NULL, NULL, NULL, NULL, NULL, NULL, NULL, '(o_totalprice#3 > 100.0)', coalesce(inferred_rows, 0), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
@@ -338,7 +341,7 @@ ops AS (SELECT h.app_key, h.k, h.o_orderpriority, h.start_time, h.duration_sec,
      CASE WHEN ran AND h.k % 1000 > 0 THEN h.k % 1000 * 1024 END, CASE WHEN ran AND h.k % 50 > 0 THEN h.k % 50 END, CASE WHEN ran AND h.k % 9 > 0 THEN {r2('(h.k % 9 * 250)::DOUBLE / 1000.0')} END),
   (8, 'Aggregate', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'o_orderstatus#1', '', true, NULL, NULL, NULL, NULL, CASE WHEN ran AND h.k % 11 > 0 THEN {r2('(h.k % 11 * 100)::DOUBLE / 1000.0')} END),
   (9, 'Write', greatest(CASE WHEN ran THEN h.k % 3 ELSE 0 END, files), greatest(CASE WHEN ran THEN h.k % 100 ELSE 0 END, orr), greatest(CASE WHEN ran THEN price * 2 ELSE 0 END, ob),
-     'hdfs://nn/out/' || o_orderpriority, 'Parquet', 'Overwrite', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN ran AND h.k % 700 > 0 THEN {r2('(h.k % 700)::DOUBLE / 1000.0')} END)
+     'hdfs://nn/out/' || o_orderpriority, w_format, w_mode, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN ran AND h.k % 700 > 0 THEN {r2('(h.k % 700)::DOUBLE / 1000.0')} END)
   ) v(pos, operation, files, rows, bytes, file_path, format, mode, partition_filters, condition, output_rows, selected_fields, aggregate_keys, aggregate_functions, is_distinct,
       partitioning, num_partitions, shuffle_bytes, shuffle_records, operation_sec) WHERE operation IS NOT NULL) s)"""
 
@@ -410,7 +413,7 @@ def oracle_sql() -> dict[str, str]:
         "tracked_nodes": app(f"{nodes}, kind, metrics::INTEGER AS metrics FROM nodes WHERE kind IS NOT NULL"),
         "op_details": app(f"""{nodes}, kind,
             CASE WHEN kind = 'write' THEN 'hdfs://nn/out/' || o_orderpriority WHEN pos = 10 THEN 'hdfs://nn/more' WHEN kind = 'read' THEN 'hdfs://nn/in/' || o_orderstatus END AS file_path,
-            CASE WHEN pos = 10 THEN 'ORC' WHEN kind IN ('read', 'write') THEN 'Parquet' END AS format, CASE WHEN kind = 'write' THEN 'Overwrite' END AS mode,
+            CASE WHEN pos = 10 THEN 'ORC' WHEN kind = 'read' THEN r_format WHEN kind = 'write' THEN w_format END AS format, CASE WHEN kind = 'write' THEN w_mode END AS mode,
             CASE WHEN pos = 10 THEN '[isnotnull(p#1)]' WHEN kind = 'read' THEN 'None' END AS partition_filters, CASE WHEN kind = 'filter' THEN '(o_totalprice#3 > 100.0)' END AS condition,
             CASE WHEN kind = 'project' THEN 'o_orderkey#1, o_orderstatus#2' END AS selected_fields, CASE WHEN kind = 'agg' THEN 'o_orderstatus#1' END AS aggregate_keys,
             CASE WHEN kind = 'agg' THEN '' END AS aggregate_functions, CASE WHEN kind = 'agg' THEN true END AS is_distinct,

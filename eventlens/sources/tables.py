@@ -77,7 +77,14 @@ class Star:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self.table("orders").repartition("o_orderkey").withColumn("start_ms", millis("o_orderdate"))
+        """Orders as SQL executions differ in what they write, how, and in the class that reads their input."""
+        one_of = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % len(names) + 1).cast("int"))
+        return self.table("orders").repartition("o_orderkey").withColumns({
+            "start_ms": millis("o_orderdate"),
+            "o_mode": one_of("Overwrite", "Append", "ErrorIfExists", "Ignore"),
+            "o_written": one_of("Parquet", "ORC", "CSV", "JSON", "Text"),
+            "o_reader": one_of("Parquet", "x.OrcFileFormat", "x.BinaryFileFormat", "x.JsonFileFormat", "x.CsvFileFormat", "Avro", "x.ParquetFileFormat"),
+        })
 
     @cached_property
     def lineitem(self) -> DataFrame:
@@ -311,7 +318,7 @@ def _plan(two_scans: bool) -> str:
         "Scan parquet ", "FileScan parquet", [],
         {"number of files read": 6, "size of files read": 7, "number of output rows": 8, "metadata time": 12,
          "number of partitions read": 13},
-        {"Location": "InMemoryFileIndex(1 paths)[hdfs://nn/in/{o_orderstatus}]", "Format": "Parquet", "PartitionFilters": "[]"},
+        {"Location": "InMemoryFileIndex(1 paths)[hdfs://nn/in/{o_orderstatus}]", "Format": "{o_reader}", "PartitionFilters": "[]"},
     )
     if two_scans:
         other = node(
@@ -331,7 +338,7 @@ def _plan(two_scans: bool) -> str:
         ("WholeStageCodegen (2)", "WholeStageCodegen (2)", {}),
         ("AdaptiveSparkPlan", "AdaptiveSparkPlan isFinalPlan=false", {}),
         ("Execute InsertIntoHadoopFsRelationCommand",
-         "Execute InsertIntoHadoopFsRelationCommand hdfs://nn/out/{o_orderpriority}, false, Parquet, [path=x], Overwrite, [c]",
+         "Execute InsertIntoHadoopFsRelationCommand hdfs://nn/out/{o_orderpriority}, false, {o_written}, [path=x], {o_mode}, [c]",
          {"number of written files": 0, "written output": 1, "number of output rows": 2, "task commit time": 9}),
     ]
     for name, text, metrics in steps:
