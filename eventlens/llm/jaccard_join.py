@@ -163,7 +163,8 @@ def _describe(levels: np.ndarray, bits: int, percent: int, shingle: int):
                     rare.append(tokens[order].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(rare, pa.list_(pa.int64()))], names=["id", "n", "digest", "rare"])
+                     pa.array(rare, pa.list_(pa.int64())), *part.columns[2:]],
+                    names=["id", "n", "digest", "rare", *part.schema.names[2:]])
 
     return describe
 
@@ -249,14 +250,27 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     components are compared, but for those that the first round rules out: as 1 - similarity is a metric, a set that is
     near the first one and a set far from it cannot be near each other.
     """
-    spark, texts = docs.sparkSession, docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    rows, found = _linked(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), percent, shingle, by_id=True)
+    smallest = found.groupBy("label").agg(F.min("id").alias("component_id"))
+    named = checkpointed(found.join(smallest, "label").select("digest", "component_id"))
+    discard(found)
+    return rows.join(named, "digest", "left").select(
+        F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _linked(texts: DataFrame, percent: int, shingle: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n, digest of the set, more columns of `texts`), and the component (digest, id, label) of each set that a
+    row with an id has. With `by_id` the sets of one id are linked, too."""
+    spark = texts.sparkSession
     loose = 100 - 2 * (100 - percent)  # further than twice the distance from what others are near to
     common = texts.select("text").mapInArrow(_count_common(BUCKET_BITS, shingle), "bucket bigint, n bigint").groupBy("bucket").agg(
         F.sum("n").alias("n")).toArrow()
     levels = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
     levels[common.column("bucket").to_numpy()] = np.log2(1 + common.column("n").to_numpy()).astype(np.uint8)
+    more = "".join(f", {c} {kind}" for c, kind in texts.dtypes[2:])
     rows = checkpointed(texts.mapInArrow(
-        _describe(levels, BUCKET_BITS, percent, shingle), "id bigint, n bigint, digest binary, rare array<bigint>"))
+        _describe(levels, BUCKET_BITS, percent, shingle), f"id bigint, n bigint, digest binary, rare array<bigint>{more}"))
     known = rows.where("id is not null and n > 0")
     classes = checkpointed(known.groupBy("digest").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("rare").alias("rare")
@@ -282,7 +296,8 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     starts = checkpointed(shared.where(led).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
     sets = sets_of(starts)
     first_round = _verified(starts, sets, percent, loose)
-    near = checkpointed(first_round.where(F.col("near") == NEAR).select("a", "b").union(_sharing_ids(rows, classes)))
+    near = first_round.where(F.col("near") == NEAR).select("a", "b")
+    near = checkpointed(near.union(_sharing_ids(rows, classes)) if by_id else near)
     labels = components(classes.select("node"), near)
     pairs = _remaining(shared, labels, first_round, percent)
     discard(starts, sets, shared, first_round, labels)
@@ -291,26 +306,33 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     labels = components(classes.select("node"), near.union(second_round.where(F.col("near") == NEAR).select("a", "b")))
     discard(pairs, sets, second_round, near)
 
-    smallest = classes.join(labels, "node").groupBy("label").agg(F.min("id").alias("component_id"))
-    found = checkpointed(classes.join(labels, "node").join(smallest, "label").select("digest", "component_id"))
+    found = checkpointed(classes.join(labels, "node").select("digest", "id", "label"))
     discard(labels, classes)
-    return rows.join(found, "digest", "left").select(
-        F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return rows, found
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns. Documents that are linked with
-    nothing, those with null ids among them, all stay. Of several texts with that id, the first in order stays."""
-    found = link_documents(docs, percent, shingle)
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    named = docs.join(stays, docs["doc_id"] == stays["_stays"]).drop("_stays")
-    first = Window.partitionBy(named["doc_id"]).orderBy(named["text"])
-    name = "_place"
-    while name in docs.columns:
-        name = f"_{name}"
-    return named.withColumn(name, F.row_number().over(first)).where(F.col(name) == 1).drop(name).union(
-        docs.where(F.col("doc_id").isNull()))
+    """One document of each component, the one with the smallest id, with all its columns.
+
+    Documents that are linked with nothing all stay, so do those without words and those with null ids. Each text of an id
+    is judged on its own: different texts that share an id stay unless they are linked. Of the smallest id's texts in a
+    component, and of rows with equal id and text, one stays. Other columns may have any names.
+    """
+    name = lambda c: "_" * (1 + max(map(len, docs.columns))) + c  # noqa: E731  like no column of docs
+    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    rows, found = _linked(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text", key.alias("key")), percent, shingle, by_id=False)
+    known = rows.where("id is not null and n > 0").join(found.select("digest", "label"), "digest")
+    first = known.groupBy("label").agg(F.min(F.struct("id", "key")).alias("first")).select("first.*")
+    wordless = rows.where("id is not null and n = 0").select("id", "key").distinct()
+    stays = checkpointed(first.union(wordless).distinct().select(
+        F.col("id").cast(docs.schema["doc_id"].dataType).alias(name("id")), F.col("key").alias(name("key")), F.lit(True).alias(name("one"))))
+    discard(rows, found)
+    marked = docs.withColumn(name("own"), key)
+    kept = marked.join(stays, (marked["doc_id"] == stays[name("id")]) & (marked[name("own")] == stays[name("key")]))
+    # a third of all rows may be one; rows without words all stay
+    once = Window.partitionBy("doc_id", name("own")).orderBy(F.lit(1))
+    numbered = kept.withColumn(name("place"), F.row_number().over(once)).where(F.col(name("place")) == 1)
+    return numbered.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
 
 
 def _sharing_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eventlens.llm import jaccard_join, mixing, packing, substring_dedup
@@ -131,6 +132,36 @@ def test_mix_documents(spark, docs, rows, clashing, empty):
     assert mixing.mix_documents(empty).count() == 0
 
 
+def replayed(rows, block=mixing.BLOCK_WORDS, seed=mixing.SEED):
+    """What the mix takes of each document, slot by slot in plain Python: (id, digest, words taken) of all rows."""
+    streams = defaultdict(list)
+    for d, t, _, source, _ in rows:
+        digest = hashlib.md5((t or "").encode()).hexdigest()
+        streams[source].append(((d is not None, d or 0), digest, len(WORD.findall(t or ""))))
+    targets, out = mixing.targets({s: sum(n for *_, n in docs) for s, docs in streams.items()}), []
+    for number, source in enumerate(sorted(streams, key=lambda s: (s is None, s or ""))):
+        documents = sorted(streams[source])
+        owner = [i for i, (*_, n) in enumerate(documents) for _ in range(n)]
+        blocks = -(-len(owner) // block)
+        taken = [0] * len(documents)
+        slots = min(3 * blocks, round(targets[source] * blocks / len(owner))) if blocks else 0
+        for slot in range(slots):
+            key = seed * 1_000_003 + number * 8191 + slot // blocks
+            at = int(mixing.permuted(np.array([slot % blocks]), blocks, key)[0])
+            for i in owner[at * block: (at + 1) * block]:
+                taken[i] += 1
+        out += [(d, digest, n) for (d, digest, _), n in zip(documents, taken)]
+    return sorted(out)
+
+
+def test_taken_words_equal_a_replay(docs, rows):
+    taken = mixing.mix_documents(docs).collect()
+    assert sorted(((r.doc_id is not None, r.doc_id or 0), r["size"], r.taken) for r in taken) == sorted(
+        (d, size, n) for (d, digest, n), size in zip(replayed(rows), [
+            len(WORD.findall(t or "")) for _, _, t in sorted(
+                ((d is not None, d or 0), hashlib.md5((t or "").encode()).hexdigest(), t or "") for d, t, *_ in rows)]))
+
+
 def test_mixed_texts(docs, rows, empty):
     taken = Counter()
     for r in mixing.mix_documents(docs).collect():
@@ -301,14 +332,50 @@ def test_components(spark):
     assert got == {x: 0 if x <= 20 else 21 if x <= 40 else 50 if x < 80 else x for x in nodes}
 
 
-def test_one_of_each(docs, rows):
-    groups = defaultdict(set)
-    for d, _, c in brute_links(rows, 85, 4):
-        if d is not None:
-            groups[c].add(d)
-    kept = jaccard_join.one_of_each(docs).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(groups)
-    assert sum(r.doc_id is None for r in kept) == sum(d is None for d, *_ in rows)
+def brute_kept(rows, percent, n):
+    """Texts by id that stay: one of each component of linked sets, judged text by text."""
+    texts = sorted({(d, t or "") for d, t, *_ in rows if d is not None}, key=lambda x: (x[0], hashlib.md5(x[1].encode()).digest()))
+    sets = [shingle_set(t, n) for _, t in texts]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return [x for i, x in enumerate(texts) if group[i] == i]
+
+
+def shingle_set(text, n):
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return {tuple(w[i: i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_one_of_each(spark, docs, rows, empty):
+    short = [r for r in rows if len(r[1] or "") < 20_000]
+    for given, df in ((rows, docs), (short, docs.where("char_length(coalesce(text, '')) < 20000"))):
+        kept = jaccard_join.one_of_each(df).collect()
+        assert sum(r.doc_id is None for r in kept) == sum(d is None for d, *_ in given)
+    assert sorted((r.doc_id, r.text or "") for r in kept if r.doc_id is not None) == sorted(brute_kept(short, 85, 4))
+    # texts that share an id and are linked with nothing all stay
+    same_id = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (1, "one two three four five"), (2, "one two three four five"), (3, None), (3, "")],
+                                    "doc_id bigint, text string")
+    assert sorted(map(tuple, jaccard_join.one_of_each(same_id).select("doc_id", F.coalesce("text", F.lit(""))).collect())) == [
+        (1, "alpha beta gamma delta epsilon"), (1, "one two three four five"), (3, "")]
+    assert jaccard_join.one_of_each(empty).count() == 0
+
+
+OWN_NAMES = ["parts", "_copies", "_source", "_name", "_texts", "_digest", "_rank", "_row", "_doc", "_key", "_stays", "_place", "key", "n", "digest", "id",
+             "label", "node", "first", "_own", "_one", "_id"]
+
+
+def test_stages_keep_columns_of_any_name(clashing):
+    more = clashing.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce("text", F.lit(""))) for c in OWN_NAMES if c not in clashing.columns})
+    added = [c for c in OWN_NAMES if c not in clashing.columns]
+    for stage in (jaccard_join.one_of_each, mixing.mixed_texts, substring_dedup.without_repeats):
+        got = stage(more)
+        assert got.columns == more.columns
+        wrong = got.where(" or ".join(f"`{c}` is null or not startswith(`{c}`, '{c} of ')" for c in added))
+        assert got.count() > 0 and wrong.count() == 0
 
 
 # --- pipeline ----------------------------------------------------------------------------------------------------
