@@ -522,6 +522,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT *, min(n) OVER (PARTITION BY app_key ORDER BY ts, tie) AS low FROM (SELECT *, sum(step) OVER (PARTITION BY app_key ORDER BY ts, tie) AS n FROM ex)) JOIN bounds USING (app_key)
             UNION ALL SELECT app_key, start_ms, 0.0, 0 FROM bounds)""") + ")"
     sql["detail_parts"] = f"SELECT app_key, part, count(*) AS rows, CAST(sum(strlen(json)) AS BIGINT) AS bytes FROM ({sql['detail_documents']}) GROUP BY ALL"
+    # without shuffle details, an exchange shows its write time alone, read as milliseconds
+    bare = {"partitioning": "NULL", "num_partitions": "NULL", "shuffle_bytes": "NULL", "shuffle_records": "NULL",
+            "operation_sec": f"CASE WHEN ran AND k % 9 > 0 THEN {r2('(k % 9 * 250000000)::DOUBLE / 1000.0')} END"}
+    replaced = ", ".join(f"CASE WHEN operation = 'Shuffle' THEN {e} ELSE s.{c} END AS {c}" for c, e in bare.items())
+    plain_columns = ("app_key", "execution_id", "description", "start_time", "duration_sec", "position", "operation", "files", "rows", "bytes", "average_size",
+                                 "file_path", "format", "mode", "partition_filters", "condition", "output_rows", "selected_fields", "aggregate_keys",
+                                 "aggregate_functions", "is_distinct")
+    sql["operation_list_plain"] = f"""SELECT {", ".join("s." + c for c in plain_columns)}, {replaced}
+        FROM ({sql["operation_list"]}) s JOIN (SELECT o_orderkey AS k, o_orderstatus <> 'P' AS ran FROM orders) ON k = s.execution_id"""
     users = "(SELECT DISTINCT app_key, user_id FROM e)"
     sql["file_inventory"] = act(f"SELECT app_key, app_key AS filename, CASE WHEN user_id % 2 = 0 THEN app_key ELSE 'appstatus_' || app_key END AS file FROM {users}")
     sql["file_resolution"] = act(f"""SELECT 'application_' || n AS filename, CASE WHEN u.user_id % 2 = 0 THEN app_key ELSE 'appstatus_' || app_key END AS file

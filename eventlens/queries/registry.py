@@ -340,6 +340,12 @@ def operation_list(spark, sf_dir):
     return operations.operation_list(application_log(spark, sf_dir))
 
 
+@query
+def operation_list_plain(spark, sf_dir):
+    """Steps without details of exchanges."""
+    return operations.operation_list(application_log(spark, sf_dir), full_shuffle=False)
+
+
 # --- summaries and reports -------------------------------------------------------------------------------------
 
 
