@@ -46,6 +46,14 @@ def split_words(text: str | None) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
+def slices(batches, *columns: int, rows: int = 256):
+    """Values of some columns of Arrow batches as lists, for a few rows at a time: a batch of long texts is not held twice."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
+            yield tuple(part.column(c).to_pylist() for c in columns)
+
+
 #: Rows of an id and a number that may be broadcast, some 100 MB in memory; larger tables are shuffled.
 BROADCAST_ROWS = 2_000_000
 

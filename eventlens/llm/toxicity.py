@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlens.llm.common import held_out, split_words, with_labels
+from eventlens.llm.common import held_out, slices, split_words, with_labels
 from eventlens.operators.ordering import checkpointed
 
 #: Letters that characters may stand for.
@@ -56,13 +56,13 @@ def _symbol_table() -> np.ndarray:
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table, counts = _symbol_table(), np.zeros(SYMBOLS**3, dtype=np.int64)
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            spaced = f"  {'  '.join(split_words((text or '').lower()))}  "  # a word starts after two boundaries
-            points = np.frombuffer(spaced.encode("utf-32-le", "replace"), dtype=np.uint32)
-            s = table[np.minimum(points, 0xFFFF)]
-            grams = (s[:-2] << 12) | (s[1:-1] << 6) | s[2:]
-            counts += np.bincount(grams, minlength=len(counts))
+    for (texts,) in slices(batches, 0):
+        # a word starts after two boundaries
+        spaced = f"  {'  '.join(w for text in texts for w in split_words((text or '').lower()))}  "
+        points = np.frombuffer(spaced.encode("utf-32-le", "replace"), dtype=np.uint32)
+        s = table[np.minimum(points, 0xFFFF)]
+        grams = (s[:-2] << 12) | (s[1:-1] << 6) | s[2:]
+        counts += np.bincount(grams, minlength=len(counts))
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["gram", "n"])
 
@@ -193,8 +193,8 @@ def _count_features(model: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored = Restorer(model, _features)
         counts, rows = np.zeros((2, 1 << FEATURE_BITS), dtype=np.int32), [0, 0]
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for part in slices(batches, 0, 1):
+            for text, label in zip(*part):
                 ids = np.fromiter({f for features in restored(text) for f in features}, dtype=np.int64)
                 counts[label, ids] += 1
                 rows[label] += 1
@@ -248,8 +248,8 @@ def _word_values(ratios: np.ndarray):
 def _count_strengths(model: np.ndarray, ratios: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored, counts = Restorer(model, _word_values(ratios)), np.zeros((STEPS, 2), dtype=np.int64)
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for part in slices(batches, 0, 1):
+            for text, label in zip(*part):
                 counts[min(int(_strength(restored(text)) / STEP), STEPS - 1), label] += 1
         used = np.flatnonzero(counts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
@@ -305,7 +305,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxicity") ->
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored = Restorer(model, _word_values(ratios))
         for batch in batches:
-            totals = np.array([_strength(restored(text)) for text in batch.column(text_at).to_pylist()], dtype=float)
+            totals = np.array([_strength(restored(text)) for (part,) in slices([batch], text_at) for text in part], dtype=float)
             scores = 1 / (1 + np.exp(-np.clip(slope * totals + offset, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
