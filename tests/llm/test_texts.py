@@ -423,8 +423,8 @@ def test_pipeline_stages(spark, rows, tmp_path):
     assert Counter(clean) == Counter(r for r in documents if not bad & set(WORD.findall(r[1] or "")))
     assert len(documents) - len(clean) == 75
 
-    leads = {c for _, _, c in brute_links(clean, 80, 5) if c is not None}
-    assert Counter(r[0] for r in single) == Counter([*leads, *(r[0] for r in clean if r[0] is None)])
+    assert Counter((r[0], r[1] or "") for r in single if r[0] is not None) == Counter(brute_kept(clean, 80, 5))
+    assert Counter(r for r in single if r[0] is None) == Counter(r for r in clean if r[0] is None)
     assert not Counter(single) - Counter(clean) and len(single) < len(clean)
 
     content = F.coalesce("text", F.lit(""))
