@@ -1,10 +1,11 @@
 """Logs written from tables keep only what a result asks for."""
 
 import datetime
+import json
 
 import pytest
 
-from eventlens.operators import lifecycle, ordering, tasks
+from eventlens.operators import detail, lifecycle, ordering, tasks
 from eventlens.sources.tables import application_log
 
 
@@ -41,3 +42,11 @@ def test_reruns_add_to_the_kept_views(spark, sf_dir):
     assert (log.view("job_start").count(), again.view("job_start").count()) == (2, 3)
     assert sorted(tasks.task_totals(again).collect()) == sorted(tasks.task_totals(log).collect())
     assert again.view("task_end").count() == 3
+
+
+def test_plan_texts_are_not_broadcast(spark, sf_dir):
+    found = detail.sql_executions(application_log(spark, sf_dir))
+    joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+    assert "SortMergeJoin" in joins[0]  # the last join brings the texts
+    roots = {json.loads(r.plan)["nodeName"] for r in found.collect()}
+    assert roots == {"Execute InsertIntoHadoopFsRelationCommand"}
