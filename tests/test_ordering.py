@@ -83,3 +83,12 @@ def test_as_of_with_many_events_in_one_group(spark, large):
     expected = [(g, s, r, min((s - 1) // 2, 99_999)) for g, s, r in rows if g == "hot" and s > 0]
     expected += [("once", s, -s, 7) for s in (51, 99)]
     assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 1 << 16])
+def test_large_groups_are_found_whatever_else_is_in_their_bucket(spark, monkeypatch, buckets):
+    monkeypatch.setattr(ordering, "BUCKETS", buckets)
+    sizes = {"a": 11, "b": 10, "c": 1, "d": 40, None: 12}
+    rows = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "g string, i int")
+    assert {r.g for r in ordering._large_groups(rows, ["g"], 10).collect()} == {"a", "d", None}
+    assert ordering._large_groups(rows, ["g"], 40) is None
