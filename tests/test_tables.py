@@ -58,3 +58,31 @@ def test_plans_are_not_moved_to_find_the_last_ones(spark, sf_dir):
     steps = found._jdf.queryExecution().sparkPlan().toString()
     assert "LeftAnti" in steps and "Aggregate" not in steps and "SortMergeJoin" not in steps
     assert sorted((r.app_key, r.execution_id) for r in found.collect()) == [("application_1", 5), ("application_1", 6)]
+
+
+def test_levels_of_a_plan_are_taken_in_one_step(spark, sf_dir):
+    """Each step of its own would copy all nodes found by then and all that lies below."""
+    nodes = tree.plan_nodes(application_log(spark, sf_dir))
+    steps = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.count("Project [") < 6
+    assert sorted(r.depth for r in nodes.filter("execution_id = 5").collect()) == list(range(9))
+
+
+def test_start_events_come_with_the_plans(spark, sf_dir):
+    alone = application_log(spark, sf_dir)
+    expected = sorted(alone.view("sql_start").collect())
+    ordering.clear(spark)
+    log = application_log(spark, sf_dir)
+    assert log.view("sql_plan").count() == 2
+    before = len(ordering.written())
+    assert sorted(log.view("sql_start").collect()) == expected
+    assert len(ordering.written()) == before  # no line is parsed again
+
+
+def test_driver_updates_are_not_sorted(spark, sf_dir):
+    log = application_log(spark, sf_dir)
+    for per_execution in (True, False):
+        values = tree.driver_values(log, per_execution)
+        assert "SortAggregate" not in values._jdf.queryExecution().sparkPlan().toString()
+    assert {r.acc_id - 120: r.value for r in values.filter("acc_id between 120 and 139").collect()} == {
+        0: 0, 1: 40, 2: 6, 3: 600, 4: 6144, 6: 2, 7: 20, 9: 6, 10: 6, 11: 1500000000, 12: 6, 13: 1}
