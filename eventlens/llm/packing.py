@@ -6,7 +6,9 @@ document borders. Putting the next largest piece where the cost is lowest evens
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,21 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024  # cost of a token, and of a pair of tokens
 GROUP_BYTES = 2 << 20  # text that is packed together, about 300 sequences; each group wastes less than one sequence
 CACHE_WORDS = 400_000
 
+#: Tokenizers that begin so hand their model the letters of a word in lower case and then its signs, byte by byte.
+LETTERS_THEN_SIGNS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: Letters that NFC leaves as they are, and ASCII signs but for those that begin endings or special tokens.
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+#: How byte-level models write bytes: printable ones of Latin-1 as themselves, the others by characters from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES_AS_TEXT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 _LOADED: dict[bytes, Encoder] = {}
 
 
@@ -28,7 +45,8 @@ class Encoder:
     """Ids of whole texts as little-endian bytes of `width` each, equal to the library's own.
 
     For tokenizers that drop white space (`split_at_spaces`), a text's ids are those of its words in a row. A bounded
-    number of words is remembered; new ones are encoded together, parted by a special token that no word contains.
+    number of words is remembered; new ones are encoded together, parted by a special token that no word contains. Where it
+    is known how the tokenizer takes words apart (LETTERS_THEN_SIGNS), plain words go to its model directly.
     """
 
     def __init__(self, model: bytes, split_at_spaces: bool):
@@ -43,12 +61,38 @@ class Encoder:
         special = sorted((i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()
                          if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word))
         self.parting = (special[0][0], special[0][1].content) if special else None
+        steps = json.loads(model)
+        self.plain = all(steps.get(step) == how for step, how in LETTERS_THEN_SIGNS.items()) and all(
+            t.special and t.content.startswith("<") for _, t in self.tokenizer.get_added_tokens_decoder().items())
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
 
+    def _plain(self, words: list[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of the plain words, and the other words."""
+        tokenize, parts, found, others = self.tokenizer.model.tokenize, {}, {}, []
+        for word in words:
+            split = PLAIN_WORD.fullmatch(word)
+            if split is None:
+                others.append(word)
+                continue
+            ids = b""
+            for part in split.groups():
+                if part and part not in parts:
+                    written = part.lower().encode("utf-8").decode("latin-1").translate(BYTES_AS_TEXT)
+                    parts[part] = b"".join([t.id.to_bytes(self.width, "little") for t in tokenize(written)])
+                ids += parts.get(part, b"")
+            found[word] = ids
+        return found, others
+
     def _words(self, words: list[str]) -> dict[str, bytes]:
+        if not self.plain:
+            return self._by_text(words)
+        found, others = self._plain(words)
+        return found | self._by_text(others)
+
+    def _by_text(self, words: list[str]) -> dict[str, bytes]:
         if self.parting is None:
             return dict(zip(words, self._whole(words)))
         parting, mark = self.parting
@@ -57,7 +101,9 @@ class Encoder:
         found = dict(zip(odd, self._whole(odd)))
         for start in range(0, len(plain), 2000):
             part = plain[start: start + 2000]
-            ids = np.array(self.tokenizer.encode(mark.join(part), add_special_tokens=False).ids, dtype=np.int64)
+            # of a batch, as that alone leaves out the places of the ids in the text
+            together = self.tokenizer.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0]
+            ids = np.array(together.ids, dtype=np.int64)
             cuts = np.flatnonzero(ids == parting)
             data, ends = ids[ids != parting].astype(self.kind).tobytes(), cuts - np.arange(len(cuts))
             at = [0, *(ends * self.width).tolist(), len(data)]
@@ -69,12 +115,14 @@ class Encoder:
             return self._whole(texts)
         split = [split_words(t) for t in texts]
         known = self.known
-        missing = list({w for words in split for w in words if w not in known})
-        new = self._words(missing)
+        ids = [[*map(known.get, words)] for words in split]  # each word is looked up once
+        some = [i for i, found in enumerate(ids) if None in found]
+        new = self._words(list({w for i in some for w, x in zip(split[i], ids[i]) if x is None}))
+        for i in some:
+            ids[i] = [new[w] if x is None else x for w, x in zip(split[i], ids[i])]
         if len(known) < CACHE_WORDS:
             known.update(new)
-            return [b"".join([known[w] for w in words]) for words in split]
-        return [b"".join([known[w] if w in known else new[w] for w in words]) for words in split]
+        return [b"".join(found) for found in ids]
 
 
 def encoder(model: bytes, split_at_spaces: bool) -> Encoder:

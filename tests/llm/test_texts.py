@@ -459,3 +459,17 @@ def test_pipeline_stages(spark, rows, tmp_path):
         filled[r.sequence_id] += r.length
         total[r.doc_id] += r.length
     assert max(filled.values()) <= 2048 and total == Counter({d: sum(map(len, x)) // 4 for d, x in ids.items()})
+
+
+def test_plain_words_go_to_the_model_of_the_tokenizer(monkeypatch):
+    """With the same ids as those of the whole tokenizer."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as file:
+        encode = packing.Encoder(file.read(), split_at_spaces=True)
+    plain = ["a", "Über", "ÉTÉ,", "naïve!?", "end.)", "Strasse", "straße;", "a~", "x_", "µ", "ÿ"]
+    other = ["don't", "it's", "<b>", "a<|endoftext|>", "ªº", "Ελλάς", "İx", "e\u0301", "a1", "12", "x_y", "×", ",", "ŒUF"]
+    seen, by_text = [], encode._by_text
+    monkeypatch.setattr(encode, "_by_text", lambda words: seen.extend(words) or by_text(words))
+    texts = [" ".join(plain + other), " ".join(reversed(plain))]
+    ids = [np.frombuffer(x, dtype=encode.kind).tolist() for x in encode(texts)]
+    assert ids == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(seen) == sorted([*other, "µ"])
