@@ -12,10 +12,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) for all `nodes` (node): the label is the smallest node that links (a, b) lead to.
 
     In every round a node takes the least label around it, and then the label of that label. Long chains so halve from
-    round to round. A round's labels are written to the checkpoint folder; rounds end when no label has changed.
+    round to round. A round's labels are written to the checkpoint folder; rounds end when no label has changed. Nodes
+    without links take no part in the rounds.
     """
     both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(nodes.select("node", F.col("node").alias("label")))
+    linked = nodes.select("node").join(both.select(F.col("a").alias("node")), "node", "left_semi")
+    labels = checkpointed(linked.select("node", F.col("node").alias("label")))
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(
             F.min("label").alias("seen"))
@@ -32,5 +34,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         changed = jumped.where("new < label").limit(1).count()
         discard(jumped)
         if not changed:
-            discard(both)
-            return labels
+            found = checkpointed(nodes.select("node").join(labels, "node", "left").select(
+                "node", F.coalesce("label", "node").alias("label")))
+            discard(both, labels)
+            return found

@@ -28,6 +28,10 @@ from eventlens.operators.ordering import checkpointed, discard
 SHINGLE, PERCENT = 4, 85
 #: Shingles that several sets of a stretch of text share are counted in this many buckets, to put them last in the order.
 BUCKET_BITS, STRETCH = 20, 500_000
+#: Tokens on several lists are marked in at most so many bits; more tokens are then taken for such, and left out by a count.
+MARK_BITS = 27
+SKETCH = 8  # numbers of 64 bits in a set's sketch
+TRIES = 3  # sets of its lists' main components that a set is compared with before all candidates are
 BLOCK = 256  # sets that are searched together
 GROUP = 1000  # candidates of one set that one task gets at a time
 BROADCAST_NODES = 4_000_000  # ids; above, texts are shuffled instead
@@ -50,6 +54,13 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Of each bucket of a set's shingles, whether they are odd in number. Sketches of two sets differ in no more bits than
+    there are shingles in only one of them (bitmap filter of Sandes, Teodoro and Melo, 2020)."""
+    odd = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 # --- DivideSkip --------------------------------------------------------------------------------------------------
 
 
@@ -148,27 +159,46 @@ def _count_common(bits: int, shingle: int):
 
 
 def _describe(levels: np.ndarray, bits: int, percent: int, shingle: int):
-    """Of each document: the size and digest of its set, and its rarest shingles with their places in the order."""
+    """Of each document: size, digest and sketch of its set, and its rarest shingles with their places in the order."""
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                sizes, digests, rare = [], [], []
+                sizes, digests, rare, sketches = [], [], [], []
                 for text in part.column(1).to_pylist():
                     tokens = shingles(text, shingle)
                     sizes.append(len(tokens))
                     digests.append(hashlib.md5(tokens.tobytes()).digest())
+                    sketches.append(sketch(tokens))
                     level = levels[(tokens >> np.uint64(64 - bits)).astype(np.int64)]
                     order = np.lexsort((tokens, level))[: prefix_length(len(tokens), percent) if len(tokens) else 0]
                     rare.append(tokens[order].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(rare, pa.list_(pa.int64())), *part.columns[2:]],
-                    names=["id", "n", "digest", "rare", *part.schema.names[2:]])
+                     pa.array(rare, pa.list_(pa.int64())),
+                     pa.array(sketches, pa.list_(pa.int64())), *part.columns[2:]],
+                    names=["id", "n", "digest", "rare", "sketch", *part.schema.names[2:]])
 
     return describe
 
 
+def _marked(marks: np.ndarray, bits: int):
+    """Rows of the lists for those rarest shingles of each class (node, n, rare) whose mark is set."""
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rare = batch.column(2)
+            tokens, lengths = rare.flatten().to_numpy(zero_copy_only=False), rare.value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            bucket = tokens.view(np.uint64) >> np.uint64(64 - bits)
+            on = np.flatnonzero(marks[bucket >> np.uint64(6)] >> (bucket & np.uint64(63)) & np.uint64(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(owner[on]), batch.column(1).take(owner[on]), pa.array(place[on].astype(np.int32)), pa.array(tokens[on])],
+                names=["node", "n", "place", "token"])
+
+    return marked
+
+
 def _sets(shingle: int):
     """Sets of the texts that are a class's own (rows of node, its digest, text), each once per task."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +275,11 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     gives no rows.
 
     Documents with equal sets form a class, found by digest, and only one of a class is searched for. Links inside large
-    groups of near copies are not all made: in a first round each set is compared with the first one of each of its lists.
-    What is linked by then is one component already. In the second round, candidates of different
-    components are compared, but for those that the first round rules out: as 1 - similarity is a metric, a set that is
-    near the first one and a set far from it cannot be near each other.
+    groups of near copies are not all made: in a first round each set is compared with the first one of each of its lists,
+    in a second one, if it is outside its lists' main components, with a few of their members. What is linked by then is
+    one component already. In the last round, all candidates of different components are compared, but for those that
+    the first round rules out: as 1 - similarity is a metric, a set that is near the first one and a set far from it
+    cannot be near each other. In no round are sets compared whose sketches show that they differ too much.
     """
     rows, found = _linked(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), percent, shingle, by_id=True)
     smallest = found.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -270,13 +301,13 @@ def _linked(texts: DataFrame, percent: int, shingle: int, by_id: bool) -> tuple[
     levels[common.column("bucket").to_numpy()] = np.log2(1 + common.column("n").to_numpy()).astype(np.uint8)
     more = "".join(f", {c} {kind}" for c, kind in texts.dtypes[2:])
     rows = checkpointed(texts.mapInArrow(
-        _describe(levels, BUCKET_BITS, percent, shingle), f"id bigint, n bigint, digest binary, rare array<bigint>{more}"))
+        _describe(levels, BUCKET_BITS, percent, shingle), f"id bigint, n bigint, digest binary, rare array<bigint>, sketch array<bigint>{more}"))
     known = rows.where("id is not null and n > 0")
     classes = checkpointed(known.groupBy("digest").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("rare").alias("rare")
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("sketch").alias("sketch")
     ).withColumn("node", F.monotonically_increasing_id()))
 
-    lists = classes.select("node", "n", F.posexplode("rare").alias("place", "token"))
+    lists = _lists(classes)
     tokens = lists.groupBy("token").agg(F.min(F.struct("node", "n", "place")).alias("first"), F.count("*").alias("sets")).where(
         "sets > 1")
     fit = _may_link(F.col("n"), F.col("place"), F.col("first.n"), F.col("first.place"), percent)
@@ -293,18 +324,28 @@ def _linked(texts: DataFrame, percent: int, shingle: int, by_id: bool) -> tuple[
         own = texts.join(F.broadcast(wanted) if few else wanted, "id").select("node", "digest", "text")
         return checkpointed(own.mapInArrow(_sets(shingle), "node bigint, tokens binary"))
 
-    starts = checkpointed(shared.where(led).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
+    x, y = (classes.select(F.col("node").alias(c), F.struct("n", "sketch").alias(f"of_{c}")) for c in "ab")
+    starts = shared.where(led).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    starts = checkpointed(starts.join(x, "a").join(y, "b").where(_sketches_allow("of_a", "of_b", percent)).select("a", "b"))
     sets = sets_of(starts)
     first_round = _verified(starts, sets, percent, loose)
     near = first_round.where(F.col("near") == NEAR).select("a", "b")
     near = checkpointed(near.union(_sharing_ids(rows, classes)) if by_id else near)
     labels = components(classes.select("node"), near)
-    pairs = _remaining(shared, labels, first_round, percent)
+    members = _members(shared, labels, first_round, classes)
     discard(starts, sets, shared, first_round, labels)
+    pairs = _tries(members, percent)
     sets = sets_of(pairs)
     second_round = _verified(pairs, sets, percent, loose)
-    labels = components(classes.select("node"), near.union(second_round.where(F.col("near") == NEAR).select("a", "b")))
+    nearer = checkpointed(near.union(second_round.where(F.col("near") == NEAR).select("a", "b")))
+    labels = components(classes.select("node"), nearer)
     discard(pairs, sets, second_round, near)
+    pairs = _remaining(members, labels, percent)
+    discard(members, labels)
+    sets = sets_of(pairs)
+    last_round = _verified(pairs, sets, percent, loose)
+    labels = components(classes.select("node"), nearer.union(last_round.where(F.col("near") == NEAR).select("a", "b")))
+    discard(pairs, sets, last_round, nearer)
 
     found = checkpointed(classes.join(labels, "node").select("digest", "id", "label"))
     discard(labels, classes)
@@ -345,20 +386,60 @@ def _sharing_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return of.join(first, "_id").where("node > a").select("a", F.col("node").alias("b"))
 
 
-def _remaining(shared: DataFrame, labels: DataFrame, first_round: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs that the first round leaves open: on one list, in different components, of fitting sizes."""
+def _lists(classes: DataFrame) -> DataFrame:
+    """(node, n, place, token) for the rarest shingles of each class that another one may have among its own."""
+    several = checkpointed(classes.select(F.explode("rare").alias("token")).groupBy("token").agg(F.count("*").alias("sets")).where(
+        "sets > 1").select("token"))
+    bits = min(MARK_BITS, max(10, (16 * several.count()).bit_length()))
+    marks = np.zeros(1 << bits - 6, dtype=np.uint64)
+    bucket = several.select(F.shiftrightunsigned("token", 64 - bits).alias("bucket"))
+    words = bucket.groupBy(F.shiftright("bucket", 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(bucket & 63 as int)))").alias("marks")).toArrow()
+    marks[words.column("word").to_numpy()] = words.column("marks").to_numpy().view(np.uint64)
+    discard(several)
+    return classes.select("node", "n", "rare").mapInArrow(_marked(marks, bits), "node bigint, n bigint, place int, token bigint")
+
+
+def _members(shared: DataFrame, labels: DataFrame, first_round: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components, each with its sketch and with how near a first one it is."""
     compared = first_round.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("lead"), "near")).alias("c")).select(
         "node", "c.*")
-    members = shared.where("sets > 2").join(labels, "node").join(compared, "node", "left")
-    mixed = members.groupBy("token").agg(F.min("label").alias("main"), F.max("label").alias("_last")).where(
+    members = _of_mixed_lists(shared.where("sets > 2").select("token", "node", "n", "place"), labels)
+    return checkpointed(members.join(compared, "node", "left").join(classes.select("node", "sketch"), "node").select(
+        "token", "node", "n", "place", "sketch", "label", "main", F.coalesce("lead", "node").alias("lead"),
+        F.coalesce("near", F.lit(NEAR)).alias("near")))
+
+
+def _of_mixed_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of lists with several components, with their component and the list's main one."""
+    labelled = members.join(labels, "node")
+    mixed = labelled.groupBy("token").agg(F.min("label").alias("main"), F.max("label").alias("_last")).where(
         "main <> _last").select("token", "main")
-    members = checkpointed(members.join(mixed, "token").select(
-        "token", "node", "n", "place", "label", "main", F.coalesce("lead", "node").alias("lead"), F.coalesce("near", F.lit(NEAR)).alias("near")))
+    return labelled.join(mixed, "token")
+
+
+def _tries(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a set outside a list's main component with sets inside. Each list proposes two, other lists other
+    ones, and those with the likest sketches are taken."""
+    one, by = F.struct("node", "n", "place", "sketch"), F.xxhash64("node", "token")
+    inside = members.where("label = main").groupBy("token").agg(F.array(F.min_by(one, by), F.max_by(one, by)).alias("inside"))
+    x = members.where("label <> main").join(inside, "token").withColumn("y", F.explode("inside")).withColumn("x", one)
+    c = F.col
+    fit = _may_link(c("x.n"), c("x.place"), c("y.n"), c("y.place"), percent) & _sketches_allow("x", "y", percent)
+    likest = Window.partitionBy("x").orderBy("differ", "y")  # a row for each list of x at most
+    tries = x.where(fit).select(c("x.node").alias("x"), c("y.node").alias("y"), _differing("x", "y").alias("differ")).distinct()
+    return checkpointed(tries.withColumn("rank", F.row_number().over(likest)).where(c("rank") <= TRIES).select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
+def _remaining(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs that the rounds before leave open: on one list, in different components, of fitting sizes."""
+    members = checkpointed(_of_mixed_lists(members.drop("label", "main"), labels))
     # A list's main component is not paired with itself: only its other members are looked at from the left.
     x, y = members.where("label <> main").alias("x"), members.alias("y")
     c = F.col
     once = (c("y.label") == c("y.main")) | (c("x.node") < c("y.node"))
-    fit = _may_link(c("x.n"), c("x.place"), c("y.n"), c("y.place"), percent)
+    fit = _may_link(c("x.n"), c("x.place"), c("y.n"), c("y.place"), percent) & _sketches_allow("x", "y", percent)
     apart = (c("x.lead") == c("y.lead")) & (
         ((c("x.near") == NEAR) & (c("y.near") == FAR)) | ((c("x.near") == FAR) & (c("y.near") == NEAR))
         | (c("x.node") == c("y.lead")) | (c("y.node") == c("x.lead")))
@@ -369,6 +450,18 @@ def _remaining(shared: DataFrame, labels: DataFrame, first_round: DataFrame, per
     return found
 
 
+def _differing(x: str, y: str) -> Column:
+    """Bits in which the sketches of two rows differ."""
+    bits = [F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH)]
+    return sum(bits[1:], bits[0])
+
+
+def _sketches_allow(x: str, y: str, percent: int) -> Column:
+    """Can the sets of two rows be linked? Twice their overlap is at most their sizes less the bits that differ."""
+    sizes = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return (100 + percent) * (sizes - _differing(x, y)) >= 2 * percent * sizes
+
+
 def _may_link(n: Column, place: Column, m: Column, at: Column, percent: int) -> Column:
     """Can two sets of n and m shingles be linked if this shared one has these places in their orders? Shared shingles
     are in the same order in both; if this is their first, only those after it can be shared as well. A linked pair has

@@ -350,6 +350,28 @@ def shingle_set(text, n):
     return {tuple(w[i: i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
+def test_pairs_that_sketches_rule_out(spark, monkeypatch):
+    """Copies that share most lists but are not near enough: few of the pairs are compared by their whole sets."""
+    rng = random.Random(4)
+    base = words(rng, 200, 100_000)
+    rows = []
+    for i in range(40):
+        text = list(base)
+        at = rng.randrange(190)
+        text[at: at + 9] = words(rng, 9, 10_000_000)
+        rows.append((i, " ".join(text)))
+    compared, verified = [], jaccard_join._verified
+
+    def counting(pairs, *more):
+        compared.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counting)
+    got = jaccard_join.link_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_links(rows, 85, 4))
+    assert sum(compared) < 200  # of 780
+
+
 def test_one_of_each(spark, docs, rows, empty):
     short = [r for r in rows if len(r[1] or "") < 20_000]
     for given, df in ((rows, docs), (short, docs.where("char_length(coalesce(text, '')) < 20000"))):
