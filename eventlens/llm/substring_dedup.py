@@ -78,7 +78,7 @@ def _emit_anchors(window: int):
 
 
 def _emit_windows(window: int):
-    """Windows whose anchor is repeated, with two hashes of their content. Places may be those of texts with the same key
+    """Windows whose anchor is repeated, with 96 bits of hashes of their content. Places may be those of texts with the same key
     too; only the text's own count."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +94,7 @@ def _emit_windows(window: int):
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(run_hashes(words, window)[starts].view(np.int64)),
-                     pa.array(run_hashes(words, window, 1)[starts].view(np.int64)),
+                     pa.array((run_hashes(words, window, 1)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                      pa.array(groups[chosen[starts]]), pa.array(np.full(n, first.as_py())),
                      pa.array(np.full(n, number.as_py())), pa.array(starts.astype(np.int32))],
                     names=["w1", "w2", "groups", "first", "number", "start"])
@@ -145,17 +145,20 @@ def _key_of(number: str) -> Column:
 def _repeated_windows(texts: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
     """Windows (first, number, start) whose content starts earlier as well, out of distinct texts by `key`."""
     found = texts.select("number", "text").mapInArrow(_emit_anchors(window), "anchor bigint, number bigint, place int")
+    found = found.where("anchor is not null")  # as joins add it: all uses then share one shuffle; so for `groups` below
     counted = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    frequent = F.broadcast(counted.where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "anchor").limit(HOT))
-    repeated = found.join(frequent, "anchor").unionByName(
-        found.join(frequent, "anchor", "left_anti").join(counted, "anchor"))
+    frequent = F.broadcast(counted.where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "anchor").limit(HOT).withColumnRenamed("n", "hot"))
+    # Texts are taken apart once for both joins: where the first one gave the count, the second has a key that spreads rows.
+    sought = F.when(F.col("hot").isNull(), F.col("anchor")).otherwise(F.xxhash64("number", "place"))
+    repeated = found.join(frequent, "anchor", "left").withColumn("anchor", sought).join(counted, "anchor", "left").withColumn(
+        "n", F.coalesce("hot", "n")).where("n is not null")
     seeds = repeated.groupBy(_key_of("number").alias("key")).agg(F.collect_list(F.struct(
         (F.col("number") % (1 << TWIN_BITS)).cast("int").alias("twin"), "place",
         F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))).alias("places"))  # as many as the texts of a key have
     seeded = _with_first(texts, firsts).join(seeds.hint("merge"), "key").select("number", "first", "text", "places")
     windows = seeded.mapInArrow(
-        _emit_windows(window), "w1 bigint, w2 bigint, groups int, first bigint, number bigint, start int"
-    ).withColumn("member", F.pmod(_key_of("number"), "groups"))
+        _emit_windows(window), "w1 bigint, w2 int, groups int, first bigint, number bigint, start int"
+    ).where("groups is not null").withColumn("member", F.pmod(_key_of("number"), "groups"))
     order = ["first", "number", "start"]
 
     def later(by: list[str]) -> Column:  # not the first of its group
@@ -163,7 +166,8 @@ def _repeated_windows(texts: DataFrame, firsts: DataFrame, window: int) -> DataF
 
     # All windows of one content have the same `groups`; as part of the keys both uses below share one shuffle.
     ranked = windows.withColumn("later", later(["w1", "w2", "groups", "member"]))
-    leading = ranked.where(~F.col("later") & (F.col("groups") > 1)).withColumn("later", later(["w1", "w2"]))
+    # One product: a condition on `groups` alone would be moved ahead of the shuffle, which then were two.
+    leading = ranked.where((~F.col("later")).cast("int") * F.col("groups") > 1).withColumn("later", later(["w1", "w2"]))
     return ranked.where("later").select(*order).unionByName(leading.where("later").select(*order))
 
 

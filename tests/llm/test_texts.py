@@ -258,6 +258,21 @@ def test_texts_with_one_key(spark, monkeypatch, bits):
     assert got == Counter((d, *expected[(d, t or "")][:3]) for d, t in rows)
 
 
+def test_texts_are_taken_apart_once(spark):
+    """One pass counts anchors, one finds the repeated ones, and windows are made once, for both of their uses."""
+    import re
+
+    df = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id bigint, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = substring_dedup.dedup_substrings(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    made = re.findall(r"MapInArrow emit\(([^)]*)\)", plan)
+    assert sorted(m.count("#") for m in made) == [2, 2, 4], made
+
+
 # --- Jaccard join ------------------------------------------------------------------------------------------------
 
 
