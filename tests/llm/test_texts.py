@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -179,6 +180,38 @@ def test_mixed_texts(docs, rows, empty):
     assert mixing.mixed_texts(empty).count() == 0
 
 
+def test_sources_stay_off_the_driver(spark, docs, rows, monkeypatch):
+    """Neither the sources nor what is drawn for them is collected or sent from the driver, and many are not broadcast."""
+    whole = sorted(map(repr, mixing.mix_documents(docs).collect()))
+    texts = sorted(map(repr, mixing.mixed_texts(docs).collect()))
+    many = [(i, f"a{i} b c", "en", f"src{i}", 5) for i in range(3000)]
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "BROADCAST_SOURCES", 2)
+        for frame in {type(docs), DataFrame}:
+            m.setattr(frame, "collect", None)
+        m.setattr(type(spark), "createDataFrame", None)
+        found, mixed = mixing.mix_documents(docs), mixing.mixed_texts(docs)
+    assert "strategy=broadcast" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, found.collect())) == whole and sorted(map(repr, mixed.collect())) == texts
+    got = mixing.mix_documents(spark.createDataFrame(many, SCHEMA)).collect()
+    assert len(got) == 3000 and sum(r.taken for r in got) == pytest.approx(9000, rel=0.2)
+
+
+def test_short_draws_go_to_the_largest():
+    """What draws take beyond the slots of small sources goes to those with most left, as one by one."""
+    slots = [1] * 50 + [3, 7, 7, 2]
+    left, random = np.array(slots), np.random.default_rng(mixing.SEED)
+    for _, counts in mixing.draw_shards(slots, 20):
+        n = min(20, int(left.sum()))
+        wanted = np.minimum(random.multinomial(n, left / left.sum()), left)
+        while (short := n - int(wanted.sum())) > 0:
+            at = int((left - wanted).argmax())
+            wanted[at] += min(short, int((left - wanted)[at]))
+        assert counts.tolist() == wanted.tolist()
+        left = left - wanted
+    assert not left.any()
+
+
 # --- substring dedup ---------------------------------------------------------------------------------------------
 
 
