@@ -281,6 +281,26 @@ def test_operation_list(make_log):
     assert (plain.num_partitions, plain.shuffle_bytes, plain.operation_sec) == (None, None, 1500000.0)
 
 
+def test_steps_are_dealt_out_once(make_log):
+    """What is found for nodes is added without dealing the nodes out by their signatures; of several rows all are kept."""
+    log = make_log([sql(1, node("Filter", "Filter (a > 1)", [("number of output rows", 5)], [scan()])), updates(1, (6, 3))])
+    plan = operations.operation_list(log)._jdf.queryExecution().executedPlan().toString()
+    assert "signature" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    nodes = tree.plan_nodes(log).withColumn("signature", tree.node_signature())
+    of_scan = nodes.filter("pos = 1").select(*operations.NODE)
+    twice = of_scan.selectExpr("*", "1 as n").unionByName(of_scan.selectExpr("*", "2 as n"))
+    got = operations._add(nodes, twice, several=True).select("pos", "n").collect()
+    assert sorted(map(tuple, got), key=str) == [(0, None), (1, 1), (1, 2)]
+
+
+def test_results_of_many_parts_are_stored(make_log):
+    """No part of a summary or of detail documents is shuffled by what reads them."""
+    log = make_log([start(), added("1", 2000), sql(1, node("W", "", [("number of written files", 1)], [scan()])), job(0, [1], 1), task(1, read=5), end(9000)])
+    for df in (summary.app_summary(log), detail.detail_documents(log)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+
+
 def test_deep_plan_is_whole(make_log):
     plan = node("Scan x")
     for _ in range(150):

@@ -2,7 +2,9 @@
 
 import random
 import statistics
+import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,24 @@ def test_large_groups_are_found_whatever_else_is_in_their_bucket(spark, monkeypa
     rows = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "g string, i int")
     assert {r.g for r in ordering._large_groups(rows, ["g"], 10).collect()} == {"a", "d", None}
     assert ordering._large_groups(rows, ["g"], 40) is None
+
+
+def test_shuffle_files_go_when_rows_are_stored(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {name for name in disk.getAllBlocks().mkString(" ").split() if name.startswith("shuffle_")}
+    settings = {name: spark.conf.get(name) for name in ordering.STORING}
+    before = shuffled()
+    stored = ordering.checkpointed(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and stored.count() == 10
+    assert {name: spark.conf.get(name) for name in ordering.STORING} == settings
+
+
+def test_stored_variants_stay_whole(spark):
+    plans = spark.range(20).select(F.parse_json(F.lit('{"a": 1, "b": [{"c": "x"}]}')).alias("v"))
+    stored = ordering.checkpointed(plans)
+    kind = pq.read_schema(stored.inputFiles()[0].removeprefix("file://").removeprefix("file:")).field("v").type
+    assert {kind.field(i).name for i in range(kind.num_fields)} == {"value", "metadata"}
+    assert {r[0] for r in stored.select(F.to_json("v")).collect()} == {'{"a":1,"b":[{"c":"x"}]}'}
